@@ -29,21 +29,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _places(n: Column, k: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - F.lit(k - 1), F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def shingle_hashes(own: Column, k: int) -> Column:
-    return F.array_distinct(F.transform(_places(F.size(own), k), lambda i: F.xxhash64(F.slice(own, i, k))))
+def shingle_hashes(text: Column, k: int) -> Column:
+    return let(words(text), lambda own: F.array_distinct(F.transform(_places(F.size(own), k), lambda i: F.xxhash64(F.slice(own, i, k)))))
 
 
-def shingle_texts(own: Column, k: int) -> Column:
-    return F.array_distinct(F.transform(_places(F.size(own), k), lambda i: F.array_join(F.slice(own, i, k), " ")))
+def shingle_texts(text: Column, k: int) -> Column:
+    return let(words(text), lambda own: F.array_distinct(F.transform(_places(F.size(own), k), lambda i: F.array_join(F.slice(own, i, k), " "))))
 
 
 def signatures(items: DataFrame, k: int, percent: int) -> DataFrame:
     """(item_id, item_text, n, sig): sig has the least hashes of the item, by its size class."""
-    own = items.select(F.col("item_id"), F.col("text").alias("item_text"), F.array_sort(shingle_hashes(words(F.col("text")), k)).alias("h"))
+    own = items.select(F.col("item_id"), F.col("text").alias("item_text"), F.array_sort(shingle_hashes(F.col("text"), k)).alias("h"))
     own = own.where(F.size("h") > 0).withColumn("n", F.size("h"))
     upper = F.pow(F.lit(2), F.ceil(F.log2("n")))  # of the size class: powers of two
     may_miss = (upper - F.ceil(upper * percent / 100)).cast("int")
@@ -60,15 +65,15 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     keys = sig.select("item", F.explode("sig").alias("h")).distinct()
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    probes = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.explode(shingle_hashes(words(F.col("text")), k)).alias("h"))
+    probes = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.explode(shingle_hashes(F.col("text"), k)).alias("h"))
     found = probes.join(keys, "h").select("doc_id", "doc", "item").distinct()
     # exact containment of what was found; a text is compared with the items found in it, whatever its length
     by_text = docs.withColumn("doc", F.xxhash64("text"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.doc") == F.col("f.doc"))
     pairs = found.alias("f").join(sig.alias("s"), F.col("f.item") == F.col("s.item")).select("f.doc_id", "f.doc", "s.item_id", "s.item_text", "s.n")
     pairs = pairs.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("item_id", "item_text", "n")).alias("items"))
-    both = by_text.alias("d").join(pairs.alias("f"), same).select("d.doc_id", shingle_texts(words(F.col("d.text")), k).alias("own"), "f.items")
-    exact = both.select("doc_id", F.explode(F.transform("items", lambda s: F.struct(s["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("own"), shingle_texts(words(s["item_text"]), k))).cast("long").alias("n_shared"), s["n"].cast("long").alias("n_item")))).alias("x"))
+    both = by_text.alias("d").join(pairs.alias("f"), same).select("d.doc_id", shingle_texts(F.col("d.text"), k).alias("own"), "f.items")
+    exact = both.select("doc_id", F.explode(F.transform("items", lambda s: F.struct(s["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("own"), shingle_texts(s["item_text"], k))).cast("long").alias("n_shared"), s["n"].cast("long").alias("n_item")))).alias("x"))
     return exact.select("doc_id", "x.item_id", "x.n_shared", "x.n_item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
 

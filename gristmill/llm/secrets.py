@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import let
+
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
 #: Findings to train on, at most.
 MAX_FINDINGS = 4000
@@ -139,19 +141,31 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]], seed:
     return trees
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _suspects(text: Column) -> Column:
+    """position, word and before of every word that holds a candidate; texts without one are not split."""
+
+    def one(own: Column):
+        return lambda word, i: F.when(
+            (F.length(word) >= 16) & word.rlike(CANDIDATE),
+            F.struct(i.cast("long").alias("position"), word.alias("word"), F.array_join(F.slice(own, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("before")),
+        )
+
+    return F.when(text.rlike(CANDIDATE), let(_words(text), lambda own: F.filter(F.transform(own, one(own)), lambda x: x.isNotNull())))
+
+
+def _tokens(word: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, position (word number from 0), token, word and before of every candidate."""
-    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
-    near = F.when(
-        F.size("w") > 0,
-        F.filter(
-            F.transform(F.col("w"), lambda word, i: F.when((F.length(word) >= 16) & word.rlike(CANDIDATE), F.struct(i.cast("long").alias("position"), word.alias("word"), F.array_join(F.slice(F.col("w"), F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("before")))),
-            lambda x: x.isNotNull(),
-        ),
-    )
-    each = own.select("doc_id", F.explode(near).alias("c")).select("doc_id", "c.position", "c.word", "c.before")
-    return each.select("doc_id", "position", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))).alias("token"), "word", "before")
+    text = F.col("text").cast("string")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_suspects(text)).alias("c"))
+    return each.select("doc_id", "c.position", F.explode(_tokens(F.col("c.word"))).alias("token"), "c.word", "c.before")
 
 
 def scan(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
@@ -173,23 +187,17 @@ def redact(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = N
     Works row by row on the words of the text itself, so that no join brings secrets and texts together.
     """
     trees = train(docs.sparkSession, findings or labelled_findings())
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    w = F.col("redact_words")
-
-    def found(word: Column, i: Column) -> Column:
-        before = F.array_join(F.slice(w, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ")
-        tokens = F.array_distinct(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)))
-        described = F.transform(tokens, lambda t: F.struct(t.alias("token"), *(c.alias(k) for k, c in features(t, word, before).items())))
-        kept = F.filter(described, lambda x: votes(trees, {k: x[k] for k in FEATURES}) >= 0.5)
-        return F.when((F.length(word) >= 16) & word.rlike(CANDIDATE), F.transform(kept, lambda x: x["token"]))
-
-    secrets = F.array_distinct(F.flatten(F.filter(F.transform(w, found), lambda x: x.isNotNull())))
+    text = F.col("text").cast("string")
+
+    def found(x: Column) -> Column:
+        described = F.transform(_tokens(x["word"]), lambda t: F.struct(t.alias("token"), *(c.alias(k) for k, c in features(t, x["word"], x["before"]).items())))
+        kept = F.filter(described, lambda y: votes(trees, {k: y[k] for k in FEATURES}) >= 0.5)
+        return F.transform(kept, lambda y: F.struct((-F.length(y["token"])).alias("n"), y["token"].alias("token")))
+
     # longer ones first: one secret may be part of another
-    ordered = F.transform(F.sort_array(F.transform(secrets, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
-    clean = F.aggregate(ordered, text, lambda acc, s: F.replace(acc, s, F.lit(MASK)))
-    maybe = F.col("text").cast("string").rlike(CANDIDATE)
-    return docs.withColumn("redact_words", F.when(maybe, words)).withColumn("text", F.when(maybe, clean).otherwise(F.col("text"))).drop("redact_words")
+    secrets = F.array_sort(F.array_distinct(F.flatten(F.transform(_suspects(text), found))))
+    clean = F.aggregate(secrets, text, lambda acc, s: F.replace(acc, s["token"], F.lit(MASK)))
+    return docs.withColumn("text", F.coalesce(clean, text))
 
 
 def votes(trees: list, own: dict[str, Column]) -> Column:
