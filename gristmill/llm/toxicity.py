@@ -18,19 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .letters import LetterWords, text_slices
+from .letters import LetterWords, find, text_slices
 from .samples import fold, labelled
 from .words import U64
 
 #: Embeddings are kept in so many hashed places.
 PLACES = 1 << 17
-DIM = 4
+DIM = 2
 SIZES = (3, 4, 5)
 #: Labelled rows of each class in training, at most.
 MAX_LABELLED = 2500
-EPOCHS, RATE, DECAY = 60, 0.05, 1e-4
-#: Words of one text that weigh together: means over long texts are scaled up to it.
-SCALE = 50.0
+EPOCHS, RATE = 80, 0.02
+#: Penalties on embeddings, in units of what pure noise would pull; and in how many documents a place must be.
+PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
+#: Share of all running words from which on a word counts for less than half.
+RARE = 1e-3
 
 
 def subwords(w: LetterWords) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +42,28 @@ def subwords(w: LetterWords) -> tuple[np.ndarray, np.ndarray]:
     return word, ((h >> U64(20)) % U64(PLACES)).astype(np.int64)
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Weights:
+    """a / (a + share) for each word: the more of all running words it makes up, the less it counts in a mean."""
+
+    def __init__(self, hashes: np.ndarray, share: np.ndarray):
+        often = share > RARE / 100
+        self.hashes, self.weight = hashes[often], RARE / (RARE + share[often])
+
+    def of(self, w: LetterWords) -> np.ndarray:
+        at = find(self.hashes, w.hash)
+        return np.where(at >= 0, self.weight[at], 1.0) if len(self.hashes) else np.ones(len(w.hash))
+
+    @classmethod
+    def count(cls, texts: pa.Array) -> Weights:
+        h, n = np.zeros(0, U64), np.zeros(0)
+        for _, part in text_slices(texts):
+            w = LetterWords(part)
+            h, at = np.unique(np.concatenate([h, w.hash]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.bincount(w.which, minlength=len(w.hash))]), len(h))
+        return cls(h, n / max(n.sum(), 1))
+
+
+def bags(texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, place, weight) of a training text's mean of word means, each place once."""
     w = LetterWords(texts)
     word, place = subwords(w)
@@ -51,22 +74,67 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc, own = pair // max(len(w.hash), 1), pair % max(len(w.hash), 1)
     length = np.diff(first)[own]
     index = np.arange(length.sum()) + np.repeat(first[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-    total = np.maximum(np.diff(w.first), 1)
-    weight = np.repeat(many / total[doc] / length, length)
+    own_weight = weights.of(w)
+    total = np.bincount(w.doc, own_weight[w.which], w.n)
+    weight = np.repeat(many * own_weight[own] / total[doc] / length, length)
     key, at = np.unique(np.repeat(doc, length) * np.int64(PLACES) + place[index], return_inverse=True)
     return key // PLACES, (key % PLACES).astype(np.int32), np.bincount(at, weight).astype(np.float32)
 
 
+class Bags:
+    """Documents by places, as a sparse matrix that is read by document and by place."""
+
+    def __init__(self, doc: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, places: int):
+        self.doc, self.place, self.weight, self.n, self.places = doc, place, weight.astype(np.float32), n, places
+        self.first = np.searchsorted(doc, np.arange(n + 1))
+        self.filled = np.flatnonzero(np.diff(self.first))
+        order = np.argsort(place, kind="stable")
+        self.by_doc, self.by_weight = doc[order], self.weight[order, None]
+        self.edges = np.searchsorted(place[order], np.arange(places))
+
+    def only(self, places: np.ndarray) -> Bags:
+        keep = np.isin(self.place, places)
+        return Bags(self.doc[keep], np.searchsorted(places, self.place[keep]), self.weight[keep], self.n, len(places))
+
+    def means(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, e.shape[1]), np.float32)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(e[self.place] * self.weight[:, None], self.first[self.filled], axis=0)
+        return out
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(d[self.by_doc] * self.by_weight, self.edges, axis=0)
+
+
+def descend(x: Bags, target: np.ndarray, e: np.ndarray, v: np.ndarray, b: np.ndarray, penalty: float):
+    """Embeddings, softmax weights and biases together: accelerated descent, embeddings shrunk towards 0 at each step."""
+    probe = np.ones((x.places, 1), np.float32)
+    for _ in range(8):
+        probe = x.back(x.means(probe / np.linalg.norm(probe)))
+    step = 4 * x.n / float(np.linalg.norm(probe)) / float((v**2).sum())
+    ahead = e
+    for epoch in range(EPOCHS):
+        h = x.means(ahead)
+        z = h @ v + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        g = (p / p.sum(1, keepdims=True) - target) / x.n
+        moved = ahead - step * x.back(g @ v.T)
+        new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        ahead = new + (epoch / (epoch + 3)) * (new - e)
+        e, v, b = new, v - RATE * (h.T @ g), b - g.sum(0)
+    return e, v, b
+
+
 class Model:
     """places: what the softmax adds to the logit of class 1 for each embedding."""
 
-    def __init__(self, places: np.ndarray, bias: float):
-        self.places, self.bias = places.astype(np.float32), bias
+    def __init__(self, places: np.ndarray, bias: float, weights: Weights):
+        self.places, self.bias, self.weights = places.astype(np.float32), bias, weights
 
     @classmethod
     def constant(cls, share: float) -> Model:
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return cls(np.zeros(PLACES), float(np.log(share / (1 - share))))
+        return cls(np.zeros(PLACES), float(np.log(share / (1 - share))), Weights(np.zeros(0, U64), np.zeros(0)))
 
     @classmethod
     def fit(cls, texts: list[str], label: np.ndarray, seed: int = 11) -> Model:
@@ -74,45 +142,34 @@ class Model:
             return cls.constant(float(label.mean()) if len(texts) else 0.0)
         rng = np.random.default_rng(seed)
         each = []
+        weights = Weights.count(pa.array(texts))
         for lo, part in text_slices(pa.array(texts)):
-            doc, place, weight = bags(part)
+            doc, place, weight = bags(part, weights)
             each.append((doc + lo, place, weight))
         doc, place, weight = (np.concatenate(x) for x in zip(*each, strict=True))
-        # places of a single training document tell nothing about another one
+        n = len(texts)
         many = np.bincount(place, minlength=PLACES)
-        keep = many[place] > 2
-        doc, place, weight = doc[keep], place[keep], weight[keep] * np.float32(SCALE)
+        keep = many[place] >= max(LEAST_DOCS, n // 1000)
+        doc, place, weight = doc[keep], place[keep], weight[keep]
         used, place = np.unique(place, return_inverse=True)
-        n, first = len(texts), np.searchsorted(doc, np.arange(len(texts) + 1))
-        by_place = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[by_place], np.arange(len(used)))
-        doc_by_place, weight_by_place = doc[by_place], weight[by_place, None]
-        filled = np.flatnonzero(np.diff(first))
-
-        def mean_of(e: np.ndarray) -> np.ndarray:
-            out = np.zeros((n, e.shape[1]), np.float32)
-            out[filled] = np.add.reduceat(e[place] * weight[:, None], first[filled], axis=0)
-            return out
-
-        e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-        v = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-        b = np.log(np.array([1 - label.mean(), label.mean()], np.float32))
         target = np.stack([1 - label, label], 1).astype(np.float32)
-        state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, v, b)]
-        for epoch in range(1, EPOCHS + 1):
-            h = mean_of(e)
-            z = h @ v + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            g = (p / p.sum(1, keepdims=True) - target) / n
-            back = g @ v.T
-            grads = (np.add.reduceat(back[doc_by_place] * weight_by_place, edges, axis=0) + DECAY * e / n, h.T @ g, g.sum(0))
-            for x, d, (m, s) in zip((e, v, b), grads, state, strict=True):
-                m += 0.1 * (d - m)
-                s += 0.01 * (d * d - s)
-                x -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(s / (1 - 0.99**epoch)) + 1e-8)
+        start = np.log(target.mean(0))
+        if not len(used):
+            return cls.constant(float(label.mean()))
+        # each place at the same scale, so that one penalty suits all of them
+        scale = np.sqrt(np.bincount(place, weight**2, len(used)) / n).astype(np.float32)
+        x = Bags(doc, place, weight / scale[place], n, len(used))
+        noise = float(np.sqrt(target.mean(0).prod() / n) * np.sqrt(2 * np.log(len(used) + 1)))
+        rng = np.random.default_rng(seed)
+        v = np.array([[-0.5, 0.5], [0.5, -0.5]], np.float32) + rng.normal(0, 0.05, (DIM, 2)).astype(np.float32)
+        e, v, b = descend(x, target, np.zeros((len(used), DIM), np.float32), v, start.astype(np.float32), PENALTY * noise)
+        # the places that the penalty left are trained again, now almost without it
+        live = np.flatnonzero(np.abs(e).sum(1) > 0)
         out = np.zeros(PLACES, np.float32)
-        out[used] = SCALE * (e @ (v[:, 1] - v[:, 0]))
-        return cls(out, float(b[1] - b[0]))
+        if len(live):
+            e, v, b = descend(x.only(live), target, e[live], v, b, REFIT * noise)
+            out[used[live]] = e @ (v[:, 1] - v[:, 0]) / scale[live]
+        return cls(out, float(b[1] - b[0]), weights)
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = []
@@ -120,8 +177,10 @@ class Model:
             w = LetterWords(texts)
             word, place = subwords(w)
             mean = np.bincount(word, self.places[place], len(w.hash)) / np.maximum(np.bincount(word, minlength=len(w.hash)), 1)
-            total = np.bincount(w.doc, mean[w.which], w.n) if len(w.which) else np.zeros(w.n)
-            out.append(1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(np.diff(w.first), 1), -500, 500))))
+            own = self.weights.of(w)
+            total = np.bincount(w.doc, (own * mean)[w.which], w.n) if len(w.which) else np.zeros(w.n)
+            mass = np.bincount(w.doc, own[w.which], w.n) if len(w.which) else np.zeros(w.n)
+            out.append(1 / (1 + np.exp(-np.clip(self.bias + total / np.where(mass > 0, mass, 1), -500, 500))))
         return np.concatenate(out) if out else np.zeros(0)
 
 
