@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks or buckets to a shuffle partition: several, so that they spread evenly.
-PER_PARTITION = 4
+#: Blocks to a shuffle partition; there is one bucket to each, as messages number blocks times buckets at most.
+BLOCKS_PER_PARTITION = 2
 ASK = "block int, bucket int, body binary"
 ANSWER = "block int, body binary"
 
 
-def parts(spark: SparkSession) -> int:
-    return PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts(spark: SparkSession) -> tuple[int, int]:
+    """Numbers of blocks and of buckets."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return BLOCKS_PER_PARTITION * n, n
 
 
 def with_block(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

@@ -243,11 +243,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = True) -
     with_text, kept_text and factors (start, length, source_id, source_start in words).
     """
     spark = docs.sparkSession
-    n = B.parts(spark)
+    n, buckets = B.parts(spark)
     own = B.with_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n)
     own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-    anchors = own.groupBy("block").applyInArrow(_ask_anchors(window, n), B.ASK).groupBy("bucket").applyInArrow(_answer_anchors, B.ANSWER)
-    windows = own.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(window, n), B.ASK).groupBy("bucket").applyInArrow(_answer_windows, B.ANSWER)
+    anchors = own.groupBy("block").applyInArrow(_ask_anchors(window, buckets), B.ASK).groupBy("bucket").applyInArrow(_answer_anchors, B.ANSWER)
+    windows = own.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(window, buckets), B.ASK).groupBy("bucket").applyInArrow(_answer_windows, B.ANSWER)
     replies = anchors.withColumn("step", F.lit(1)).unionAll(windows.withColumn("step", F.lit(2)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, factors array<struct<start:long,length:long,source_id:long,source_start:long>>" if with_text else "")
     return own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(window, with_text), schema)
