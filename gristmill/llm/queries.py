@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, secrets
 from .language import language_id
+from .lattice_lm import lm_scores
 from .packing import pack
 from .quality import quality_filter
 from .relative_lz import substring_dedup
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), window=20, with_text=False)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"))
 
@@ -52,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op9_decontamination, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op9_decontamination, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
