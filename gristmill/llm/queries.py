@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality_filter
 from .relative_lz import substring_dedup
 from .toxicity import toxicity
+from .trie_join import jaccard_components
 from .url_filter import url_filter
 
 
@@ -49,6 +50,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op9_decontamination, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op8_jaccard_join, op9_decontamination, op10_secret_scan)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
