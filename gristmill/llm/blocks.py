@@ -40,13 +40,10 @@ def with_block(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 def scratch(spark: SparkSession) -> None:
     """Sets a folder for checkpoints where the session has none (tests); a cluster names a shared one."""
     if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import os
-            import tempfile
+        import tempfile
 
-            path = os.path.join(tempfile.gettempdir(), "gristmill-checkpoints")
-        spark.sparkContext.setCheckpointDir(path)
+        own = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gristmill-checkpoints"
+        spark.sparkContext.setCheckpointDir(own)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -200,3 +200,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below one half."""
+    model = fit_toxicity(docs, labels, folds, held)
+    # a column of its own beside the rows: no join, and other columns never leave the JVM
+    score = F.arrow_udf(lambda text: pa.array(model.score(text)), "double")
+    return docs.where(score(F.col("text").cast("string")) < 0.5)
