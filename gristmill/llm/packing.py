@@ -7,9 +7,7 @@ one; a full bin is closed and no longer counts. Larger pieces go first. Groups h
 number of pieces, so any number of groups is packed at once, and what a group leaves open is a
 few bins in thousands.
 
-Tokens of a text are those of its words (runs without ASCII white space), as the vocabulary's
-pre-tokenizer drops white space and looks at nothing across it; each worker keeps the ids of a
-bounded number of words.
+Tokens come from tokens.UnitTokenizer, which asks the tokenizer once for each distinct word.
 
 Defined cases: a null or empty text is the end mark alone. Repeated rows are packed each. A
 text of any length is cut into pieces of whole sequences and a rest. Other columns are not
@@ -18,7 +16,6 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -26,53 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import UnitTokenizer
 from .words import U64, mix
 
 #: Pieces that are packed together.
 GROUP = 20_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS, CACHE_TEXT = 300_000, 1 << 20
+#: Characters of text that are tokenized together; a longer text is taken alone.
+GROUP_CHARS = 1 << 20
 END = 0
 
 
-class WordTokenizer:
-    """Token ids of whole texts by a tokenizer that never looks across white space."""
-
-    _kept: dict[str, WordTokenizer] = {}
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-
-    @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.ids))
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids = {}
-            new = list(set().union(*split))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.ids.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
-        ids = self.ids
-        return [b"".join([ids[w] for w in words]) for words in split]
-
-
 def text_groups(column: pa.Array):
     """Yields texts (a null is empty) in runs of bounded size."""
     held, size = [], 0
     for x in column:
         t = x.as_py() or ""
-        if held and size + len(t) > CACHE_TEXT:
+        if held and size + len(t) > GROUP_CHARS:
             yield held
             held, size = [], 0
         held.append(t)
@@ -82,32 +48,29 @@ def text_groups(column: pa.Array):
 
 
 def cut(path: str, length: int, with_ids: bool):
-    end = np.array([END], "<u4").tobytes()
-
     def f(batches):
-        tokenizer, seen = WordTokenizer.of(path), 0
+        tokenizer, seen = UnitTokenizer.of(path), 0
         for batch in batches:
             row = 0
             for texts in text_groups(batch.column("text")):
-                at, piece, start, many, crc, body = [], [], [], [], [], []
-                for ids in tokenizer.encode(texts):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, length)):
-                        part = ids[4 * s : 4 * (s + length)]
-                        at.append(row)
-                        piece.append(k)
-                        start.append(s)
-                        many.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            body.append(part)
-                    row += 1
+                ids, first = tokenizer.encode(texts)
+                ids = np.insert(ids, first[1:], END).astype("<u4")
+                first = first + np.arange(len(first))
+                pieces = -(-np.diff(first) // length)
+                at = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * length
+                many = np.minimum(length, np.diff(first)[at] - start)
+                whole = memoryview(ids.tobytes())
+                lo = ((first[at] + start) * 4).tolist()
+                parts = [whole[a : a + 4 * n] for a, n in zip(lo, many.tolist(), strict=True)]
+                crc = np.array([zlib.crc32(p) for p in parts], np.int64)
                 # equal rows share no group: the place in the input is part of the hash
-                salt = mix(np.arange(seen, seen + len(at)).astype(U64) + (np.array(crc, U64) << U64(32)))
+                salt = mix(np.arange(seen, seen + len(at)).astype(U64) + (crc.astype(U64) << U64(32)))
                 seen += len(at)
-                out = {"doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(many, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "salt": (salt >> U64(1)).astype(np.int64)}
-                yield pa.record_batch(out | ({"ids": pa.array(body, pa.binary())} if with_ids else {}))
+                out = {"doc_id": batch.column("doc_id").take(pa.array(at + row)), "piece": piece.astype(np.int32), "start": start, "length": many, "ids_crc32": crc, "salt": (salt >> U64(1)).astype(np.int64)}
+                row += len(texts)
+                yield pa.record_batch(out | ({"ids": pa.array([bytes(p) for p in parts], pa.binary())} if with_ids else {}))
 
     return f
 
