@@ -1,6 +1,353 @@
-"""Driver queries of the document engine and the SQL they are held against."""
+"""Driver queries of the document engine, and the DuckDB SQL they are held against.
+
+The tables hold no raw articles, so each query builds its operator's input from the columns of
+a table: page markup, conversation turns, injected blanks and faults.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import coerce as C
+from ..functions import text as X
+from ..functions.entities import unescape
+from ..operators import documents as D
+from ..operators import embed as E
+from ..operators import metadata as M
+from ..operators import ordered
+from ..operators import validate as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def variant(*fields) -> F.Column:
+    """A raw article made of columns; nulls become JSON nulls."""
+    return F.parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+DECODED = "regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+WS = "(" + " || ".join(f"chr({ord(c)})" for c in C.WS) + ")"
+TAGLESS = f"regexp_replace({DECODED}, '<[^>]+>', '', 'g')"
+LINKLESS = rf"regexp_replace({TAGLESS}, '\[([^\]]+)\]\([^\)]+\)', '\1', 'g')"
+CLEAN = f"trim(regexp_replace({LINKLESS}, ' {{2,}}', ' ', 'g'), {WS})"
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages")
+def strip_tags(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {DECODED} AS text FROM pages")
+def html_unescape(spark, sf):
+    return table(spark, sf, "pages").select("page_id", unescape(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {CLEAN} AS text FROM pages")
+def clean_fragment(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.clean_fragment(unescape(F.col("html"))).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace('[see](http://a.b/' || source || ') ' || text || ' ![x](y)', '\[([^\]]+)\]\([^\)]+\)', '\1', 'g') AS text FROM documents")
+def markdown_links(spark, sf):
+    injected = F.concat(F.lit("[see](http://a.b/"), "source", F.lit(") "), "text", F.lit(" ![x](y)"))
+    return table(spark, sf, "documents").select("doc_id", X.markdown_links(injected).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text || chr(10) || '***' || chr(10) || lang || chr(10) || '-----', '(?m)^[*-]{3,}$', '', 'g') AS text FROM documents")
+def horizontal_rules(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.drop_rules(F.concat("text", F.lit("\n***\n"), "lang", F.lit("\n-----"))).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def newline_cap(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.cap_newlines(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n"))).alias("text"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(text, ' ', '   '), ' {2,}', ' ', 'g') AS text FROM documents")
+def collapse_spaces(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.collapse_spaces(F.replace("text", F.lit(" "), F.lit("   "))).alias("text"))
+
+
+@query(f"SELECT doc_id, trim(chr(160) || chr(8195) || text || chr(12288) || chr(9), {WS}) AS text FROM documents")
+def unicode_strip(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", C.strip(F.concat(F.lit("\xa0\u2003"), "text", F.lit("\u3000\t"))).alias("text"))
+
+
+def _threads(spark, sf, role: str | None = None) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    turns = turns.where(F.col("role") == role) if role else turns
+    ordered_turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return turns.groupBy("conv_id").agg(F.transform(ordered_turns, lambda t: t["text"]).alias("fragments")).select("conv_id", X.assemble(F.col("fragments")).alias("text"))
+
+
+_TURN = rf"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '\[([^\]]+)\]\([^\)]+\)', '\1', 'g'), ' {{2,}}', ' ', 'g'), {WS})"
+
+
+def _threads_sql(where: str) -> str:
+    return rf"""
+WITH t AS (SELECT conv_id, turn, {_TURN} AS s FROM conversations {where}),
+j AS (SELECT conv_id, coalesce(string_agg(s, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE s <> ''), '') AS s FROM t GROUP BY conv_id)
+SELECT conv_id, trim(regexp_replace(regexp_replace(s, '(?m)^[*-]{{3,}}$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) AS text FROM j"""
+
+
+@query(_threads_sql(""))
+def assemble_text(spark, sf):
+    return _threads(spark, sf)
+
+
+@query(_threads_sql("WHERE role = 'assistant'"))
+def role_filtered_assembly(spark, sf):
+    return _threads(spark, sf, "assistant")
+
+
+@query("""
+WITH h AS (SELECT doc_id, text, substr(text, 1, 1000) AS h FROM documents),
+c AS (SELECT *, length(h) - instr(reverse(h), ' ') AS sp, instr(reverse(h), ' ') AS b FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text WHEN b > 0 AND sp > 800 THEN substr(h, 1, sp) ELSE h END AS text FROM c""")
+def truncate_word_boundary(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate_at_word(F.col("text"), 1000).alias("text"))
+
+
+@query("SELECT doc_id, substr(text, 1, 8000) AS text FROM documents")
+def truncate_head(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncate_head(F.col("text")).alias("text"))
+
+
+@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def dedupe_keep_first(spark, sf):
+    return D.keep_first(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "text")
+
+
+def _articles(spark, sf) -> DataFrame:
+    """pos and doc: documents as raw articles, some without a text, an id or an address; ids occur again and again."""
+    k = F.col("doc_id")
+    text = F.when(k % 7 == 0, F.lit("  ")).otherwise(F.col("text"))
+    element = F.array(F.struct(F.lit("text").alias("type"), text.alias("content")))
+    return table(spark, sf, "documents").select(
+        k.alias("pos"),
+        variant(
+            F.when(k % 11 != 0, F.concat(F.lit("a"), (k % 400).cast("string"))).alias("_id"),
+            F.when(k % 13 != 0, F.concat(F.lit("/x/"), k.cast("string"))).alias("website_url"),
+            F.when(k % 2 == 0, F.lit(" nj ")).otherwise(F.lit("other")).alias("website"),
+            element.alias("content_elements"),
+        ).alias("doc"),
+    )
+
+
+_ARTICLES = """
+WITH a AS (SELECT doc_id AS pos, CASE WHEN doc_id % 11 <> 0 THEN 'a' || (doc_id % 400) END AS id, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'https://www.nj.com' ELSE '' END || '/x/' || doc_id END AS url, doc_id % 7 = 0 AS blank FROM documents),
+r AS (SELECT *, CASE WHEN blank THEN 'text' WHEN id IS NULL THEN 'external_id' WHEN url IS NULL THEN 'url' END AS reject_reason FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM r WHERE reject_reason IS NULL)
+"""
+
+
+@query(_ARTICLES + "SELECT pos, id AS external_id, url FROM n WHERE n = 1")
+def dedupe_after_filter(spark, sf):
+    return D.keep_first(D.accepted(D.transform(_articles(spark, sf)))).select("pos", "metadata.external_id", "metadata.url")
+
+
+@query(_ARTICLES + "SELECT pos, reject_reason FROM r WHERE reject_reason IS NOT NULL")
+def reject_reasons(spark, sf):
+    return D.rejects(D.transform(_articles(spark, sf))).select("pos", "reject_reason")
+
+
+@query(_ARTICLES + "SELECT (SELECT count(*) FROM r)::BIGINT AS total, (SELECT count(*) FROM n WHERE n = 1)::BIGINT AS kept, (SELECT count(*) FROM r WHERE reject_reason IS NOT NULL)::BIGINT AS skipped, (SELECT count(*) FROM n WHERE n > 1)::BIGINT AS duplicates")
+def run_counters(spark, sf):
+    return D.counters(D.transform(_articles(spark, sf)))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id < 25")
+def limit_head(spark, sf):
+    from ..sources.documents import head
+
+    return head(table(spark, sf, "documents").withColumnRenamed("doc_id", "pos"), 25).select(F.col("pos").alias("doc_id"), "source")
+
+
+@query("""
+SELECT event_id, CASE WHEN h IS NOT NULL AND h <> '' THEN nullif(trim(h), '') WHEN event_type <> '' THEN event_type END AS title
+FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN ' T' || event_id || ' ' END AS h FROM events)""")
+def first_truthy_title(spark, sf):
+    k = F.col("event_id")
+    basic = F.when(k % 4 == 0, "").when(k % 4 == 1, "  ").when(k % 4 == 2, F.concat(F.lit(" T"), k.cast("string"), F.lit(" ")))
+    doc = variant(F.struct(basic.alias("basic")).alias("headlines"), F.col("event_type").alias("title"))
+    return table(spark, sf, "events").select("event_id", doc.alias("doc")).select("event_id", M.title(F.col("doc")).alias("title"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END WHEN 3 THEN user_id::VARCHAR ELSE event_type END AS s FROM events""")
+def opt_str(spark, sf):
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, F.lit('""')).when(k == 1, F.lit('"\\u2003 "')).when(k == 2, (F.col("user_id") % 2 == 0).cast("string")).when(k == 3, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('" '), "event_type", F.lit('\\t"')))
+    return table(spark, sf, "events").select("event_id", F.parse_json(raw).alias("v")).select("event_id", C.opt_str(F.col("v")).alias("s"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN event_id % 3 = 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.500Z' END AS publish_date FROM events""")
+def opt_iso(spark, sf):
+    k, at = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(k == 0, F.concat(at, F.lit(".000Z"))).when(k == 1, F.concat(at, F.lit(".500Z"))).otherwise("")
+    doc = variant(F.struct(raw.alias("publish_date")).alias("additional_properties"))
+    return table(spark, sf, "events").select("event_id", doc.alias("doc")).select("event_id", M.publish_date(F.col("doc")).alias("publish_date"))
+
+
+@query("SELECT event_id, props::JSON->>'$.k' AS k FROM events")
+def json_path(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "string").alias("k"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.nj.com/p/' || page_id WHEN page_id % 3 = 1 THEN url ELSE '/p/' || page_id END AS url FROM pages""")
+def base_url_join(spark, sf):
+    k = F.col("page_id")
+    own = F.concat(F.lit("/p/"), k.cast("string"))
+    doc = variant(F.when(k % 3 == 0, "nj").otherwise("elsewhere").alias("website"), F.when(k % 3 == 1, F.col("url")).alias("url"), own.alias("canonical_url"))
+    rows = table(spark, sf, "pages").select("page_id", doc.alias("doc"))
+    site = M.website(F.col("doc"))
+    return rows.select("page_id", M.url(F.col("doc"), M.site_data(F.col("doc"), site), M.base_url(site)).alias("url"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'none' END AS url FROM pages")
+def dynamic_key_lookup(spark, sf):
+    name = F.concat(F.lit("s"), (F.col("page_id") % 10).cast("string"))
+    key = F.when(F.col("page_id") % 2 == 0, name).otherwise("missing")
+    doc = F.parse_json(F.to_json(F.struct(name.alias("website"), F.create_map(key, F.struct(F.col("url").alias("website_url"))).alias("websites"), F.lit("none").alias("canonical_url"))))
+    rows = table(spark, sf, "pages").select("page_id", doc.alias("doc"))
+    site = M.website(F.col("doc"))
+    return rows.select("page_id", M.url(F.col("doc"), M.site_data(F.col("doc"), site), M.base_url(site)).alias("url"))
+
+
+@query("""
+SELECT doc_id, array_to_string(list_concat(p, list_filter(list_filter([d1, d2, lang], lambda x, i: list_position([d1, d2, lang], x) = i), lambda x: NOT list_contains(p, x))), '|') AS tags
+FROM (SELECT *, [lang, source, lang] AS p, source AS d1, 'x' || (doc_id % 3) AS d2 FROM documents)""")
+def merge_list_tags(spark, sf):
+    slugs = F.array(*(F.struct(F.col(c).alias("slug")) for c in ("lang", "source", "lang")))
+    direct = F.array(F.col("source"), F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string")), F.col("lang"))
+    doc = variant(F.struct(slugs.alias("tags")).alias("taxonomy"), direct.alias("tags"))
+    return table(spark, sf, "documents").select("doc_id", doc.alias("doc")).select("doc_id", F.array_join(M.tags(F.col("doc")), "|").alias("tags"))
+
+
+@query("""
+SELECT doc_id, array_to_string(list_concat(CASE WHEN lang = b THEN [lang] ELSE [lang, b] END, CASE WHEN source IN (lang, b) THEN [] ELSE [source] END), '|') AS sections
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'news' END AS b FROM documents)""")
+def sections(spark, sf):
+    inner = F.struct(F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("news").alias("site_section")).alias("site")).alias("original")).alias("additional_properties")
+    websites = F.struct(F.struct(F.struct(F.concat(F.lit(" "), "lang").alias("name"), inner).alias("website_section")).alias("w"))
+    doc = variant(F.lit("w").alias("website"), websites.alias("websites"), F.array("source", "lang").alias("sections"))
+    rows = table(spark, sf, "documents").select("doc_id", doc.alias("doc"))
+    return rows.select("doc_id", F.array_join(M.sections(F.col("doc"), M.site_data(F.col("doc"), F.lit("w"))), "|").alias("sections"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE trim(p_type) || '|' || p_brand END AS categories FROM part""")
+def category_labels(spark, sf):
+    label = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Category: "), "p_type")).otherwise(F.concat(F.lit("Category name: "), "p_type", F.lit(" ")))
+    iab = F.struct(F.struct(F.array(F.array(label, F.lit("x"))).alias("iab_taxonomy")).alias("product_categories"))
+    doc = variant(iab.alias("additional_properties"), F.col("p_brand").alias("categories"))
+    return table(spark, sf, "part").select("p_partkey", doc.alias("doc")).select("p_partkey", F.array_join(M.categories(F.col("doc")), "|").alias("categories"))
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.nj.com/t/' || page_id WHEN page_id % 3 = 1 THEN url ELSE 'fallback' END AS thumb FROM pages""")
+def first_image_thumb(spark, sf):
+    k = F.col("page_id")
+    own = F.when(k % 3 == 0, F.concat(F.lit("/t/"), k.cast("string"))).when(k % 3 == 1, F.col("url")).otherwise(" ")
+    element = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.struct(c.alias("thumbnailResizeUrl")).alias("additional_properties"))
+    doc = variant(F.array(element("text", F.lit("no")), element("image", F.lit(" ")), element("image", own), element("image", F.when(k % 3 != 2, "later"))).alias("content_elements"), F.lit("fallback").alias("thumb"))
+    return table(spark, sf, "pages").select("page_id", doc.alias("doc")).select("page_id", M.thumb(F.col("doc"), M.base_url(F.lit("nj"))).alias("thumb"))
+
+
+def _points(spark, sf) -> DataFrame:
+    docs = D.keep_first(D.accepted(D.transform(_articles(spark, sf))))
+    vectors = table(spark, sf, "embeddings")
+    return D.points(docs.join(vectors, docs.pos == vectors.vec_id), F.col("embedding"))
+
+
+@query(_ARTICLES + """
+SELECT id, url, length(d.text)::BIGINT AS n_text, 64::BIGINT AS dim FROM n JOIN documents d ON d.doc_id = n.pos JOIN embeddings e ON e.vec_id = n.pos WHERE n.n = 1""")
+def points_payload(spark, sf):
+    return _points(spark, sf).select("id", "payload.url", F.length("payload.text").cast("long").alias("n_text"), F.size("vector").cast("long").alias("dim"))
+
+
+@query("SELECT doc_id, 8::BIGINT AS dim, 0.0::DOUBLE AS total FROM documents")
+def fake_embeddings(spark, sf):
+    rows = E.attach_vectors(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("vector").cast("long").alias("dim"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query("SELECT vec_id, list_bool_and([isfinite(x) FOR x IN embedding]) AND vec_id % 9 <> 0 AS finite FROM embeddings")
+def vector_finite(spark, sf):
+    faulty = F.when(F.col("vec_id") % 9 == 0, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table(spark, sf, "embeddings").select("vec_id", faulty.alias("v")).select("vec_id", finite.alias("finite"))
+
+
+@query("SELECT count(*)::BIGINT AS n_vectors, count(DISTINCT len(embedding))::BIGINT AS n_dims FROM embeddings")
+def dim_consistency(spark, sf):
+    return E.dimensions(table(spark, sf, "embeddings"), "embedding")
+
+
+def _faulty(spark, sf) -> DataFrame:
+    k = F.col("vec_id")
+    vector = F.when(k % 5 == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    payload = F.struct(F.when(k % 5 == 2, " ").otherwise("t").alias("text"), F.lit("x").alias("title"), F.when(k % 5 != 3, F.concat(F.lit("u"), k.cast("string"))).alias("url"), k.cast("string").alias("external_id"))
+    from ..sources.points import from_columns
+
+    return from_columns(table(spark, sf, "embeddings").select(k.alias("pos"), F.when(k % 5 != 4, k.cast("string")).alias("id"), vector.alias("vector"), payload.alias("payload")))
+
+
+@query("""
+SELECT vec_id AS idx, CASE vec_id % 5 WHEN 4 THEN '[idx=' || vec_id || '] missing ''id''' WHEN 1 THEN '[idx=' || vec_id || '] vector length 63 != expected_dim 64' ELSE '' END AS errors,
+CASE vec_id % 5 WHEN 2 THEN '[idx=' || vec_id || '] payload.text is empty/whitespace' WHEN 3 THEN '[idx=' || vec_id || '] metadata missing expected field ''url''' ELSE '' END AS warnings FROM embeddings""")
+def validate_points_errors(spark, sf):
+    return V.validate(_faulty(spark, sf), 64).select("idx", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
+
+
+@query("SELECT count(*)::BIGINT AS points, count(*) FILTER (WHERE vec_id % 5 IN (1, 4))::BIGINT AS errors, count(*) FILTER (WHERE vec_id % 5 IN (2, 3))::BIGINT AS warnings FROM embeddings")
+def validate_points_summary(spark, sf):
+    return V.summary(V.validate(_faulty(spark, sf), 64))
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch FROM documents")
+def embedding_batches(spark, sf):
+    return ordered.batches(table(spark, sf, "documents").select("doc_id"), 100, "doc_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n > 3")
+def retention_keep_last_n(spark, sf):
+    return D.expired(table(spark, sf, "events").select("user_id", "event_id"), "event_id", 3, ["user_id"])
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return D.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query("""
+WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT vec_id, neighbour, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 9) DESC, neighbour) AS n FROM s) WHERE n <= 5""")
+def cosine_topk(spark, sf):
+    """The five nearest vectors of a stated query set, every vector whose id is divisible by 100."""
+    from ..operators.similarity import nearest
+
+    vectors = table(spark, sf, "embeddings")
+    return nearest(vectors.where("vec_id % 100 = 0"), vectors, 5).withColumn("cosine", F.round("cosine", 6))
+
