@@ -8,14 +8,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decode(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def _decode_all(lists: pd.Series) -> pd.Series:
     return lists.map(lambda own: [s if s is None else html.unescape(s) for s in own], na_action="ignore")
 

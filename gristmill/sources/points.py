@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import strip
 
 _OBJECT = "id variant, vector variant, payload variant, broken string"
+_LIST = "array<struct<id:variant,vector:variant,payload:variant>>"
 _MODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "allowNonNumericNumbers": "true"}
 
 
@@ -21,10 +22,10 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     Raises ValueError for another top-level value, a bad line, a line that is no object, or no point at all in lines.
     """
     files = spark.read.text(path, wholetext=True)
-    whole = files.select(F.from_json("value", "array<string>", {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("list"), F.trim(strip(F.col("value"))).alias("value"))
+    whole = files.select(F.from_json("value", _LIST, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("list"), F.trim(strip(F.col("value"))).alias("value"))
     looks = whole.select(F.substring("value", 1, 1).alias("lead"), F.col("list").isNotNull().alias("is_list"), F.length(F.regexp_replace("value", "[^\n]", "")).alias("breaks"), F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).isNotNull().alias("is_object")).collect()
     if all(x.lead == "[" and x.is_list for x in looks) and looks:
-        return _rows(whole.select(F.posexplode("list").alias("idx", "element"))).drop("broken").withColumn("idx", F.col("idx").cast("long"))
+        return whole.select(F.posexplode("list").alias("idx", "p")).select(F.col("idx").cast("long").alias("idx"), "p.id", "p.vector", "p.payload")
     if len(looks) == 1 and looks[0].lead == "{" and looks[0].breaks == 0 and looks[0].is_object:
         raise ValueError("Expected a list of points at top level")
     return read_point_lines(spark, path)
