@@ -57,6 +57,10 @@ def signatures(items: DataFrame, k: int, percent: int) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, item_id, n_shared and n_item of each item of whose shingles a document has at least `percent` in a hundred."""
+    return _contained(docs, items, k, percent).drop("doc")
+
+
+def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # rows are told apart by their texts, as ids may be null or occur twice
@@ -72,15 +76,16 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.doc") == F.col("f.doc"))
     pairs = found.alias("f").join(sig.alias("s"), F.col("f.item") == F.col("s.item")).select("f.doc_id", "f.doc", "s.item_id", "s.item_text", "s.n")
     pairs = pairs.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("item_id", "item_text", "n")).alias("items"))
-    both = by_text.alias("d").join(pairs.alias("f"), same).select("d.doc_id", shingle_texts(F.col("d.text"), k).alias("own"), "f.items")
-    exact = both.select("doc_id", F.explode(F.transform("items", lambda s: F.struct(s["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("own"), shingle_texts(s["item_text"], k))).cast("long").alias("n_shared"), s["n"].cast("long").alias("n_item")))).alias("x"))
-    return exact.select("doc_id", "x.item_id", "x.n_shared", "x.n_item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    both = by_text.alias("d").join(pairs.alias("f"), same).select("d.doc_id", "d.doc", shingle_texts(F.col("d.text"), k).alias("own"), "f.items")
+    exact = both.select("doc_id", "doc", F.explode(F.transform("items", lambda s: F.struct(s["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("own"), shingle_texts(s["item_text"], k))).cast("long").alias("n_shared"), s["n"].cast("long").alias("n_item")))).alias("x"))
+    return exact.select("doc_id", "doc", "x.item_id", "x.n_shared", "x.n_item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, that hold no item; a row with a null doc_id stays if its text holds none."""
-    leaks = contained_items(docs, items, k, percent).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
+    """The rows of docs, all columns, that hold no item. Rows that share an id, or have none, are judged by their own texts."""
+    leaks = _contained(docs, items, k, percent).select(F.col("doc_id").alias("leaked_id"), F.col("doc").alias("leaked_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("leaked_text"))
+    return docs.join(leaks, same, "left_anti")
 
 
 ORACLE = r"""

@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, that come first in their components; of rows with one doc_id the first text."""
+    """The rows of docs, all columns, that come first in their components; of rows with one doc_id the first text. Rows without a doc_id all stay."""
     found = jaccard_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_doc_id")).distinct()
     kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_doc_id")), "left_semi")
-    return kept.withColumn("kept_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("kept_row = 1").drop("kept_row")
+    return kept.withColumn("kept_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("kept_row = 1 OR doc_id IS NULL").drop("kept_row")

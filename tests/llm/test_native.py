@@ -48,6 +48,13 @@ def test_shuffled_beyond_the_broadcast_limit(spark, docs, corpus, monkeypatch):
     assert sorted(map(tuple, decontaminate.contained_items(docs, items).collect())) == want and want
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    leak = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, leak), (None, "clean"), (1, leak), (1, "also clean"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.clean_documents(docs, items).collect()) == ["", "also clean", "clean"]
+
+
 def test_contained_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(docs, none).count() == 0

@@ -79,4 +79,5 @@ def test_odd_rows(spark, empty):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (5, ""), (6, "a b"), (7, "A B")]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 2, None), (3, 2, None), (3, 2, None), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6)]
-    assert one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+    # components are those of the null id, 4, 5 and 6
+    assert one_of_each(spark.createDataFrame(rows + [(None, "other")], "doc_id long, text string")).count() == 5
