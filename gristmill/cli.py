@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .operators.embed import Settings
 from .operators.validate import report, summary, validate
 from .plans.ingest import run_pipeline
 from .sources.points import read_points
@@ -19,7 +20,7 @@ def session() -> SparkSession:
 
 def ingest(args: argparse.Namespace) -> int:
     try:
-        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size)
+        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size, Settings.read().embedder())
     except Exception:
         logging.getLogger(__name__).exception("the run failed")
         return 1

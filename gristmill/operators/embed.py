@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -24,6 +26,46 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What the environment says about embedding; read once, when asked for."""
+
+    api_key: str | None = None
+    fake: bool = False
+    max_chars: int = MAX_CHARS
+
+    @classmethod
+    def read(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        return cls(env.get("OPENAI_API_KEY") or None, env.get("USE_FAKE_EMBEDDINGS") == "1", int(env.get("MAX_EMBEDDING_CHARS", MAX_CHARS)))
+
+    def embedder(self) -> Embedder:
+        """The provider where a key is set and fakes are not asked for."""
+        return FakeEmbedder() if self.fake or not self.api_key else OpenAIEmbedder(self.api_key)
+
+
+class OpenAIEmbedder:
+    """Vectors from the provider; each Python worker makes its client at the first call."""
+
+    def __init__(self, api_key: str | None, model: str = MODEL):
+        if not api_key:
+            raise ValueError("OPENAI_API_KEY is not set")
+        self.api_key, self.model, self._client = api_key, model, None
+
+    def __getstate__(self):
+        return {"api_key": self.api_key, "model": self.model, "_client": None}
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        import openai
+
+        if self._client is None:
+            self._client = openai.OpenAI(api_key=self.api_key)
+        try:
+            got = self._client.embeddings.create(model=self.model, input=texts)
+        except openai.RateLimitError as e:
+            raise RateLimited(str(e)) from e
+        return [d.embedding for d in sorted(got.data, key=lambda d: d.index)]
+
+
 class FakeEmbedder:
     """Zero vectors, for runs without a provider; expressed as a literal column, no Python involved."""
 

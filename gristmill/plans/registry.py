@@ -304,6 +304,11 @@ def dim_consistency(spark, sf):
     return E.dimensions(table(spark, sf, "embeddings"), "embedding")
 
 
+@query("SELECT vec_id, len(embedding) = 64 AS ok FROM embeddings")
+def vector_dim(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("ok"))
+
+
 def _faulty(spark, sf) -> DataFrame:
     k = F.col("vec_id")
     vector = F.when(k % 5 == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))

@@ -2,7 +2,8 @@
 
 import pytest
 from gristmill.operators import documents as D
-from gristmill.operators.embed import RateLimited, attach_vectors, checked, embed_batches, with_retry
+from gristmill.operators.collection import COLLECTION, internal_documents
+from gristmill.operators.embed import FakeEmbedder, OpenAIEmbedder, RateLimited, Settings, attach_vectors, checked, embed_batches, with_retry
 from gristmill.operators.ordered import batches
 from gristmill.operators.similarity import nearest
 
@@ -67,3 +68,21 @@ def test_nearest(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
     got = nearest(v.where("vec_id = 0"), v, 2).orderBy("neighbour").collect()
     assert [r.neighbour for r in got] == [1, 2]
+
+
+def test_settings():
+    assert isinstance(Settings.read({}).embedder(), FakeEmbedder) and Settings.read({}).max_chars == 8000
+    assert isinstance(Settings.read({"OPENAI_API_KEY": "k"}).embedder(), OpenAIEmbedder)
+    assert isinstance(Settings.read({"OPENAI_API_KEY": "k", "USE_FAKE_EMBEDDINGS": "1"}).embedder(), FakeEmbedder)
+    assert Settings.read({"MAX_EMBEDDING_CHARS": "5"}).max_chars == 5
+    with pytest.raises(ValueError, match="OPENAI_API_KEY"):
+        OpenAIEmbedder(None)
+
+
+def test_collection_helpers(spark):
+    from pyspark.sql import functions as F
+
+    raw = spark.createDataFrame([(0, '{"id": "a", "_id": "b", "headlines": {"basic": "T"}, "canonical_url": "u", "created_date": "d"}'), (1, '{"_id": 5, "headlines": 1, "title": "X"}')], "pos long, j string").select("pos", F.parse_json("j").alias("doc"))
+    got = internal_documents(raw).orderBy("pos").collect()
+    assert [(r.external_id, r.title, r.url, r.published_at) for r in got] == [("a", "T", "u", "d"), ("5", "X", None, None)]
+    assert COLLECTION["size"] == 1536
