@@ -26,8 +26,8 @@ from .words import U64
 PLACES = 1 << 17
 DIM = 2
 SIZES = (3, 4, 5)
-#: Labelled rows of each class in training, at most.
-MAX_LABELLED = 2500
+#: Labelled rows of each class in training, at most; the bias is set right for the true share of the classes.
+MAX_LABELLED = 800
 EPOCHS, RATE = 80, 0.02
 #: Penalties on embeddings, in units of what pure noise would pull; and in how many documents a place must be.
 PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
@@ -90,7 +90,7 @@ class Bags:
         self.filled = np.flatnonzero(np.diff(self.first))
         order = np.argsort(place, kind="stable")
         self.by_doc, self.by_weight = doc[order], self.weight[order, None]
-        self.edges = np.searchsorted(place[order], np.arange(places))
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))[:-1]])
 
     def only(self, places: np.ndarray) -> Bags:
         keep = np.isin(self.place, places)
@@ -137,21 +137,24 @@ class Model:
         return cls(np.zeros(PLACES), float(np.log(share / (1 - share))), Weights(np.zeros(0, U64), np.zeros(0)))
 
     @classmethod
-    def fit(cls, texts: list[str], label: np.ndarray, seed: int = 11) -> Model:
+    def fit(cls, texts: list[str], label: np.ndarray, share: float | None = None, seed: int = 11) -> Model:
         if not len(texts) or label.min() == label.max():
             return cls.constant(float(label.mean()) if len(texts) else 0.0)
-        rng = np.random.default_rng(seed)
         each = []
         weights = Weights.count(pa.array(texts))
         for lo, part in text_slices(pa.array(texts)):
             doc, place, weight = bags(part, weights)
-            each.append((doc + lo, place, weight))
+            each.append(((doc + lo).astype(np.int32), place, weight))
         doc, place, weight = (np.concatenate(x) for x in zip(*each, strict=True))
+        del each
         n = len(texts)
         many = np.bincount(place, minlength=PLACES)
         keep = many[place] >= max(LEAST_DOCS, n // 1000)
         doc, place, weight = doc[keep], place[keep], weight[keep]
-        used, place = np.unique(place, return_inverse=True)
+        used = np.flatnonzero(np.bincount(place, minlength=PLACES))
+        number = np.zeros(PLACES, np.int32)
+        number[used] = np.arange(len(used))
+        place = number[place]
         target = np.stack([1 - label, label], 1).astype(np.float32)
         start = np.log(target.mean(0))
         if not len(used):
@@ -169,7 +172,10 @@ class Model:
         if len(live):
             e, v, b = descend(x.only(live), target, e[live], v, b, REFIT * noise)
             out[used[live]] = e @ (v[:, 1] - v[:, 0]) / scale[live]
-        return cls(out, float(b[1] - b[0]), weights)
+        bias = float(b[1] - b[0])
+        if share is not None and 0 < share < 1:
+            bias += float(np.log(share / (1 - share)) - np.log(label.mean() / (1 - label.mean())))
+        return cls(out, bias, weights)
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = []
@@ -186,7 +192,9 @@ class Model:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Model:
     got = labelled(docs, labels, "toxic", MAX_LABELLED, folds, held).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return Model.fit(got["text"].to_pylist(), got["label"].to_numpy().astype(np.float32))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long"), folds) != held))
+    share = known.agg(F.avg("toxic")).first()[0]
+    return Model.fit(got["text"].to_pylist(), got["label"].to_numpy().astype(np.float32), share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
