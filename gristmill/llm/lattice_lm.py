@@ -237,28 +237,36 @@ def _vocabulary(key, table):
     return pa.table({"bucket": [key[0].as_py()], "body": [B.pack(h, n, length) + body.tobytes()], "n": [int(n.sum())], "v": [int((n > 0).sum())], "end": [end]}, pa.schema([("bucket", pa.int32()), ("body", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("end", pa.int64())]))
 
 
+#: Pieces whose expected numbers travel in one message.
+CHUNK = 4096
+
+
 def _expect(path: str, log_p: np.ndarray):
-    """Expected number of each piece in the distinct training words: pieces are there for words yet unseen."""
+    """Expected number of each piece in a task's distinct training words: pieces are there for words yet unseen."""
 
     def f(batches):
-        pieces = pieces_of(path)
+        pieces, total = pieces_of(path), np.zeros(len(log_p))
         for batch in batches:
             for body in batch.column("body").to_pylist():
                 h, n, length, text = _read(body)
                 words = _split_words(text, length)
-                real = np.flatnonzero((h != end_hash()[0]) & (n > 0))
-                total = np.zeros(len(log_p))
-                words = [words[i] for i in real]
+                words = [words[i] for i in np.flatnonzero((h != end_hash()[0]) & (n > 0))]
                 for _, x in lattices(words, pieces):
                     _, posterior = x.run(log_p, backward=True)
                     own = x.piece >= 0
                     total += np.bincount(x.piece[own], posterior[own], len(log_p))
-                some = np.flatnonzero(total > 0)
-                yield pa.record_batch({"piece": some.astype(np.int32), "expected": total[some]})
+        for lo in range(0, len(total), CHUNK):
+            if total[lo : lo + CHUNK].any():
+                yield pa.record_batch({"chunk": pa.array([lo // CHUNK], pa.int32()), "body": pa.array([total[lo : lo + CHUNK].tobytes()], pa.binary())})
 
     return f
 
 
+def _add(key, table):
+    total = np.sum([np.frombuffer(x) for x in table["body"].to_pylist()], axis=0)
+    return pa.table({"piece": (key[0].as_py() * CHUNK + np.arange(len(total))).astype(np.int32), "expected": total})
+
+
 def _ask(buckets: int):
     def f(key, table):
         train = ~table["held_out"].to_numpy(zero_copy_only=False)
@@ -328,7 +336,7 @@ def lm_scores(docs: DataFrame, model_file: str, folds: int = 7, held: int = 2) -
     pieces = pieces_of(model_file)
     p = pieces.prior
     for _ in range(ROUNDS if n > end else 0):
-        got = vocabulary.select("body").mapInArrow(_expect(model_file, np.log(p)), "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect()
+        got = vocabulary.select("body").mapInArrow(_expect(model_file, np.log(p)), "chunk int, body binary").groupBy("chunk").applyInArrow(_add, "piece int, expected double").collect()
         seen = PRIOR * pieces.prior
         for row in got:
             seen[row.piece] += row.expected
