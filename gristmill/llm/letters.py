@@ -21,14 +21,14 @@ def alpha() -> np.ndarray:
     return _alpha[0]
 
 
-def text_slices(column: pa.Array):
+def text_slices(column: pa.Array, most: int = SLICE_CHARS):
     """Yields (first row, lower-cased texts) for runs of whole documents of bounded size."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lo, held, size = 0, [], 0
     for i in range(len(column)):
         t = column[i].as_py() or ""
-        if held and size + len(t) > SLICE_CHARS:
+        if held and size + len(t) > most:
             yield lo, held
             lo, held, size = i, [], 0
         held.append(t.lower())

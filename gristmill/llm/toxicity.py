@@ -27,10 +27,12 @@ PLACES = 1 << 17
 DIM = 2
 SIZES = (3, 4, 5)
 #: Labelled rows of each class in training, at most; the bias is set right for the true share of the classes.
-MAX_LABELLED = 800
+MAX_LABELLED = 2500
 EPOCHS, RATE = 80, 0.02
 #: Penalties on embeddings, in units of what pure noise would pull; and in how many documents a place must be.
 PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
+#: Characters of training texts that are multiplied out together, and entries that a product reads together.
+TRAINING_CHARS, ENTRIES = 1 << 17, 1 << 19
 #: Share of all running words from which on a word counts for less than half.
 RARE = 1e-3
 
@@ -56,54 +58,112 @@ class Weights:
     @classmethod
     def count(cls, texts: pa.Array) -> Weights:
         h, n = np.zeros(0, U64), np.zeros(0)
-        for _, part in text_slices(texts):
+        for _, part in text_slices(texts, TRAINING_CHARS):
             w = LetterWords(part)
             h, at = np.unique(np.concatenate([h, w.hash]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n, np.bincount(w.which, minlength=len(w.hash))]), len(h))
         return cls(h, n / max(n.sum(), 1))
 
 
-def bags(texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, weight) of a training text's mean of word means, each place once."""
-    w = LetterWords(texts)
+def bags(w: LetterWords, weights: Weights):
+    """(document, word, weight) of a slice, (number of places of each word, places), and of each place the number and the squared weights of the documents that have it."""
     word, place = subwords(w)
     order = np.argsort(word, kind="stable")
     word, place = word[order], place[order]
     first = np.searchsorted(word, np.arange(len(w.hash) + 1))
     pair, many = np.unique(w.doc * np.int64(len(w.hash)) + w.which, return_counts=True)
     doc, own = pair // max(len(w.hash), 1), pair % max(len(w.hash), 1)
-    length = np.diff(first)[own]
-    index = np.arange(length.sum()) + np.repeat(first[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+    length = np.diff(first)
     own_weight = weights.of(w)
     total = np.bincount(w.doc, own_weight[w.which], w.n)
-    weight = np.repeat(many * own_weight[own] / total[doc] / length, length)
-    key, at = np.unique(np.repeat(doc, length) * np.int64(PLACES) + place[index], return_inverse=True)
-    return key // PLACES, (key % PLACES).astype(np.int32), np.bincount(at, weight).astype(np.float32)
+    share = many * own_weight[own] / total[doc] / length[own]
+    # multiplied out for this slice only, each place once for each document
+    each = length[own]
+    index = np.arange(each.sum()) + np.repeat(first[own] - np.concatenate([[0], np.cumsum(each)[:-1]]), each)
+    key, at = np.unique(np.repeat(doc, each) * np.int64(PLACES) + place[index], return_inverse=True)
+    weight, at = np.bincount(at, np.repeat(share, each)), key % PLACES
+    return (doc, own, share), (length, place), np.bincount(at, minlength=PLACES), np.bincount(at, weight**2, PLACES)
+
+
+class Sparse:
+    """A sparse matrix that is read by row and by column; the entries are sorted by row. Without weights each entry is 1."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, rows: int, cols: int, weight: np.ndarray | None = None):
+        self.col, self.rows, self.cols, self.weight = col, rows, cols, weight
+        self.row_at = np.unique(row, return_index=True)
+        order = np.argsort(col, kind="stable")
+        self.by_row, self.by_weight = row[order], None if weight is None else weight[order]
+        self.col_at = np.unique(col[order], return_index=True)
+
+    @staticmethod
+    def sums(values: np.ndarray, at: np.ndarray, weight: np.ndarray | None, n: int, filled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The sum of each filled row's entries, so many entries at a time."""
+        out = np.zeros((n, values.shape[1]), np.float32)
+        which, start = filled
+        cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(at), ENTRIES)), len(start)))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = slice(start[lo], start[hi] if hi < len(start) else len(at))
+            got = values[at[part]]
+            if weight is not None:
+                got *= weight[part, None]
+            out[which[lo:hi]] = np.add.reduceat(got, start[lo:hi] - start[lo], axis=0)
+        return out
+
+    def times(self, e: np.ndarray) -> np.ndarray:
+        return self.sums(e, self.col, self.weight, self.rows, self.row_at)
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        return self.sums(d, self.by_row, self.by_weight, self.cols, self.col_at)
 
 
 class Bags:
-    """Documents by places, as a sparse matrix that is read by document and by place."""
+    """Documents by places, as documents by words and words by places: a word's places are held once, not for each document."""
 
-    def __init__(self, doc: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int, places: int):
-        self.doc, self.place, self.weight, self.n, self.places = doc, place, weight.astype(np.float32), n, places
-        self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.filled = np.flatnonzero(np.diff(self.first))
-        order = np.argsort(place, kind="stable")
-        self.by_doc, self.by_weight = doc[order], self.weight[order, None]
-        self.edges = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=places))[:-1]])
+    def __init__(self, docs: Sparse, words: Sparse, scale: np.ndarray):
+        self.docs, self.words, self.scale, self.n, self.places = docs, words, scale.astype(np.float32)[:, None], docs.rows, words.cols
 
     def only(self, places: np.ndarray) -> Bags:
-        keep = np.isin(self.place, places)
-        return Bags(self.doc[keep], np.searchsorted(places, self.place[keep]), self.weight[keep], self.n, len(places))
+        w = self.words
+        keep = np.isin(w.col, places)
+        row = np.repeat(w.row_at[0], np.diff(np.append(w.row_at[1], len(w.col))))[keep]
+        return Bags(self.docs, Sparse(row.astype(np.int32), np.searchsorted(places, w.col[keep]).astype(np.int32), w.rows, len(places)), self.scale[places, 0])
 
     def means(self, e: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, e.shape[1]), np.float32)
-        if len(self.filled):
-            out[self.filled] = np.add.reduceat(e[self.place] * self.weight[:, None], self.first[self.filled], axis=0)
-        return out
+        return self.docs.times(self.words.times(e / self.scale))
 
     def back(self, d: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(d[self.by_doc] * self.by_weight, self.edges, axis=0)
+        return self.words.back(self.docs.back(d)) / self.scale
+
+    @classmethod
+    def build(cls, column: pa.Array, weights: Weights, least: int) -> tuple[Bags, np.ndarray, np.ndarray]:
+        """Bags of the places that at least so many documents have, each place at the same scale; number and scale of these places."""
+        known, parts, letters = np.zeros(0, U64), [], [(np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        many, squares, n = np.zeros(PLACES, np.int64), np.zeros(PLACES), len(column)
+        for lo, texts in text_slices(column, TRAINING_CHARS):
+            w = LetterWords(texts)
+            (doc, own, share), (length, place), docs_of, squares_of = bags(w, weights)
+            many += docs_of
+            squares += squares_of
+            parts.append(((doc + lo).astype(np.int32), w.hash, own.astype(np.int32), share.astype(np.float32)))
+            fresh = find(known, w.hash) < 0
+            letters.append((w.hash[fresh], length[fresh].astype(np.int32), place[np.repeat(fresh, length)].astype(np.int32)))
+            known = np.union1d(known, w.hash)
+        used = np.flatnonzero(many >= least)
+        scale = np.sqrt(squares[used] / max(n, 1))
+        # words are numbered as they are first seen, so that their places are in order
+        seen, length, place = (np.concatenate([x[k] for x in letters]) for k in range(3))
+        del letters
+        number = np.argsort(seen).astype(np.int32)
+        own = [number[np.searchsorted(known, h)][o] for _, h, o, _ in parts]
+        doc, share = ([p[k] for p in parts] for k in (0, 3))
+        del parts
+        doc, own, share = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((doc, np.int32), (own, np.int32), (share, np.float32)))
+        keep = many[place] >= least
+        word = np.repeat(np.arange(len(seen), dtype=np.int32), length)[keep]
+        to = np.zeros(PLACES, np.int32)
+        to[used] = np.arange(len(used))
+        place = to[place[keep]]
+        return cls(Sparse(doc, own, n, len(seen), share), Sparse(word, place, len(seen), len(used)), scale), used, scale
 
 
 def descend(x: Bags, target: np.ndarray, e: np.ndarray, v: np.ndarray, b: np.ndarray, penalty: float):
@@ -137,31 +197,18 @@ class Model:
         return cls(np.zeros(PLACES), float(np.log(share / (1 - share))), Weights(np.zeros(0, U64), np.zeros(0)))
 
     @classmethod
-    def fit(cls, texts: list[str], label: np.ndarray, share: float | None = None, seed: int = 11) -> Model:
+    def fit(cls, texts: list[str] | pa.Array | pa.ChunkedArray, label: np.ndarray, share: float | None = None, seed: int = 11) -> Model:
         if not len(texts) or label.min() == label.max():
             return cls.constant(float(label.mean()) if len(texts) else 0.0)
-        each = []
-        weights = Weights.count(pa.array(texts))
-        for lo, part in text_slices(pa.array(texts)):
-            doc, place, weight = bags(part, weights)
-            each.append(((doc + lo).astype(np.int32), place, weight))
-        doc, place, weight = (np.concatenate(x) for x in zip(*each, strict=True))
-        del each
-        n = len(texts)
-        many = np.bincount(place, minlength=PLACES)
-        keep = many[place] >= max(LEAST_DOCS, n // 1000)
-        doc, place, weight = doc[keep], place[keep], weight[keep]
-        used = np.flatnonzero(np.bincount(place, minlength=PLACES))
-        number = np.zeros(PLACES, np.int32)
-        number[used] = np.arange(len(used))
-        place = number[place]
-        target = np.stack([1 - label, label], 1).astype(np.float32)
-        start = np.log(target.mean(0))
+        column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+        n = len(column)
+        weights = Weights.count(column)
+        # each place at the same scale, so that one penalty suits all of them
+        x, used, scale = Bags.build(column, weights, max(LEAST_DOCS, n // 1000))
         if not len(used):
             return cls.constant(float(label.mean()))
-        # each place at the same scale, so that one penalty suits all of them
-        scale = np.sqrt(np.bincount(place, weight**2, len(used)) / n).astype(np.float32)
-        x = Bags(doc, place, weight / scale[place], n, len(used))
+        target = np.stack([1 - label, label], 1).astype(np.float32)
+        start = np.log(target.mean(0))
         noise = float(np.sqrt(target.mean(0).prod() / n) * np.sqrt(2 * np.log(len(used) + 1)))
         rng = np.random.default_rng(seed)
         v = np.array([[-0.5, 0.5], [0.5, -0.5]], np.float32) + rng.normal(0, 0.05, (DIM, 2)).astype(np.float32)
@@ -194,7 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     got = labelled(docs, labels, "toxic", MAX_LABELLED, folds, held).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long"), folds) != held))
     share = known.agg(F.avg("toxic")).first()[0]
-    return Model.fit(got["text"].to_pylist(), got["label"].to_numpy().astype(np.float32), share)
+    return Model.fit(got["text"], got["label"].to_numpy().astype(np.float32), share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
