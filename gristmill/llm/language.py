@@ -24,8 +24,6 @@ from .samples import MAX_CHARS, fold
 MAX_LABELLED = 4000
 #: Characters of the longest n-gram.
 LONGEST = 5
-#: Words and n-grams of each length that are kept, the most frequent first.
-MAX_KEYS = 150_000
 
 
 class Model:
@@ -60,9 +58,6 @@ class Model:
                 np.add.at(counts[:, k], at[lo : lo + len(h)], many)
                 lo += len(h)
             total = counts.sum(0)
-            if len(keys) > MAX_KEYS:
-                best = np.sort(np.lexsort((keys, -counts.sum(1)))[:MAX_KEYS])
-                keys, counts = keys[best], counts[best]
             score = np.log((counts + 0.5) / (total + 0.5 * (len(keys) + 1)))
             top = score.max(1, keepdims=True)
             tables.append((keys, score - top - np.log(np.exp(score - top).sum(1, keepdims=True))))

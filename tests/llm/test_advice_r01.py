@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 from gristmill.llm import toxicity
-from gristmill.llm.letters import LetterWords
+from gristmill.llm.language import Model
+from gristmill.llm.letters import LetterWords, find
 
 
 def test_toxicity_learns_from_2500_of_each_class(spark, monkeypatch):
@@ -34,3 +35,12 @@ def test_toxicity_bags_are_the_means_of_word_means():
     # a word's places are held once, however many documents have it
     more = toxicity.Bags.build(pa.array(texts * 5), none, 1)[0]
     assert len(more.words.col) == len(x.words.col) and len(more.docs.col) == 5 * len(x.docs.col)
+
+
+def test_language_keeps_every_word_of_its_sample():
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [" ".join(word(i) for i in range(lo, lo + 1000)) for lo in range(0, 160_000, 1000)]
+    model = Model.fit(texts, ["aa", "bb"] * (len(texts) // 2))
+    assert len(model.tables[0][0]) == 160_000
+    w = LetterWords(texts)
+    assert (find(model.tables[0][0], w.hash) >= 0).all()
