@@ -3,7 +3,8 @@
 A word seen in training scores by its log frequency in each language. A word never seen falls
 back to its longest character n-grams that were seen, from five characters down to one. What a
 word says is normalised over the languages, and a document is the sum over its words. Word and
-n-gram counts come from a bounded sample of labelled documents outside the held-out fold.
+n-gram counts come from a bounded sample of each language's labelled documents outside the
+held-out fold.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Ties go to the
 first language in alphabetical order. Repeated rows are judged alike. Without a labelled
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .letters import LetterWords, find, text_slices
 from .samples import MAX_CHARS, fold
 
-#: Labelled documents to learn from, at most.
-MAX_LABELLED = 4000
+#: Labelled documents of each language to learn from: those of the least hashes, as many as this and up to one in STEPS more.
+MAX_LABELLED, STEPS = 4000, 16
 #: Characters of the longest n-gram.
 LONGEST = 5
 
@@ -96,13 +97,21 @@ class Model:
         return (np.concatenate(best), np.concatenate(share)) if best else (np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit_language(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
+def usable(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """doc_id, lang, text and place (the higher, the lower the hash of the id) of every row that can be learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    # the ids are chosen first, so that only the texts of a bounded sample move
-    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = rows.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
-    got = texts.join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held) & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+    share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    return rows.withColumn("place", F.floor(-STEPS * F.log2(F.greatest(share, F.lit(2.0**-50)))))
+
+
+def fit_language(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
+    rows = usable(docs, folds, held)
+    # a count by place tells where a language has enough documents; then only the texts of a bounded sample move
+    counts = rows.select("lang", "doc_id", "place").distinct().groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"))
+    higher = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("place"))) - F.col("n")
+    least = counts.withColumn("higher", higher).where(F.col("higher") < MAX_LABELLED).groupBy("lang").agg(F.min("place").alias("least"))
+    got = rows.join(F.broadcast(least), "lang").where("place >= least").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return Model.fit(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
