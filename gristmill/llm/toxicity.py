@@ -3,7 +3,7 @@
 A word is itself and its character n-grams, each with an embedding; a document is the mean of
 its words' means. Embeddings and softmax weights are trained together, so a misspelling that
 was never seen still has most of its n-grams' vectors. The labels come from a bounded sample of
-the training fold. As the softmax is linear in the mean, a trained model is scored by the one
+the training fold; how common a word is, is counted over all documents. As the softmax is linear in the mean, a trained model is scored by the one
 number that each embedding adds to the logit, which gives the same results.
 
 Defined cases: a null text, or one without letters, has the score of an empty bag (the bias).
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import checkpointed
 from .letters import LetterWords, find, text_slices
 from .samples import fold, labelled
 from .words import U64
@@ -33,6 +34,8 @@ EPOCHS, RATE = 80, 0.02
 PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
 #: Characters of training texts that are multiplied out together, and entries that a product reads together.
 TRAINING_CHARS, ENTRIES = 1 << 17, 1 << 19
+#: Counts of words that a task holds before it passes them on.
+HELD = 1 << 20
 #: Share of all running words from which on a word counts for less than half.
 RARE = 1e-3
 
@@ -64,6 +67,34 @@ class Weights:
             n = np.bincount(at, np.concatenate([n, np.bincount(w.which, minlength=len(w.hash))]), len(h))
         return cls(h, n / max(n.sum(), 1))
 
+    @classmethod
+    def over(cls, docs: DataFrame) -> Weights:
+        """Counted over all documents, where they are; only words above the fixed share come to the driver, 100 / RARE at most."""
+
+        def tally(held):
+            h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return pa.record_batch({"h": h.view(np.int64), "n": np.bincount(at, np.concatenate([x[1] for x in held]), len(h)).astype(np.int64)})
+
+        def count(batches):
+            held, size = [], 0
+            for batch in batches:
+                for _, part in text_slices(batch.column("text")):
+                    w = LetterWords(part)
+                    held.append((w.hash, np.bincount(w.which, minlength=len(w.hash))))
+                    size += len(w.hash)
+                    if size > HELD:
+                        yield tally(held)
+                        held, size = [], 0
+            if held:
+                yield tally(held)
+
+        words = checkpointed(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+        total = words.agg(F.sum("n")).first()[0] or 1
+        got = words.where(F.col("n") > RARE / 100 * total).toArrow()
+        h, n = got["h"].to_numpy().view(U64), got["n"].to_numpy()
+        order = np.argsort(h)
+        return cls(h[order], n[order] / total)
+
 
 def bags(w: LetterWords, weights: Weights):
     """(document, word, weight) of a slice, (number of places of each word, places), and of each place the number and the squared weights of the documents that have it."""
@@ -197,12 +228,12 @@ class Model:
         return cls(np.zeros(PLACES), float(np.log(share / (1 - share))), Weights(np.zeros(0, U64), np.zeros(0)))
 
     @classmethod
-    def fit(cls, texts: list[str] | pa.Array | pa.ChunkedArray, label: np.ndarray, share: float | None = None, seed: int = 11) -> Model:
+    def fit(cls, texts: list[str] | pa.Array | pa.ChunkedArray, label: np.ndarray, share: float | None = None, weights: Weights | None = None, seed: int = 11) -> Model:
         if not len(texts) or label.min() == label.max():
             return cls.constant(float(label.mean()) if len(texts) else 0.0)
         column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
         n = len(column)
-        weights = Weights.count(column)
+        weights = weights or Weights.count(column)
         # each place at the same scale, so that one penalty suits all of them
         x, used, scale = Bags.build(column, weights, max(LEAST_DOCS, n // 1000))
         if not len(used):
@@ -241,7 +272,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     got = labelled(docs, labels, "toxic", MAX_LABELLED, folds, held).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long"), folds) != held))
     share = known.agg(F.avg("toxic")).first()[0]
-    return Model.fit(got["text"], got["label"].to_numpy().astype(np.float32), share)
+    return Model.fit(got["text"], got["label"].to_numpy().astype(np.float32), share, Weights.over(docs))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

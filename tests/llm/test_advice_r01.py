@@ -61,3 +61,15 @@ def test_language_samples_each_language(spark, monkeypatch):
     seen.clear()
     language.fit_language(rows)
     assert set(seen) == set(have) and 100 <= seen["aa"] <= 130
+
+
+def test_toxicity_weights_count_all_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity.Model, "fit", classmethod(lambda cls, texts, label, share=None, weights=None: seen.update(weights=weights) or cls.constant(0.5)))
+    docs = spark.range(1000).selectExpr("id AS doc_id", "IF(id < 10, 'vile', 'kind word')  AS text").union(spark.createDataFrame([(None, None)], "doc_id long, text string"))
+    toxicity.fit_toxicity(docs, spark.range(20).selectExpr("id AS doc_id", "CAST(id < 10 AS int) AS toxic"))
+    w = LetterWords(["vile", "kind word"])
+    share = np.array([10, 990, 990]) / 1990
+    text = ["vile", "kind", "word"]
+    order = [int(np.flatnonzero(w.hash == LetterWords([t]).hash[0])[0]) for t in text]
+    assert np.allclose(seen["weights"].of(w)[order], toxicity.RARE / (toxicity.RARE + share))
