@@ -14,6 +14,7 @@ they are when redacting. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .decontaminate import let
 
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
-#: Findings to train on, at most.
+#: Findings of each label to train on, at most; of more, those of the least hashes.
 MAX_FINDINGS = 4000
 TREES, DEPTH, LEAST = 15, 6, 8
 MASK = "[SECRET]"
@@ -127,9 +128,18 @@ def tree_sql(tree) -> str:
     return f"CASE WHEN {FEATURES[f]} < {cut!r}D THEN {tree_sql(left)} ELSE {tree_sql(right)} END"
 
 
+def sample(findings: list[tuple[str, str, str, int]]) -> list[tuple[str, str, str, int]]:
+    """At most MAX_FINDINGS of each label, chosen by hash whatever the order of the list; they stay in its order."""
+    place = lambda i: (hashlib.blake2b(json.dumps(findings[i]).encode(), digest_size=8).digest(), i)
+    by_label: dict[int, list[int]] = {}
+    for i, f in enumerate(findings):
+        by_label.setdefault(f[3], []).append(i)
+    return [findings[i] for i in sorted(i for own in by_label.values() for i in (own if len(own) <= MAX_FINDINGS else sorted(own, key=place)[:MAX_FINDINGS]))]
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, int]], seed: int = 3) -> list:
     """The trees; features of the findings come from the same expressions as those of candidates."""
-    rows = json.dumps([dict(zip(("before", "word", "token", "label"), f, strict=True)) for f in findings[:MAX_FINDINGS]])
+    rows = json.dumps([dict(zip(("before", "word", "token", "label"), f, strict=True)) for f in sample(findings)])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<before:string,word:string,token:string,label:int>>")))
     got = table.select("label", *(c.alias(k) for k, c in features(F.col("token"), F.col("word"), F.col("before")).items())).collect()
     data = np.array([list(r) for r in got], float)

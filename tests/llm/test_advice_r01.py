@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from gristmill.llm import language, toxicity
+from gristmill.llm import language, secrets, toxicity
 from gristmill.llm.language import Model
 from gristmill.llm.letters import LetterWords, find
 
@@ -73,3 +73,12 @@ def test_toxicity_weights_count_all_documents(spark, monkeypatch):
     text = ["vile", "kind", "word"]
     order = [int(np.flatnonzero(w.hash == LetterWords([t]).hash[0])[0]) for t in text]
     assert np.allclose(seen["weights"].of(w)[order], toxicity.RARE / (toxicity.RARE + share))
+
+
+def test_secret_findings_of_both_labels_train(spark):
+    made = secrets.labelled_findings(n=12000)
+    by_label = sorted(made, key=lambda f: f[3])
+    got = secrets.sample(by_label)
+    assert Counter(f[3] for f in got) == {0: 4000, 1: 4000} and sorted(got) == sorted(secrets.sample(made))
+    assert secrets.sample(made[:3000]) == made[:3000]
+    assert any(not isinstance(t, float) for t in secrets.train(spark, by_label))
