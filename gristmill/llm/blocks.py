@@ -8,9 +8,12 @@ does this word occur) is answered in three steps, each of which has bounded task
 3. the block reads the answers beside its documents.
 
 A key that occurs in a third of all rows reaches a bucket once from each block, not once from
-each row. Messages are packed binaries, so a key costs its own bytes and little more. The
-number of blocks and buckets follows spark.sql.shuffle.partitions, which is to be set by
-the size of the input. The texts are shuffled once: every step has the same exchange.
+each row. Messages are packed binaries, so a key costs its own bytes and little more. A message
+holds at least one key, so there are never more messages than distinct keys of blocks, however
+many blocks there are: messages grow with the text. The number of blocks (and of buckets)
+follows the bytes of all texts, which are summed up first, so a block has a bounded size
+whatever spark.sql.shuffle.partitions says. The texts are shuffled once: every step has the
+same exchange.
 """
 
 from __future__ import annotations
@@ -20,30 +23,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks to a shuffle partition; there is one bucket to each, as messages number blocks times buckets at most.
-BLOCKS_PER_PARTITION = 2
+#: Bytes of text in a block: the first up to MOST_BLOCKS blocks, then more, up to the second.
+BLOCK_BYTES, LARGEST_BLOCK, MOST_BLOCKS = 8 << 20, 256 << 20, 20_000
 ASK = "block int, bucket int, body binary"
 ANSWER = "block int, body binary"
 
 
-def parts(spark: SparkSession) -> tuple[int, int]:
-    """Numbers of blocks and of buckets."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return BLOCKS_PER_PARTITION * n, n
+def block_count(total: int, partitions: int) -> int:
+    """Number of blocks, and of buckets, for so many bytes of text."""
+    size = min(max(BLOCK_BYTES, -(-total // MOST_BLOCKS)), LARGEST_BLOCK)
+    return max(partitions, -(-total // size))
 
 
-def with_block(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Adds block: rows of one id share a block; a null id counts as an id."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+def parts(docs: DataFrame) -> int:
+    """Number of blocks for the texts of docs, one for each shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return block_count(int(total), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_block(docs: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Adds block; rows alike in all keys share a block, and a null key counts as a key."""
+    return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
 def scratch(spark: SparkSession) -> None:
-    """Sets a folder for checkpoints where the session has none (tests); a cluster names a shared one."""
-    if not spark.sparkContext.getCheckpointDir():
+    """Sets the folder for checkpoints: spark.checkpoint.dir, or one of this machine where all of Spark runs on it (tests)."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        own = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gristmill-checkpoints"
-        spark.sparkContext.setCheckpointDir(own)
+        own = f"{tempfile.gettempdir()}/gristmill-checkpoints"
+    spark.sparkContext.setCheckpointDir(own)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -52,9 +66,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What may be broadcast, counted before it is: rows of a few dozen bytes.
+BROADCAST_ROWS = 200_000
+
+
+def join_by_hot_key(rows: DataFrame, keyed: DataFrame, on: list[str], copies: str) -> DataFrame:
+    """rows joined (inner) with keyed, whose keys are unique and whose column `copies` tells how many rows have them.
+
+    Keys with more than one in BROADCAST_ROWS of all rows, which are fewer than BROADCAST_ROWS by
+    arithmetic, are broadcast, so that no task gets all rows of a key; the others are shuffled.
+    """
+    total = keyed.agg(F.sum(copies)).first()[0] or 0
+    limit = max(1000, total // BROADCAST_ROWS)
+    hot = keyed.where(F.col(copies) > limit)
+    if not hot.limit(1).count():
+        return rows.join(keyed, on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col(copies) <= limit), on))
+
+
+def bucket_of(key_hash: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its high bits."""
+    return ((key_hash >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def split(key_hash: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, indices) of the hashes, by their high bits; indices keep their order."""
-    bucket = ((key_hash >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """(bucket, indices) of the hashes; indices keep their order."""
+    bucket = bucket_of(key_hash, buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     return [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]

@@ -140,9 +140,18 @@ class Lattice:
         return out
 
 
-def lattices(words: list[bytes], pieces: Pieces, most: int = 20_000):
-    for lo in range(0, len(words), most):
-        yield lo, Lattice(words[lo : lo + most], pieces)
+#: Bytes of words whose lattices are run together; a longer word makes a lattice of its own.
+LATTICE_BYTES = 1 << 18
+
+
+def lattices(words: list[bytes], pieces: Pieces, most: int = LATTICE_BYTES):
+    """Lattices of words one after the other, so many bytes at a time."""
+    at = np.concatenate([[0], np.cumsum([len(w) + 3 for w in words])])
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield lo, Lattice(words[lo:hi], pieces)
+        lo = hi
 
 
 def log_marginals(words: list[bytes], pieces: Pieces, log_p: np.ndarray) -> np.ndarray:
@@ -327,11 +336,10 @@ def _score(buckets: int, end: int, log_end: float):
 
 def lm_scores(docs: DataFrame, model_file: str, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    _, buckets = B.parts(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), folds) == held).alias("held_out"))
+    buckets = B.parts(own)
     sent = own.where(~F.col("held_out")).mapInArrow(_count(buckets), "bucket int, body binary")
-    vocabulary = B.checkpointed(sent.groupBy("bucket").applyInArrow(_vocabulary, "bucket int, body binary, n long, v long, end long"))
+    vocabulary = B.checkpointed(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_vocabulary, "bucket int, body binary, n long, v long, end long"))
     n, v, end = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.sum("v"), F.sum("end")).first())
     pieces = pieces_of(model_file)
     p = pieces.prior
@@ -343,9 +351,9 @@ def lm_scores(docs: DataFrame, model_file: str, folds: int = 7, held: int = 2) -
         p = seen / seen.sum() * (1 - 0.001)
     log_end = float(np.log(end / (n + v))) if end else float(np.log(0.1))
     log_p = np.log(p)
-    dealt = B.with_block(own, buckets).repartition(buckets, "block")
+    dealt = B.with_block(own, buckets, "doc_id", "text").repartition(buckets, "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(buckets), B.ASK)
-    replies = asked.groupBy("bucket").cogroup(vocabulary.select("bucket", "body").groupBy("bucket")).applyInArrow(_answer(model_file, log_p, n, v), B.ASK)
+    replies = asked.repartition(buckets, "bucket").groupBy("bucket").cogroup(vocabulary.select("bucket", "body").groupBy("bucket")).applyInArrow(_answer(model_file, log_p, n, v), B.ASK)
     scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(buckets, end, log_end), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -1,44 +1,55 @@
 """N-gram Jaccard join on a prefix tree.
 
-Equal sets are merged into classes first. Their shingles have one global order, rare ones first:
-documents that link must share one of the first shingles of either, so those that share none
-are no candidates. For that, blocks of documents send hashed buckets the shingles of a fixed
-part of the hash space, and learn which ones others have too; the order within that part is by
-how many do, and any prefix that reaches beyond it goes on in order of the hash.
-
-Documents that share a prefix shingle are grouped (connected components), and a group's sets go
-into a trie, shingles that most of them have first, so that near copies share long paths. Each
-set walks the trie with the overlap so far; a subtree is left when what remains of the set and
-of its longest path can no longer reach the overlap that the sizes ask for, or when all of its
-documents are connected to the set already. A group too large for one task is cut into chunks
-of which every pair has a task of its own.
-
-Links are exact on 64-bit shingle hashes. Defined cases: null and blank texts have empty sets
-and link with nothing; a text of fewer words than a shingle has is one shingle. Rows that share
-a doc_id are one node. A null doc_id comes before all others. Other columns are not read. An
-empty table gives an empty result.
+Equal sets are merged into classes first, of which one row each goes on. Shingles have one global
+order: by the number of classes that have them, in powers of two, rare ones first, then by hash.
+Blocks of documents learn that order from hashed buckets. Two sets that link share one of the
+first shingles of either, so documents meet by the shingles of these prefixes and by size class;
+the place of the first shared shingle bounds the size of the partner once more.
+
+What meets in one shingle is joined on a trie of the globally ordered sets, read from the common
+end, so that near copies share long paths. A set walks down the trie level by level with the
+overlap so far; a subtree is left when what remains of the set and of its longest path can no
+longer reach the overlap that the sizes ask for, or when all of its documents are connected to
+the set already.
+
+Which documents a chain of links connects is found in two passes, so that a set does not travel to
+all of its prefix shingles:
+
+A. each set goes to its rarest and to its commonest prefix shingle. Groups beyond a size are
+   dealt into chunks, and each chunk is joined by itself;
+B. shingles whose documents are all connected by now need no more. Of shingles with the same
+   documents, one is enough. In what is left, only pairs of different components are of interest:
+   the documents outside of the largest component (the strays) are joined with every chunk.
+
+No link between different texts is lost, and pairs within a component are never listed.
+
+Links are exact on 64-bit shingle hashes. Defined cases: null and blank texts have empty sets and
+link with nothing; a text of fewer words than a shingle has is one shingle, and a text of any
+length is read whole. Rows that share a doc_id are one node: texts that link with either of them
+are in one component. A null doc_id comes before all others. Other columns, whatever their names,
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import connected_components
 from .letters import find
-from .words import U64, WORD_BASE, WORD_INV, Words, distinct_per_doc, slices, spans_hash
+from .words import U64, WORD_BASE, WORD_INV, Words, distinct_per_doc, mix, slices, spans_hash
 
-#: Part of the hash space whose shingles are counted. Above 1 - similarity, most prefixes lie within it.
-PART = 0.4
-#: Shingle hashes of one task of the trie; larger groups are cut into chunks of this size.
-CHUNK_HASHES = 4_000_000
+#: Sets and shingle hashes of a chunk, about.
+CHUNK_SETS, CHUNK_HASHES = 500, 1_000_000
 #: A null doc_id.
 NULL_ID = -(2**63)
 _SECOND = U64(0xE7037ED1A0B428DB)
+ROWS = "id long, th long, n long, f1 long, f2 long"
+SETS = "id long, th long, n long, body binary, key array<long>, rank array<tinyint>, guest array<tinyint>, room array<long>"
+LINKS = "u_id long, u_th long, v_id long, v_th long"
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -46,6 +57,19 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def room(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Largest partner of a set of n whose first shared shingle stands at a place."""
+    return (100 + percent) * (n - place) // percent - n
+
+
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets that link are in the same class or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] <= int(n.max(initial=1)):
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.searchsorted(np.array(edges), n, "right")
+
+
 def _sets(column: pa.Array, k: int):
     """Yields (first row, number of documents, document and hash of each distinct shingle)."""
     for lo, data, offsets in slices(column):
@@ -60,39 +84,41 @@ def _signatures(k: int):
                 first = np.searchsorted(doc, np.arange(n + 1))
                 one = spans_hash(h, first[:-1], first[1:], WORD_BASE, WORD_INV)
                 two = spans_hash(h ^ _SECOND, first[:-1], first[1:], WORD_BASE, WORD_INV)
-                yield pa.record_batch({"id": b.column("id").slice(lo, n), "n": np.diff(first), "f1": one.view(np.int64), "f2": two.view(np.int64)})
+                own = {c: b.column(c).slice(lo, n) for c in ("id", "th")}
+                yield pa.record_batch(own | {"n": np.diff(first), "f1": one.view(np.int64), "f2": two.view(np.int64)})
 
     return f
 
 
-def _chosen(table: pa.Table, marks: pa.Table) -> pa.Table:
-    """The block's rows that stand for a class, in a fixed order."""
-    table = table.filter(pc.is_in(table["id"], value_set=marks["id"].combine_chunks()))
-    return table.sort_by([("id", "ascending"), ("text", "ascending")])
+def _row_keys(table: pa.Table) -> np.ndarray:
+    return mix(table["id"].to_numpy().view(U64)) ^ mix(table["th"].to_numpy().view(U64) + U64(1))
 
 
-def _limit() -> np.uint64:
-    return U64(int(PART * 2**32)) << U64(32)
+def _chosen(table: pa.Table, marks: pa.Table) -> pa.Table:
+    """The block's rows that stand for a class, each once, in a fixed order."""
+    own, wanted = _row_keys(table), np.sort(_row_keys(marks))
+    keys, first = np.unique(own, return_index=True)
+    return table.take(pa.array(first[find(wanted, keys) >= 0]))
 
 
 def _low(h: np.ndarray) -> np.ndarray:
     return (h & U64(2**32 - 1)).astype(np.uint32)
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    """The counted part of the hash space stretched over all of it, to deal it out evenly."""
-    return ((h >> U64(32)).astype(np.float64) / PART).astype(U64) << U64(32)
+#: Counts travel as eighths of their logarithm to the base of two.
+def _packed_count(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(8 * np.log2(n)), 255).astype(np.uint8)
 
 
 def _ask(k: int, buckets: int):
     def f(key, table, marks):
         table = _chosen(table, marks)
-        found = [h[h < _limit()] for _, _, _, h in _sets(table["text"], k)] if table.num_rows else []
+        found = [h for _, _, _, h in _sets(table["text"], k)] if table.num_rows else []
         if not found:
             return B.asks([])
         h, n = np.unique(np.concatenate(found), return_counts=True)
         # the bucket tells the high bits; the low 32 tell shingles apart within it
-        return B.asks([(key[0].as_py(), b, B.pack(_low(h[i]), np.minimum(n[i], 255).astype(np.uint8))) for b, i in B.split(_spread(h), buckets)])
+        return B.asks([(key[0].as_py(), b, B.pack(_low(h[i]), _packed_count(n[i]))) for b, i in B.split(h, buckets)])
 
     return f
 
@@ -101,25 +127,31 @@ def _answer(key, table):
     blocks, bodies = table["block"].to_pylist(), table["body"].to_pylist()
     who, (low, n) = B.merged(bodies, "u4", "u1")
     _, group = np.unique(low, return_inverse=True)
-    total = np.bincount(group, n)
-    rank = np.minimum(np.log2(np.maximum(total, 1)).astype(np.uint8) + 1, 254).astype(np.uint8)[group]
-    keep = total[group] > 1
+    total = np.bincount(group, 2.0 ** (n / 8))
+    # 0: a shingle that only one class has
+    rank = np.where(total > 1.5, np.ceil(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[group]
     bucket = key[0].as_py()
     out = []
+    order = np.lexsort((low, who))
+    low, rank, who = low[order], rank[order], who[order]
+    edges = np.searchsorted(who, np.arange(len(blocks) + 1))
     for i in range(len(blocks)):
-        own = keep & (who == i)
+        a, b = edges[i], edges[i + 1]
+        own = rank[a:b] > 0
         if own.any():
-            order = np.argsort(low[own], kind="stable")
-            out.append((blocks[i], bucket, B.pack(low[own][order], rank[own][order])))
+            out.append((blocks[i], bucket, B.pack(low[a:b][own], rank[a:b][own])))
     return B.asks(out)
 
 
 def _survivors(k: int, percent: int, buckets: int):
+    """Sets that share a prefix shingle with another one: their hashes and ranks from the common end, and their prefix shingles."""
+
     def f(key, table, told):
         step = told["step"].to_numpy()
-        marks, replies = told.filter(pa.array(step == 0)), told.filter(pa.array(step == 1))
-        table = _chosen(table, marks)
-        ids, sizes, sets, keys = [], [], [], []
+        table = _chosen(table, told.filter(pa.array(step == 0)))
+        replies = told.filter(pa.array(step == 1))
+        out: list[list] = [[], [], [], []]
+        flat: list[tuple] = []
         if table.num_rows and replies.num_rows:
             number = replies["bucket"].to_pylist()
             each = [B.unpack(x, "u4", "u1") for x in replies["body"].to_pylist()]
@@ -127,61 +159,90 @@ def _survivors(k: int, percent: int, buckets: int):
             rank_of = np.concatenate([e[1] for e in each])
             order = np.argsort(known)
             known, rank_of = known[order], rank_of[order]
-            row_ids = table["id"].to_numpy()
+            row_id, row_th = table["id"].to_numpy(), table["th"].to_numpy()
             for lo, n_docs, doc, h in _sets(table["text"], k):
-                counted = h < _limit()
-                bucket = ((_spread(h) >> U64(32)) * U64(buckets)) >> U64(32)
-                at = find(known, (bucket << U64(32)) + (h & U64(2**32 - 1)))
-                rank = np.where(counted, np.where(at >= 0, rank_of[np.maximum(at, 0)], 0), 255)
-                order = np.lexsort((h, rank, doc))
+                at = find(known, (B.bucket_of(h, buckets).astype(U64) << U64(32)) + (h & U64(2**32 - 1)))
+                rank = np.where(at >= 0, rank_of[np.maximum(at, 0)], 0)
+                order = np.lexsort((h, rank, doc))  # documents stay together
+                h, rank = h[order], rank[order]
                 first = np.searchsorted(doc, np.arange(n_docs + 1))
-                place = np.arange(len(h)) - first[doc]
                 size = np.diff(first)
-                key_ = (place < prefix_length(size, percent)[doc]) & (rank[order] > 0)
-                has = np.bincount(doc[key_], minlength=n_docs) > 0  # order keeps documents together
+                place = np.arange(len(h)) - first[doc]
+                inside = (place < prefix_length(size, percent)[doc]) & (rank > 0)
+                has = np.bincount(doc[inside], minlength=n_docs) > 0
                 for d in np.flatnonzero(has).tolist():
                     a, b = first[d], first[d + 1]
-                    ids.append(int(row_ids[lo + d]))
-                    sizes.append(int(b - a))
-                    sets.append(h[a:b].tobytes())
-                    keys.append(h[order[a:b][key_[a:b]]].view(np.int64))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-        return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "hashes": pa.array(sets, pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+                    for column, value in zip(out, (row_id[lo + d], row_th[lo + d], b - a, B.pack(h[a:b][::-1], rank[a:b][::-1])), strict=True):
+                        column.append(value)
+                flat.append(_meetings(doc[inside], h[inside], rank[inside], place[inside], size, percent))
+        many, *parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*flat, strict=True) if flat else [()] * 5)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        kinds = (pa.int64(), pa.int8(), pa.int8(), pa.int64())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t.to_pandas_dtype()), t)) for x, t in zip(parts, kinds, strict=True)]
+        ids, ths, sizes, bodies = out
+        own = {"id": pa.array(ids, pa.int64()), "th": pa.array(ths, pa.int64()), "n": pa.array(sizes, pa.int64()), "body": pa.array(bodies, pa.binary())}
+        return pa.table(own | dict(zip(("key", "rank", "guest", "room"), lists, strict=True)))
 
     return f
 
 
+def _meetings(doc: np.ndarray, h: np.ndarray, rank: np.ndarray, place: np.ndarray, size: np.ndarray, percent: int):
+    """How many meeting points each document has, and all of them one after the other: key (shingle and size class), rank, guest, room.
+
+    A set is at home in its own class, and a guest of the next one where its room allows.
+    """
+    own = size_class(size, percent)
+    most = room(size[doc], place, percent)
+    ahead = size_class(np.maximum(most, 1), percent) > own[doc]
+    guest = np.repeat([0, 1], [len(doc), int(ahead.sum())])
+    doc, h, rank, most = (np.concatenate([x, x[ahead]]) for x in (doc, h, rank, most))
+    key = mix(h ^ mix((own[doc] + guest).astype(U64)))
+    order = np.argsort(doc, kind="stable")
+    many = np.bincount(doc, minlength=len(size))
+    return many[many > 0], key[order].view(np.int64), rank[order].astype(np.int64), guest[order], most[order]
+
+
 class Trie:
-    """Path-compressed prefix tree of sorted token sequences, with the bounds of each subtree."""
+    """Path-compressed prefix tree of token sequences, with the bounds of each subtree; a level of it is walked at once."""
 
     def __init__(self, rows: list[np.ndarray], sizes: np.ndarray):
         """rows: sorted tokens of each document, in lexicographic order; sizes: of the whole sets."""
         self.rows, self.sizes = rows, sizes
         #: node: [row its label is from, label start, label end, first document, end of documents, children, documents that end here]
-        self.nodes: list[list] = [[0, 0, 0, 0, len(rows), [], []]]
+        nodes: list[list] = [[0, 0, 0, 0, len(rows), [], []]]
         path = [0]
         for i, row in enumerate(rows):
             common = self._common(rows[i - 1], row) if i else 0
-            while len(path) > 1 and self.nodes[path[-1]][1] >= common:
-                self.nodes[path.pop()][4] = i
+            while len(path) > 1 and nodes[path[-1]][1] >= common:
+                nodes[path.pop()][4] = i
             top = path[-1]
-            if self.nodes[top][2] > common:  # the label is cut: what lies below becomes a child
-                a, b, c, d, _, children, ends = self.nodes[top]
-                self.nodes.append([a, common, c, d, i, children, ends])
-                self.nodes[top] = [a, b, common, d, 0, [len(self.nodes) - 1], []]
+            if nodes[top][2] > common:  # the label is cut: what lies below becomes a child
+                a, b, c, d, _, children, ends = nodes[top]
+                nodes.append([a, common, c, d, i, children, ends])
+                nodes[top] = [a, b, common, d, 0, [len(nodes) - 1], []]
             if len(row) > common:
-                self.nodes.append([i, common, len(row), i, 0, [], [i]])
-                self.nodes[top][5].append(len(self.nodes) - 1)
-                path.append(len(self.nodes) - 1)
+                nodes.append([i, common, len(row), i, 0, [], [i]])
+                nodes[top][5].append(len(nodes) - 1)
+                path.append(len(nodes) - 1)
             else:
-                self.nodes[top][6].append(i)
+                nodes[top][6].append(i)
         for p in path:
-            self.nodes[p][4] = len(rows)
+            nodes[p][4] = len(rows)
         lengths = np.array([len(r) for r in rows])
-        self.longest = [int(lengths[n[3] : n[4]].max()) - n[2] for n in self.nodes]
-        self.least = [int(sizes[n[3] : n[4]].min()) for n in self.nodes]
-        self.most = [int(sizes[n[3] : n[4]].max()) for n in self.nodes]
+        base = np.concatenate([[0], np.cumsum(lengths)])
+        self.tokens = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        row, a, b, self.first, self.end = (np.array([n[x] for n in nodes]) for x in range(5))
+        self.start, self.stop = base[row] + a, base[row] + b
+        self.longest = np.array([lengths[n[3] : n[4]].max() - n[2] for n in nodes])
+        self.least = np.array([sizes[n[3] : n[4]].min() for n in nodes])
+        self.most = np.array([sizes[n[3] : n[4]].max() for n in nodes])
+        self.child, self.child_at = self._flat([n[5] for n in nodes])
+        self.leaf, self.leaf_at = self._flat([n[6] for n in nodes])
+
+    @staticmethod
+    def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return np.array([y for x in lists for y in x], np.int64), at
 
     @staticmethod
     def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -189,110 +250,209 @@ class Trie:
         differ = np.flatnonzero(a[:n] != b[:n])
         return int(differ[0]) if len(differ) else n
 
-    def link(self, i: int, label: np.ndarray, mask: np.ndarray, percent: int) -> None:
-        """Joins the label of document i with those of all later documents that link with it."""
+    @staticmethod
+    def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        length = stop - start
+        return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+
+    def partners(self, i: int, connected: np.ndarray, mask: np.ndarray, percent: int) -> np.ndarray:
+        """Documents that link with document i; subtrees of connected ones are left aside."""
         own, size = self.rows[i], int(self.sizes[i])
-        mask[own] = True
+        mask[own] = 1
         low, high = -(-size * percent // 100), size * 100 // percent
-        stack = [(0, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            row, a, b, first, end, children, ends = self.nodes[node]
-            if end <= i + 1 or self.most[node] < low or self.least[node] > high:
-                continue
-            if end - first > 1 and (label[first:end] == label[i]).all():
-                continue
-            if b > a:
-                part = self.rows[row][a:b]
-                overlap += int(np.count_nonzero(mask[part]))
-                left = len(own) - int(np.searchsorted(own, part[-1], "right"))
-            else:
-                left = len(own)
-            least = max(low, self.least[node])
-            if (100 + percent) * (overlap + min(left, self.longest[node])) < percent * (size + least):
-                continue
-            for j in ends:
-                if j > i and label[j] != label[i] and (100 + percent) * overlap >= percent * (size + int(self.sizes[j])):
-                    label[label == label[j]] = label[i]
-            stack.extend((c, overlap) for c in children)
-        mask[own] = False
-
-
-def link_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """A label for each set; sets that a chain of links joins have the same."""
+        done = np.concatenate([[0], np.cumsum(connected)])
+        found = []
+        node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(node):
+            open_ = done[self.end[node]] - done[self.first[node]] < self.end[node] - self.first[node]
+            open_ &= (self.most[node] >= low) & (self.least[node] <= high)
+            node, overlap = node[open_], overlap[open_]
+            if not len(node):
+                break
+            start, stop = self.start[node], self.stop[node]
+            hits = np.concatenate([[0], np.cumsum(mask[self.tokens[self._spans(start, stop)]])])
+            at = np.concatenate([[0], np.cumsum(stop - start)])
+            overlap = overlap + hits[at[1:]] - hits[at[:-1]]
+            left = np.where(stop > start, len(own) - np.searchsorted(own, self.tokens[np.maximum(stop - 1, 0)], "right"), len(own)) if len(self.tokens) else np.zeros(len(node), np.int64)
+            reach = overlap + np.minimum(left, self.longest[node])
+            able = (100 + percent) * reach >= percent * (size + np.maximum(low, self.least[node]))
+            node, overlap = node[able], overlap[able]
+            ends = self.leaf[self._spans(self.leaf_at[node], self.leaf_at[node + 1])]
+            shared = np.repeat(overlap, self.leaf_at[node + 1] - self.leaf_at[node])
+            found.append(ends[((100 + percent) * shared >= percent * (size + self.sizes[ends])) & ~connected[ends]])
+            below = self.child_at[node + 1] - self.child_at[node]
+            node, overlap = self.child[self._spans(self.child_at[node], self.child_at[node + 1])], np.repeat(overlap, below)
+        mask[own] = 0
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def link_groups(sets: list[np.ndarray], percent: int, ranks: list[np.ndarray] | None = None, label: np.ndarray | None = None, asking: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set; sets that a chain of links joins have the same.
+
+    ranks: of the shingles in the global order; label: what is connected already; asking: which sets look for partners.
+    """
+    n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    tokens, which, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # what only one set has cannot overlap; the rest, common ones first
-    order = np.lexsort((tokens, -many))
-    rank = np.empty(len(tokens), np.int64)
-    rank[order] = np.arange(len(tokens))
-    which = np.where(many[which] > 1, rank[which], -1)
-    cuts = np.cumsum(sizes)[:-1]
-    rows = [np.sort(w[w >= 0]) for w in np.split(which, cuts)]
-    by_path = sorted(range(len(rows)), key=lambda i: rows[i].astype(">u4").tobytes())
-    label = np.arange(len(rows))
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    asking = np.ones(n, bool) if asking is None else asking
+    tokens, first, which, many = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
+    # what only one set has cannot overlap; the rest in the global order from its common end
+    rank_of = np.concatenate(ranks)[first].astype(np.int64) if ranks is not None else many
+    order = np.lexsort((tokens, -rank_of))
+    number = np.empty(len(tokens), np.int64)
+    number[order] = np.arange(len(tokens))
+    which = np.where(many[which] > 1, number[which], -1)
+    rows = [np.sort(w[w >= 0]) for w in np.split(which, np.cumsum(sizes)[:-1])]
+    by_path = np.array(sorted(range(n), key=lambda i: rows[i].astype(">u4").tobytes()))
     trie = Trie([rows[i] for i in by_path], sizes[by_path])
-    mask = np.zeros(int((many > 1).sum()) + 1, bool)
-    for i in range(len(rows)):
-        trie.link(i, label, mask, percent)
-    out = np.empty(len(rows), np.int64)
+    label, asking = label[by_path], asking[by_path]
+    mask = np.zeros(len(tokens) + 1, np.int64)
+    for i in np.flatnonzero(asking).tolist():
+        connected = label == label[i]
+        if asking.all():
+            connected[:i] = True  # earlier ones have looked at this one
+        connected[i] = True
+        partners = trie.partners(i, connected, mask, percent)
+        if len(partners):
+            label[np.isin(label, label[partners])] = label[i]
+    out = np.empty(n, np.int64)
     out[by_path] = label
     return out
 
 
+def _star(table: pa.Table, label: np.ndarray, before: np.ndarray) -> pa.Table:
+    """A link from the least row of each label to one row of each component that has newly come to it."""
+    ids, ths = table["id"].to_numpy(), table["th"].to_numpy()
+    order = np.lexsort((ths, ids, label))
+    label, before, ids, ths = label[order], before[order], ids[order], ths[order]
+    head = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    root = head[np.cumsum(np.isin(np.arange(len(label)), head)) - 1]
+    _, one = np.unique(np.stack([label, before]), axis=1, return_index=True)
+    one = one[before[one] != before[root[one]]]
+    return pa.table({"u_id": ids[one], "u_th": ths[one], "v_id": ids[root[one]], "v_th": ths[root[one]]})
+
+
 def _join(percent: int):
+    """Joins what has met in one shingle and size class. component: numbers of what is connected; stray: who looks for partners."""
+
     def f(key, table):
-        table = table.sort_by("id")
-        ids = table["id"].to_numpy()
-        label = link_groups([np.frombuffer(x, U64) for x in table["hashes"].to_pylist()], percent)
-        _, first, which = np.unique(label, return_index=True, return_inverse=True)
-        root = ids[first[which]]  # the least id of a label
-        keep = root != ids
-        return pa.table({"u": ids[keep], "v": root[keep]})
+        size, most, guest = (table[c].to_numpy() for c in ("n", "room", "guest"))
+        # a partner must fit in the room of the first shared shingle, and someone must be at home in this class
+        smallest = [int(np.delete(size, int(size.argmin())).min(initial=2**62)), int(size.min(initial=2**62))]
+        fits = most >= np.where(size == smallest[1], smallest[0], smallest[1])
+        fits &= size <= most.max(initial=0)
+        table = table.filter(pa.array(fits))
+        if table.num_rows < 2 or guest[fits].all():
+            return pa.table({c: pa.array([], pa.int64()) for c in ("u_id", "u_th", "v_id", "v_th")})
+        table = table.sort_by([("id", "ascending"), ("th", "ascending")])
+        each = [B.unpack(x, "u8", "u1") for x in table["body"].to_pylist()]
+        before = np.unique(np.stack([table["c_id"].to_numpy(), table["c_th"].to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+        label = link_groups([e[0] for e in each], percent, [e[1] for e in each], before, table["stray"].to_numpy() == 1)
+        return _star(table, label, before)
 
     return f
 
 
+def _chunks(sets: Column, hashes: Column) -> Column:
+    return F.ceil(F.greatest(sets / F.lit(float(CHUNK_SETS)), hashes / F.lit(float(CHUNK_HASHES)), F.lit(1.0))).cast("int")
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.select(F.struct(F.col("u_id").alias("id"), F.col("u_th").alias("th")).alias("u"), F.struct(F.col("v_id").alias("id"), F.col("v_th").alias("th")).alias("v"))
+
+
+def _pass_a(survivors: DataFrame, percent: int) -> DataFrame:
+    """Links among what meets in the rarest and in the commonest prefix shingle of each set."""
+    # the rank tells how many sets have a shingle, so that all of them agree on the number of chunks
+    home = F.filter(F.arrays_zip("rank", "key", "guest", "room"), lambda x: x["guest"] == 0)
+    by_rank = F.array_sort(home)
+    ends = survivors.select("id", "th", "n", "body", F.explode(F.array_distinct(F.array(F.element_at(by_rank, 1), F.element_at(by_rank, -1)))).alias("m"))
+    many = F.pow(F.lit(2.0), F.col("m.rank"))
+    chunks = _chunks(many, many * F.pow(F.lit(2.0), F.ceil(F.log2("n"))))
+    ends = ends.withColumn("q", F.pmod(F.xxhash64("id", "th", F.col("m.key")), chunks).cast("int"))
+    ends = ends.select(F.col("m.key").alias("key"), "q", "id", "th", "n", F.col("m.room").alias("room"), F.lit(0).alias("guest"), F.lit(1).alias("stray"), F.col("id").alias("c_id"), F.col("th").alias("c_th"), "body")
+    return ends.groupBy("key", "q").applyInArrow(_join(percent), LINKS)
+
+
+def _pass_b(survivors: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from all shingles whose documents are not all connected."""
+    node = F.struct("id", "th").alias("node")
+    named = survivors.select(node, "n", "key", "rank", "guest", "room").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    keyed = named.select("node", "c", "n", F.inline(F.arrays_zip("key", "rank", "guest", "room")))
+    totals = {"sets": F.sum, "hashes": F.sum, "guest": F.min, "least": F.min, "room": F.max, "rooms": F.sum, "who": F.sum}
+    each = keyed.select("key", "c", F.lit(1).alias("sets"), F.col("n").alias("hashes"), "guest", F.col("n").alias("least"), "room", F.col("room").alias("rooms"), F.xxhash64("node").cast("decimal(38,0)").alias("who"))
+    by_part = each.groupBy("key", "c").agg(*(f(c).alias(c) for c, f in totals.items()))
+    whole = by_part.groupBy("key").agg(*(f(c).alias(c) for c, f in totals.items()), F.count(F.lit(1)).alias("parts"), F.max(F.struct("sets", "c")).alias("main"))
+    open_ = whole.where("parts > 1 AND guest = 0 AND room >= least")
+    # of shingles with the same documents the first in the global order is enough: it leaves each of them the most room
+    open_ = open_.groupBy("who", "sets").agg(F.max(F.struct("rooms", "key", "main", "hashes")).alias("m")).select("m.key", "sets", F.col("m.hashes").alias("hashes"), F.col("m.main.c").alias("main"), (F.col("sets") - F.col("m.main.sets")).alias("strays"))
+    chunks, share = _chunks(F.col("sets"), F.col("hashes")), F.col("strays") / F.col("sets")
+    open_ = B.checkpointed(open_.select("key", "sets", "main", chunks.alias("chunks"), F.ceil(chunks * share).cast("int").alias("stray_chunks")))
+    members = B.join_by_hot_key(keyed, open_, ["key"], "sets")
+    stray = (F.col("c") != F.col("main")).cast("int")
+    members = members.withColumn("stray", stray)
+    members = members.withColumn("mine", F.pmod(F.xxhash64("node", "key"), "chunks").cast("int")).withColumn("asks", F.pmod(F.xxhash64("node", "key"), "stray_chunks").cast("int"))
+    # every chunk once beside every chunk of strays; a set that is in both roles is sent once
+    spread = F.when(F.col("stray") == 1, F.expr("array_distinct(concat(transform(sequence(0, chunks - 1), q -> struct(q as q, asks as t, 1 as stray)), transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, int(t = asks) as stray))))")).otherwise(F.expr("transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, 0 as stray))"))
+    sent = members.select("key", "node", "c", "n", "room", "guest", F.inline(spread))
+    bodies = survivors.select(node, "body")
+    sent = sent.join(bodies, "node").select("key", "q", "t", F.col("node.id").alias("id"), F.col("node.th").alias("th"), "n", "room", "guest", "stray", F.col("c.id").alias("c_id"), F.col("c.th").alias("c_th"), "body")
+    return sent.groupBy("key", "q", "t").applyInArrow(_join(percent), LINKS)
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, th, n, f1, f2); classes of equal sets (f1, f2, node: the least (id, th) of them, copies); links (u, v) of nodes."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    blocks = B.parts(own)
+    signed = B.checkpointed(own.mapInArrow(_signatures(k), ROWS))
+    classes = B.checkpointed(signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("node"), F.count(F.lit(1)).alias("copies")))
+    marks = B.with_block(classes.select("node.id", "node.th"), blocks, "id", "th")
+    dealt = B.with_block(own, blocks, "id", "th").repartition(blocks, "block")
+    asked = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_ask(k, blocks), B.ASK)
+    replies = asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_answer, B.ASK)
+    none = F.lit(None)
+    told = marks.select("block", none.cast("int").alias("bucket"), none.cast("binary").alias("body"), "id", "th", F.lit(0).alias("step"))
+    told = told.unionAll(replies.select("block", "bucket", "body", none.cast("long").alias("id"), none.cast("long").alias("th"), F.lit(1).alias("step")))
+    survivors = B.checkpointed(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_survivors(k, percent, blocks), SETS))
+    components = connected_components(_pairs(_pass_a(survivors, percent)))
+    links = _pairs(_pass_b(survivors, components, percent))
+    return signed, classes, components.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(links)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    spark = docs.sparkSession
-    n_blocks, buckets = B.parts(spark)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    signed = B.checkpointed(own.mapInArrow(_signatures(k), "id long, n long, f1 long, f2 long"))
-    classes = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("class_id"))
-    marks = B.with_block(classes.select(F.col("class_id").alias("id")).distinct(), n_blocks, "id")
-    dealt = B.with_block(own, n_blocks, "id").repartition(buckets, "block")
-    asked = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_ask(k, buckets), B.ASK)
-    replies = asked.groupBy("bucket").applyInArrow(_answer, B.ASK)
-    empty = F.lit(None)
-    told = marks.select("block", empty.cast("int").alias("bucket"), empty.cast("binary").alias("body"), "id", F.lit(0).alias("step")).unionAll(replies.select("block", "bucket", "body", empty.cast("long").alias("id"), F.lit(1).alias("step")))
-    survivors = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_survivors(k, percent, buckets), "id long, n long, hashes binary, keys array<long>")
-    survivors = B.checkpointed(survivors)
-    keyed = survivors.select("id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    near = keyed.join(hubs, "key").where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    groups = connected_components(near)
-    members = survivors.select("id", "n", "hashes").join(groups, "id")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("hashes_in_group"))
-    large = sizes.where(F.col("hashes_in_group") > CHUNK_HASHES).select("component", F.ceil(F.col("hashes_in_group") / CHUNK_HASHES).cast("int").alias("chunks"))
-    cut = B.checkpointed(large)
-    some_cut = cut.count() > 0
-    if some_cut:
-        members = members.join(cut, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        members = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        members = members.withColumn("pair", F.when(F.col("chunks") > 1, F.concat_ws("-", F.least("chunk", "other").cast("string"), F.greatest("chunk", "other").cast("string"))).otherwise(""))
-        links = members.select("component", "pair", "id", "hashes").groupBy("component", "pair").applyInArrow(_join(percent), "u long, v long")
-        links = connected_components(links).select(F.col("id").alias("class_id"), F.col("component").alias("root"))
-    else:
-        links = members.select("component", "id", "hashes").groupBy("component").applyInArrow(_join(percent), "u long, v long").select(F.col("u").alias("class_id"), F.col("v").alias("root")).distinct()
-    classes = classes.join(links, "class_id", "left").select("f1", "f2", F.coalesce("root", "class_id").alias("root"))
-    out = signed.join(classes, ["f1", "f2"], "left")
+    signed, classes, links = _linked(docs, k, percent)
+    ids = classes.select("f1", "f2", F.col("node.id").alias("class_id"), "copies")
+    full = B.checkpointed(B.join_by_hot_key(signed.where("n > 0"), ids, ["f1", "f2"], "copies").select("id", "class_id"))
+    # an id that stands for a class, or has texts of several classes, or an empty one as well, ties its classes together
+    copies = full.where("id != class_id")
+    several = copies.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a != b").select("id")
+    ties = copies.join(ids.select(F.col("class_id").alias("id")).unionAll(several).unionAll(signed.where("n = 0").select("id")), "id", "left_semi").distinct()
+    edges = links.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).unionAll(ties.select(F.col("id").alias("u"), F.col("class_id").alias("v")))
+    components = connected_components(edges)
+    # the root of a class is its own, or that of its least id
+    root = ids.join(components, ids["class_id"] == components["id"], "left").select("f1", "f2", "copies", F.coalesce("component", "class_id").alias("root"))
+    out = B.join_by_hot_key(signed.where("n > 0"), root, ["f1", "f2"], "copies").select("id", "n", "root")
+    empty = signed.where("n = 0").join(components.select("id", "component"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("root"))
     back = lambda c: F.when(c != NULL_ID, c)
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("root", "id")).alias("component_id"))
+    return out.unionAll(empty).select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.col("root")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, that come first in their components; of rows with one doc_id the first text. Rows without a doc_id all stay."""
-    found = jaccard_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_doc_id")), "left_semi")
-    return kept.withColumn("kept_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("kept_row = 1 OR doc_id IS NULL").drop("kept_row")
+    """The rows of docs, all columns, without near copies: one row of each component stays, that of the least doc_id.
+
+    Here every text is a node of its own, whether its doc_id is null, repeated or neither: of rows
+    that share a doc_id each is judged by its text. Texts without words all stay.
+    """
+    _, classes, links = _linked(docs, k, percent)
+    gone = connected_components(links).where("id != component").select(F.col("id").alias("node"))
+    kept = classes.join(gone, "node", "left_anti").select(F.struct(F.col("node.id").alias("id"), F.col("node.th").alias("th")).alias("kept"))
+    text = F.col("text").cast("string")
+    own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"))
+    full = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("kept"), full.alias("full"))
+    # equal rows: one stays; the window cuts them down before they are shuffled
+    by = [F.col("row")[c] for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
+    first = Window.partitionBy("kept").orderBy(*by)
+    once = rows.where("full").withColumn("nth", F.row_number().over(first)).where("nth = 1").join(kept, "kept", "left_semi")
+    return once.select("row").unionAll(rows.where(~F.col("full")).select("row")).select("row.*")

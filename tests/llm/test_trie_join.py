@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -5,6 +6,7 @@ from conftest_llm import lower_ascii, words
 from gristmill.llm import trie_join
 from gristmill.llm.components import connected_components
 from gristmill.llm.trie_join import jaccard_components, link_groups, one_of_each
+from pyspark.sql import functions as F
 
 
 def sets_of(rows):
@@ -39,6 +41,7 @@ def test_equals_brute_force(docs, corpus):
 
 
 def test_chunks_of_a_large_group_lose_nothing(docs, corpus, monkeypatch):
+    monkeypatch.setattr(trie_join, "CHUNK_SETS", 2)
     monkeypatch.setattr(trie_join, "CHUNK_HASHES", 150)
     assert {r.doc_id: r.component_id for r in jaccard_components(docs).collect()} == {d: c for d, (_, c) in brute(corpus).items()}
 
@@ -79,5 +82,47 @@ def test_odd_rows(spark, empty):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (5, ""), (6, "a b"), (7, "A B")]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 2, None), (3, 2, None), (3, 2, None), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6)]
-    # components are those of the null id, 4, 5 and 6
+    # the long text, 4, 5, "a b" and "other"
     assert one_of_each(spark.createDataFrame(rows + [(None, "other")], "doc_id long, text string")).count() == 5
+
+
+def test_repeated_ids_are_one_node(spark, corpus):
+    ids = [None if i % 29 == 5 else i // 2 if i % 7 == 3 else i for i, _ in corpus]
+    rows = list(zip(ids, [t for _, t in corpus], strict=True))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    low = lambda d: -1 if d is None else d
+    sets = list(sets_of(list(enumerate(t for _, t in rows))).values())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = ids[i] == ids[j] or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+            if same:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), low(d)), low(d))
+    assert sorted((low(d), n, low(c)) for d, n, c in got) == sorted((low(d), len(s), least[find(i)]) for i, (d, s) in enumerate(zip(ids, sets, strict=True)))
+
+
+def test_a_template_that_does_not_link_costs_little(spark):
+    template = " ".join(f"t{i}" for i in range(24))
+    rows = [(i, template + " " + " ".join(f"u{i}_{j}" for j in range(6))) for i in range(8000)]
+    began = time.time()
+    assert jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id != component_id").count() == 0
+    assert time.time() - began < 30
+
+
+def test_one_of_each_judges_rows_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a, 1), (3, b, 2), (None, b + " more", 3), (None, a, 4), (9, a, 5), (9, a, 5), (10, "", 6), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").withColumns({c: F.lit(1) for c in ("row", "kept_row", "kept_doc_id", "full", "nth", "node", "id", "th")})
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    # one row of each text group stays, and what has no words
+    assert sorted(r.kept for r in got.collect()) == [3, 4, 6, 7]
