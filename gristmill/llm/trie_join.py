@@ -1,29 +1,27 @@
 """N-gram Jaccard join on a prefix tree.
 
 Equal sets are merged into classes first, of which one row each goes on. Shingles have one global
-order: by the number of classes that have them, in powers of two, rare ones first, then by hash.
+order: by the number of classes that have them, in powers of two, rare ones first, then by a mark
+of the blocks that have them, then by hash; so shingles of one passage come one after the other.
 Blocks of documents learn that order from hashed buckets. Two sets that link share one of the
 first shingles of either, so documents meet by the shingles of these prefixes and by size class;
 the place of the first shared shingle bounds the size of the partner once more.
 
-What meets in one shingle is joined on a trie of the globally ordered sets, read from the common
-end, so that near copies share long paths. A set walks down the trie level by level with the
-overlap so far; a subtree is left when what remains of the set and of its longest path can no
-longer reach the overlap that the sizes ask for, or when all of its documents are connected to
-the set already.
-
-Which documents a chain of links connects is found in two passes, so that a set does not travel to
-all of its prefix shingles:
-
-A. each set goes to its rarest and to its commonest prefix shingle. Groups beyond a size are
-   dealt into chunks, and each chunk is joined by itself;
-B. shingles whose documents are all connected by now need no more. Of shingles with the same
-   documents, one is enough. In what is left, only pairs of different components are of interest:
-   the documents outside of the largest component (the strays) are joined with every chunk.
-
-No link between different texts is lost, and pairs within a component are never listed.
-
-Links are exact on 64-bit shingle hashes. Defined cases: null and blank texts have empty sets and
+What meets is joined on a trie of the globally ordered sets, read from the common end, so that near
+copies share long paths. A set walks down the trie level by level with the overlap so far; a
+subtree is left when what remains of the set and of its longest path can no longer reach the
+overlap that the sizes ask for, or when all of its documents are connected to the set already.
+
+So that a set does not travel to all of its prefix shingles, shingles are gathered first: of those
+with the same documents one is enough, none is needed whose documents all come from one earlier
+shingle, and those whose largest component is the same one are joined together. A gathering
+beyond a size is dealt into chunks. It comes in rounds: first each chunk is joined by itself,
+which connects most of a large group of near copies; shingles whose documents are all connected
+by then are done, and at last only pairs of different components are of interest: the documents
+outside of the largest component (the strays) are joined with every chunk. No link between
+different texts is lost, and pairs within a component are never listed.
+
+Links are exact on 64-bit hashes of shingles (and of the rows that stand for classes). Defined cases: null and blank texts have empty sets and
 link with nothing; a text of fewer words than a shingle has is one shingle, and a text of any
 length is read whole. Rows that share a doc_id are one node: texts that link with either of them
 are in one component. A null doc_id comes before all others. Other columns, whatever their names,
@@ -34,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -44,12 +42,14 @@ from .words import U64, WORD_BASE, WORD_INV, Words, distinct_per_doc, mix, slice
 
 #: Sets and shingle hashes of a chunk, about.
 CHUNK_SETS, CHUNK_HASHES = 500, 1_000_000
+#: Rounds in which chunks are joined by themselves, at most.
+ROUNDS = 3
 #: A null doc_id.
 NULL_ID = -(2**63)
 _SECOND = U64(0xE7037ED1A0B428DB)
 ROWS = "id long, th long, n long, f1 long, f2 long"
-SETS = "id long, th long, n long, body binary, key array<long>, rank array<tinyint>, guest array<tinyint>, room array<long>"
-LINKS = "u_id long, u_th long, v_id long, v_th long"
+SETS = "id long, th long, n long, body binary, key array<long>, before array<long>, guest array<tinyint>, room array<long>"
+LINKS = "u long, v long"
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -126,20 +126,21 @@ def _ask(k: int, buckets: int):
 def _answer(key, table):
     blocks, bodies = table["block"].to_pylist(), table["body"].to_pylist()
     who, (low, n) = B.merged(bodies, "u4", "u1")
-    _, group = np.unique(low, return_inverse=True)
-    total = np.bincount(group, 2.0 ** (n / 8))
+    order = np.argsort(low, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
+    many = np.diff(np.append(first, len(low)))
+    total = np.add.reduceat(2.0 ** (n[order] / 8), first)
     # 0: a shingle that only one class has
-    rank = np.where(total > 1.5, np.ceil(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)[group]
-    bucket = key[0].as_py()
-    out = []
-    order = np.lexsort((low, who))
-    low, rank, who = low[order], rank[order], who[order]
+    rank = np.where(total > 1.5, np.ceil(np.log2(np.maximum(total, 1))), 0)
+    mark = np.bitwise_xor.reduceat(mix(np.array(blocks, U64))[who[order]], first) >> U64(48)
+    rank_of, mark_of = np.empty(len(low), np.uint8), np.empty(len(low), np.uint16)
+    rank_of[order], mark_of[order] = np.repeat(rank, many), np.repeat(mark, many)
     edges = np.searchsorted(who, np.arange(len(blocks) + 1))
-    for i in range(len(blocks)):
-        a, b = edges[i], edges[i + 1]
-        own = rank[a:b] > 0
+    out = []
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        own = rank_of[a:b] > 0
         if own.any():
-            out.append((blocks[i], bucket, B.pack(low[a:b][own], rank[a:b][own])))
+            out.append((blocks[i], key[0].as_py(), B.pack(low[a:b][own], rank_of[a:b][own], mark_of[a:b][own])))
     return B.asks(out)
 
 
@@ -154,40 +155,41 @@ def _survivors(k: int, percent: int, buckets: int):
         flat: list[tuple] = []
         if table.num_rows and replies.num_rows:
             number = replies["bucket"].to_pylist()
-            each = [B.unpack(x, "u4", "u1") for x in replies["body"].to_pylist()]
+            each = [B.unpack(x, "u4", "u1", "u2") for x in replies["body"].to_pylist()]
             known = np.concatenate([(U64(b) << U64(32)) + e[0] for b, e in zip(number, each, strict=True)])
-            rank_of = np.concatenate([e[1] for e in each])
+            # rank and mark in one number: the place of a shingle in the global order, but for its hash
+            level_of = np.concatenate([(e[1].astype(np.uint32) << 16) + e[2] for e in each])
             order = np.argsort(known)
-            known, rank_of = known[order], rank_of[order]
+            known, level_of = known[order], level_of[order]
             row_id, row_th = table["id"].to_numpy(), table["th"].to_numpy()
             for lo, n_docs, doc, h in _sets(table["text"], k):
                 at = find(known, (B.bucket_of(h, buckets).astype(U64) << U64(32)) + (h & U64(2**32 - 1)))
-                rank = np.where(at >= 0, rank_of[np.maximum(at, 0)], 0)
-                order = np.lexsort((h, rank, doc))  # documents stay together
-                h, rank = h[order], rank[order]
+                level = np.where(at >= 0, level_of[np.maximum(at, 0)], 0).astype(np.uint32)
+                order = np.lexsort((h, level, doc))  # documents stay together
+                h, level = h[order], level[order]
                 first = np.searchsorted(doc, np.arange(n_docs + 1))
                 size = np.diff(first)
                 place = np.arange(len(h)) - first[doc]
-                inside = (place < prefix_length(size, percent)[doc]) & (rank > 0)
+                inside = (place < prefix_length(size, percent)[doc]) & (level > 0)
                 has = np.bincount(doc[inside], minlength=n_docs) > 0
                 for d in np.flatnonzero(has).tolist():
                     a, b = first[d], first[d + 1]
-                    for column, value in zip(out, (row_id[lo + d], row_th[lo + d], b - a, B.pack(h[a:b][::-1], rank[a:b][::-1])), strict=True):
+                    for column, value in zip(out, (row_id[lo + d], row_th[lo + d], b - a, B.pack(h[a:b][::-1], level[a:b][::-1])), strict=True):
                         column.append(value)
-                flat.append(_meetings(doc[inside], h[inside], rank[inside], place[inside], size, percent))
+                flat.append(_meetings(doc[inside], h[inside], place[inside], size, percent))
         many, *parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*flat, strict=True) if flat else [()] * 5)]
         offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
-        kinds = (pa.int64(), pa.int8(), pa.int8(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t.to_pandas_dtype()), t)) for x, t in zip(parts, kinds, strict=True)]
         ids, ths, sizes, bodies = out
         own = {"id": pa.array(ids, pa.int64()), "th": pa.array(ths, pa.int64()), "n": pa.array(sizes, pa.int64()), "body": pa.array(bodies, pa.binary())}
-        return pa.table(own | dict(zip(("key", "rank", "guest", "room"), lists, strict=True)))
+        return pa.table(own | dict(zip(("key", "before", "guest", "room"), lists, strict=True)))
 
     return f
 
 
-def _meetings(doc: np.ndarray, h: np.ndarray, rank: np.ndarray, place: np.ndarray, size: np.ndarray, percent: int):
-    """How many meeting points each document has, and all of them one after the other: key (shingle and size class), rank, guest, room.
+def _meetings(doc: np.ndarray, h: np.ndarray, place: np.ndarray, size: np.ndarray, percent: int):
+    """How many meeting points each document has, and all of them one after the other: key (shingle and size class), the key before (0: none), guest, room.
 
     A set is at home in its own class, and a guest of the next one where its room allows.
     """
@@ -195,11 +197,14 @@ def _meetings(doc: np.ndarray, h: np.ndarray, rank: np.ndarray, place: np.ndarra
     most = room(size[doc], place, percent)
     ahead = size_class(np.maximum(most, 1), percent) > own[doc]
     guest = np.repeat([0, 1], [len(doc), int(ahead.sum())])
-    doc, h, rank, most = (np.concatenate([x, x[ahead]]) for x in (doc, h, rank, most))
-    key = mix(h ^ mix((own[doc] + guest).astype(U64)))
+    follows = np.zeros(len(doc), bool)
+    follows[1:] = doc[1:] == doc[:-1]
+    doc, h, most, follows, last = (np.concatenate([x, x[ahead]]) for x in (doc, h, most, follows, np.roll(h, 1)))
+    salt = mix((own[doc] + guest).astype(U64))
+    key, before = mix(h ^ salt).view(np.int64), np.where(follows, mix(last ^ salt).view(np.int64), 0)
     order = np.argsort(doc, kind="stable")
     many = np.bincount(doc, minlength=len(size))
-    return many[many > 0], key[order].view(np.int64), rank[order].astype(np.int64), guest[order], most[order]
+    return many[many > 0], key[order], before[order], guest[order], most[order]
 
 
 class Trie:
@@ -320,20 +325,19 @@ def link_groups(sets: list[np.ndarray], percent: int, ranks: list[np.ndarray] |
     return out
 
 
-def _star(table: pa.Table, label: np.ndarray, before: np.ndarray) -> pa.Table:
-    """A link from the least row of each label to one row of each component that has newly come to it."""
-    ids, ths = table["id"].to_numpy(), table["th"].to_numpy()
-    order = np.lexsort((ths, ids, label))
-    label, before, ids, ths = label[order], before[order], ids[order], ths[order]
-    head = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-    root = head[np.cumsum(np.isin(np.arange(len(label)), head)) - 1]
+def _star(node: np.ndarray, label: np.ndarray, before: np.ndarray) -> pa.Table:
+    """A link from the least node of each label to one node of each component that has newly come to it."""
+    order = np.lexsort((node, label))
+    label, before, node = label[order], before[order], node[order]
+    new = np.concatenate([[True], label[1:] != label[:-1]])
+    root = np.flatnonzero(new)[np.cumsum(new) - 1]
     _, one = np.unique(np.stack([label, before]), axis=1, return_index=True)
     one = one[before[one] != before[root[one]]]
-    return pa.table({"u_id": ids[one], "u_th": ths[one], "v_id": ids[root[one]], "v_th": ths[root[one]]})
+    return pa.table({"u": node[one], "v": node[root[one]]})
 
 
 def _join(percent: int):
-    """Joins what has met in one shingle and size class. component: numbers of what is connected; stray: who looks for partners."""
+    """Joins what has met. c: what is connected; stray: who looks for partners."""
 
     def f(key, table):
         size, most, guest = (table[c].to_numpy() for c in ("n", "room", "guest"))
@@ -343,65 +347,74 @@ def _join(percent: int):
         fits &= size <= most.max(initial=0)
         table = table.filter(pa.array(fits))
         if table.num_rows < 2 or guest[fits].all():
-            return pa.table({c: pa.array([], pa.int64()) for c in ("u_id", "u_th", "v_id", "v_th")})
-        table = table.sort_by([("id", "ascending"), ("th", "ascending")])
-        each = [B.unpack(x, "u8", "u1") for x in table["body"].to_pylist()]
-        before = np.unique(np.stack([table["c_id"].to_numpy(), table["c_th"].to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+            return pa.table({c: pa.array([], pa.int64()) for c in ("u", "v")})
+        table = table.sort_by("node")
+        each = [B.unpack(x, "u8", "u4") for x in table["body"].to_pylist()]
+        before = table["c"].to_numpy()
         label = link_groups([e[0] for e in each], percent, [e[1] for e in each], before, table["stray"].to_numpy() == 1)
-        return _star(table, label, before)
+        return _star(table["node"].to_numpy(), label, before)
 
     return f
 
 
-def _chunks(sets: Column, hashes: Column) -> Column:
-    return F.ceil(F.greatest(sets / F.lit(float(CHUNK_SETS)), hashes / F.lit(float(CHUNK_HASHES)), F.lit(1.0))).cast("int")
-
-
-def _pairs(links: DataFrame) -> DataFrame:
-    return links.select(F.struct(F.col("u_id").alias("id"), F.col("u_th").alias("th")).alias("u"), F.struct(F.col("v_id").alias("id"), F.col("v_th").alias("th")).alias("v"))
-
-
-def _pass_a(survivors: DataFrame, percent: int) -> DataFrame:
-    """Links among what meets in the rarest and in the commonest prefix shingle of each set."""
-    # the rank tells how many sets have a shingle, so that all of them agree on the number of chunks
-    home = F.filter(F.arrays_zip("rank", "key", "guest", "room"), lambda x: x["guest"] == 0)
-    by_rank = F.array_sort(home)
-    ends = survivors.select("id", "th", "n", "body", F.explode(F.array_distinct(F.array(F.element_at(by_rank, 1), F.element_at(by_rank, -1)))).alias("m"))
-    many = F.pow(F.lit(2.0), F.col("m.rank"))
-    chunks = _chunks(many, many * F.pow(F.lit(2.0), F.ceil(F.log2("n"))))
-    ends = ends.withColumn("q", F.pmod(F.xxhash64("id", "th", F.col("m.key")), chunks).cast("int"))
-    ends = ends.select(F.col("m.key").alias("key"), "q", "id", "th", "n", F.col("m.room").alias("room"), F.lit(0).alias("guest"), F.lit(1).alias("stray"), F.col("id").alias("c_id"), F.col("th").alias("c_th"), "body")
-    return ends.groupBy("key", "q").applyInArrow(_join(percent), LINKS)
-
-
-def _pass_b(survivors: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from all shingles whose documents are not all connected."""
-    node = F.struct("id", "th").alias("node")
-    named = survivors.select(node, "n", "key", "rank", "guest", "room").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    keyed = named.select("node", "c", "n", F.inline(F.arrays_zip("key", "rank", "guest", "room")))
-    totals = {"sets": F.sum, "hashes": F.sum, "guest": F.min, "least": F.min, "room": F.max, "rooms": F.sum, "who": F.sum}
-    each = keyed.select("key", "c", F.lit(1).alias("sets"), F.col("n").alias("hashes"), "guest", F.col("n").alias("least"), "room", F.col("room").alias("rooms"), F.xxhash64("node").cast("decimal(38,0)").alias("who"))
+def _open_shingles(keyed: DataFrame) -> DataFrame:
+    """key, sets and main (the largest component) of each shingle whose documents are not all connected and may link."""
+    totals = {"sets": F.sum, "guest": F.min, "n": F.min, "room": F.max, "rooms": F.sum, "who": F.bit_xor, "before": F.min, "after": F.max}
+    each = keyed.select("key", "c", F.lit(1).alias("sets"), "guest", "n", "room", F.col("room").alias("rooms"), F.xxhash64("node").alias("who"), "before", F.col("before").alias("after"))
     by_part = each.groupBy("key", "c").agg(*(f(c).alias(c) for c, f in totals.items()))
-    whole = by_part.groupBy("key").agg(*(f(c).alias(c) for c, f in totals.items()), F.count(F.lit(1)).alias("parts"), F.max(F.struct("sets", "c")).alias("main"))
-    open_ = whole.where("parts > 1 AND guest = 0 AND room >= least")
-    # of shingles with the same documents the first in the global order is enough: it leaves each of them the most room
-    open_ = open_.groupBy("who", "sets").agg(F.max(F.struct("rooms", "key", "main", "hashes")).alias("m")).select("m.key", "sets", F.col("m.hashes").alias("hashes"), F.col("m.main.c").alias("main"), (F.col("sets") - F.col("m.main.sets")).alias("strays"))
-    chunks, share = _chunks(F.col("sets"), F.col("hashes")), F.col("strays") / F.col("sets")
-    open_ = B.checkpointed(open_.select("key", "sets", "main", chunks.alias("chunks"), F.ceil(chunks * share).cast("int").alias("stray_chunks")))
-    members = B.join_by_hot_key(keyed, open_, ["key"], "sets")
-    stray = (F.col("c") != F.col("main")).cast("int")
-    members = members.withColumn("stray", stray)
-    members = members.withColumn("mine", F.pmod(F.xxhash64("node", "key"), "chunks").cast("int")).withColumn("asks", F.pmod(F.xxhash64("node", "key"), "stray_chunks").cast("int"))
-    # every chunk once beside every chunk of strays; a set that is in both roles is sent once
-    spread = F.when(F.col("stray") == 1, F.expr("array_distinct(concat(transform(sequence(0, chunks - 1), q -> struct(q as q, asks as t, 1 as stray)), transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, int(t = asks) as stray))))")).otherwise(F.expr("transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, 0 as stray))"))
-    sent = members.select("key", "node", "c", "n", "room", "guest", F.inline(spread))
-    bodies = survivors.select(node, "body")
-    sent = sent.join(bodies, "node").select("key", "q", "t", F.col("node.id").alias("id"), F.col("node.th").alias("th"), "n", "room", "guest", "stray", F.col("c.id").alias("c_id"), F.col("c.th").alias("c_th"), "body")
-    return sent.groupBy("key", "q", "t").applyInArrow(_join(percent), LINKS)
+    whole = by_part.groupBy("key").agg(*(f(c).alias(c) for c, f in totals.items()), F.min("c").alias("some"), F.max("c").alias("other"), F.max(F.struct("sets", "c")).alias("main"))
+    found = whole.where("some != other AND guest = 0 AND room >= n AND (before != after OR before = 0)")
+    # of shingles with the same documents the first in the global order leaves each of them the most room
+    found = found.groupBy("who", "sets").agg(F.max(F.struct("rooms", "key", "main")).alias("m"))
+    return found.select("m.key", "sets", F.col("m.main.c").alias("main"))
+
+
+def _gathered(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets by main component (main, node, c, n, room, guest), each once; and of each main one: sets, chunks and stray_chunks."""
+    members = B.join_by_hot_key(keyed, B.checkpointed(_open_shingles(keyed)), ["key"], "sets")
+    members = B.checkpointed(members.groupBy("main", "node").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.max("room").alias("room"), F.min("guest").alias("guest")))
+    sizes = members.groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes"), F.count_if(F.col("c") != F.col("main")).alias("strays"))
+    chunks = F.ceil(F.greatest(F.col("sets") / F.lit(float(CHUNK_SETS)), F.col("hashes") / F.lit(float(CHUNK_HASHES)))).cast("int")
+    return members, B.checkpointed(sizes.select("main", "sets", chunks.alias("chunks"), F.ceil(chunks * F.col("strays") / F.col("sets")).cast("int").alias("stray_chunks")))
+
+
+def _meet(survivors: DataFrame, members: DataFrame, sizes: DataFrame, number: int, last: bool, percent: int) -> DataFrame:
+    """Links among what is gathered; last: all chunks beside all strays, else each chunk of the large ones by itself."""
+    members = B.join_by_hot_key(members, sizes, ["main"], "sets")
+    place = F.xxhash64("node", "main", F.lit(number))
+    members = members.withColumn("stray", (F.col("c") != F.col("main")).cast("int")).withColumn("mine", F.pmod(place, "chunks").cast("int"))
+    if last:
+        # every chunk once beside every chunk of strays; a set that is in both roles is sent once
+        members = members.withColumn("asks", F.pmod(place, "stray_chunks").cast("int"))
+        both = "array_distinct(concat(transform(sequence(0, chunks - 1), q -> struct(q as q, asks as t, 1 as stray)), transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, int(t = asks) as stray))))"
+        alone = "transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, 0 as stray))"
+        sent = members.select("main", "node", "c", "n", "room", "guest", F.inline(F.when(F.col("stray") == 1, F.expr(both)).otherwise(F.expr(alone))))
+    else:
+        sent = members.where("chunks > 1").select("main", "node", "c", "n", "room", "guest", F.col("mine").alias("q"), F.lit(0).alias("t"), F.lit(1).alias("stray"))
+    sent = sent.join(survivors.select("node", "body"), "node")
+    return sent.groupBy("main", "q", "t").applyInArrow(_join(percent), LINKS)
+
+
+def _components(survivors: DataFrame, percent: int) -> DataFrame:
+    """id (a node) and component of every linked survivor."""
+    components = None
+    for number in range(ROUNDS + 1):
+        named = survivors.select("node", "n", "key", "before", "guest", "room")
+        if components is None:
+            named = named.withColumn("c", F.col("node"))
+        else:
+            named = named.join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+        members, sizes = _gathered(named.select("node", "c", "n", F.inline(F.arrays_zip("key", "before", "guest", "room"))))
+        last = number == ROUNDS or not sizes.where("stray_chunks > 1").limit(1).count()
+        links = _meet(survivors, members, sizes, number, last, percent)
+        components = connected_components(links if components is None else components.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(links))
+        if last:
+            break
+    return components
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (id, th, n, f1, f2); classes of equal sets (f1, f2, node: the least (id, th) of them, copies); links (u, v) of nodes."""
+    """Rows (id, th, n, f1, f2); classes of equal sets (f1, f2, node: the least (id, th) of them, copies); node and root of each linked class."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     blocks = B.parts(own)
     signed = B.checkpointed(own.mapInArrow(_signatures(k), ROWS))
@@ -413,22 +426,24 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     none = F.lit(None)
     told = marks.select("block", none.cast("int").alias("bucket"), none.cast("binary").alias("body"), "id", "th", F.lit(0).alias("step"))
     told = told.unionAll(replies.select("block", "bucket", "body", none.cast("long").alias("id"), none.cast("long").alias("th"), F.lit(1).alias("step")))
-    survivors = B.checkpointed(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_survivors(k, percent, blocks), SETS))
-    components = connected_components(_pairs(_pass_a(survivors, percent)))
-    links = _pairs(_pass_b(survivors, components, percent))
-    return signed, classes, components.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(links)
+    survivors = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_survivors(k, percent, blocks), SETS)
+    survivors = B.checkpointed(survivors.withColumn("node", F.xxhash64("id", "th")))
+    named = survivors.select(F.struct("id", "th").alias("own"), F.col("node").alias("id"))
+    members = B.checkpointed(_components(survivors, percent).join(named, "id").select(F.col("own").alias("node"), "component"))
+    least = members.groupBy("component").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("members"))
+    return signed, classes, B.join_by_hot_key(members, least, ["component"], "members").select("node", "root")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    signed, classes, links = _linked(docs, k, percent)
+    signed, classes, linked = _linked(docs, k, percent)
     ids = classes.select("f1", "f2", F.col("node.id").alias("class_id"), "copies")
     full = B.checkpointed(B.join_by_hot_key(signed.where("n > 0"), ids, ["f1", "f2"], "copies").select("id", "class_id"))
     # an id that stands for a class, or has texts of several classes, or an empty one as well, ties its classes together
     copies = full.where("id != class_id")
     several = copies.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a != b").select("id")
     ties = copies.join(ids.select(F.col("class_id").alias("id")).unionAll(several).unionAll(signed.where("n = 0").select("id")), "id", "left_semi").distinct()
-    edges = links.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).unionAll(ties.select(F.col("id").alias("u"), F.col("class_id").alias("v")))
+    edges = linked.select(F.col("node.id").alias("u"), F.col("root.id").alias("v")).unionAll(ties.select(F.col("id").alias("u"), F.col("class_id").alias("v")))
     components = connected_components(edges)
     # the root of a class is its own, or that of its least id
     root = ids.join(components, ids["class_id"] == components["id"], "left").select("f1", "f2", "copies", F.coalesce("component", "class_id").alias("root"))
@@ -444,8 +459,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     Here every text is a node of its own, whether its doc_id is null, repeated or neither: of rows
     that share a doc_id each is judged by its text. Texts without words all stay.
     """
-    _, classes, links = _linked(docs, k, percent)
-    gone = connected_components(links).where("id != component").select(F.col("id").alias("node"))
+    _, classes, linked = _linked(docs, k, percent)
+    gone = linked.where("node != root").select("node")
     kept = classes.join(gone, "node", "left_anti").select(F.struct(F.col("node.id").alias("id"), F.col("node.th").alias("th")).alias("kept"))
     text = F.col("text").cast("string")
     own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"))
