@@ -67,17 +67,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: What may be broadcast, counted before it is: rows of a few dozen bytes.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def join_by_hot_key(rows: DataFrame, keyed: DataFrame, on: list[str], copies: str) -> DataFrame:
     """rows joined (inner) with keyed, whose keys are unique and whose column `copies` tells how many rows have them.
 
-    Keys with more than one in BROADCAST_ROWS of all rows, which are fewer than BROADCAST_ROWS by
-    arithmetic, are broadcast, so that no task gets all rows of a key; the others are shuffled.
+    Up to BROADCAST_ROWS keys are broadcast. Of more, only those with more than one in BROADCAST_ROWS
+    of all rows, which are fewer than BROADCAST_ROWS by arithmetic, so that no task gets all rows
+    of a key; the others are shuffled.
     """
-    total = keyed.agg(F.sum(copies)).first()[0] or 0
-    limit = max(1000, total // BROADCAST_ROWS)
+    many, total = keyed.agg(F.count(F.lit(1)), F.sum(copies)).first()
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), on)
+    limit = max(1000, (total or 0) // BROADCAST_ROWS)
     hot = keyed.where(F.col(copies) > limit)
     if not hot.limit(1).count():
         return rows.join(keyed, on)

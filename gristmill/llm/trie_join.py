@@ -358,20 +358,21 @@ def _join(percent: int):
 
 
 def _open_shingles(keyed: DataFrame) -> DataFrame:
-    """key, sets and main (the largest component) of each shingle whose documents are not all connected and may link."""
-    totals = {"sets": F.sum, "guest": F.min, "n": F.min, "room": F.max, "rooms": F.sum, "who": F.bit_xor, "before": F.min, "after": F.max}
-    each = keyed.select("key", "c", F.lit(1).alias("sets"), "guest", "n", "room", F.col("room").alias("rooms"), F.xxhash64("node").alias("who"), "before", F.col("before").alias("after"))
-    by_part = each.groupBy("key", "c").agg(*(f(c).alias(c) for c, f in totals.items()))
-    whole = by_part.groupBy("key").agg(*(f(c).alias(c) for c, f in totals.items()), F.min("c").alias("some"), F.max("c").alias("other"), F.max(F.struct("sets", "c")).alias("main"))
-    found = whole.where("some != other AND guest = 0 AND room >= n AND (before != after OR before = 0)")
+    """key and sets of each shingle whose documents are not all connected and may link."""
+    totals = {"sets": F.sum, "guest": F.min, "n": F.min, "room": F.max, "rooms": F.sum, "who": F.bit_xor, "before": F.min, "after": F.max, "c": F.min, "other": F.max}
+    each = keyed.select("key", F.lit(1).alias("sets"), "guest", "n", "room", F.col("room").alias("rooms"), F.xxhash64("node").alias("who"), "before", F.col("before").alias("after"), "c", F.col("c").alias("other"))
+    whole = each.groupBy("key").agg(*(f(c).alias(c) for c, f in totals.items()))
+    found = whole.where("c != other AND guest = 0 AND room >= n AND (before != after OR before = 0)")
     # of shingles with the same documents the first in the global order leaves each of them the most room
-    found = found.groupBy("who", "sets").agg(F.max(F.struct("rooms", "key", "main")).alias("m"))
-    return found.select("m.key", "sets", F.col("m.main.c").alias("main"))
+    found = found.groupBy("who", "sets").agg(F.max(F.struct("rooms", "key")).alias("m"))
+    return found.select("m.key", "sets")
 
 
 def _gathered(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets by main component (main, node, c, n, room, guest), each once; and of each main one: sets, chunks and stray_chunks."""
-    members = B.join_by_hot_key(keyed, B.checkpointed(_open_shingles(keyed)), ["key"], "sets")
+    found = B.checkpointed(B.join_by_hot_key(keyed.select("key", "node", "c", "n", "room", "guest"), B.checkpointed(_open_shingles(keyed)), ["key"], "sets"))
+    main = found.groupBy("key", "c").agg(F.count(F.lit(1)).alias("own"), F.max("sets").alias("sets")).groupBy("key").agg(F.max(F.struct("own", "c")).alias("m"), F.max("sets").alias("sets"))
+    members = B.join_by_hot_key(found.drop("sets"), B.checkpointed(main.select("key", F.col("m.c").alias("main"), "sets")), ["key"], "sets")
     members = B.checkpointed(members.groupBy("main", "node").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.max("room").alias("room"), F.min("guest").alias("guest")))
     sizes = members.groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes"), F.count_if(F.col("c") != F.col("main")).alias("strays"))
     chunks = F.ceil(F.greatest(F.col("sets") / F.lit(float(CHUNK_SETS)), F.col("hashes") / F.lit(float(CHUNK_HASHES)))).cast("int")
@@ -391,7 +392,9 @@ def _meet(survivors: DataFrame, members: DataFrame, sizes: DataFrame, number: in
         sent = members.select("main", "node", "c", "n", "room", "guest", F.inline(F.when(F.col("stray") == 1, F.expr(both)).otherwise(F.expr(alone))))
     else:
         sent = members.where("chunks > 1").select("main", "node", "c", "n", "room", "guest", F.col("mine").alias("q"), F.lit(0).alias("t"), F.lit(1).alias("stray"))
-    sent = sent.join(survivors.select("node", "body"), "node")
+    sent = B.checkpointed(sent)
+    small = sent.limit(B.BROADCAST_ROWS + 1).count() <= B.BROADCAST_ROWS
+    sent = survivors.select("node", "body").join(F.broadcast(sent) if small else sent, "node")
     return sent.groupBy("main", "q", "t").applyInArrow(_join(percent), LINKS)
 
 
