@@ -3,9 +3,15 @@
 Documents become token ids and an end mark; only those longer than a sequence are cut. A group
 of pieces is packed by the sum-of-squares rule: N(g) counts the open bins with gap g, and each
 piece goes where the sum of N(g)**2 over all gaps becomes smallest, be it an open bin or a new
-one; a full bin is closed and no longer counts. Larger pieces go first. Groups have a bounded
-number of pieces, so any number of groups is packed at once, and what a group leaves open is a
-few bins in thousands.
+one; a full bin is closed and no longer counts. Pieces beyond a part of the capacity go first,
+larger ones earlier, the others in a shuffled order, so that small ones of all lengths are there
+to fill what is left. What a pass leaves open is packed again by the same rule, with as many full
+bins, until the number of bins is the least that the lengths allow or PASSES are over. Groups have a bounded number of
+pieces, so any number of groups is packed at once; a group of GROUP pieces wastes a bin or two in
+thousands.
+
+A piece's group hangs on the piece itself, its task's number and how many equal ones the task has
+had, not on the order of the input, so a task that runs again deals alike.
 
 Tokens come from tokens.UnitTokenizer, which asks the tokenizer once for each distinct word.
 
@@ -20,14 +26,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .letters import find
 from .tokens import UnitTokenizer
 from .words import U64, mix
 
 #: Pieces that are packed together.
 GROUP = 20_000
+#: Orders that passes take in turn: pieces of at least this part of the capacity go by size; and passes over what is open.
+PARTS, PASSES = (1 / 8, 1 / 16, 0.0, 1 / 4), 24
 #: Characters of text that are tokenized together; a longer text is taken alone.
 GROUP_CHARS = 1 << 20
 END = 0
@@ -47,9 +57,31 @@ def text_groups(column: pa.Array):
         yield held
 
 
+class Seen:
+    """How many equal values there were before each one."""
+
+    def __init__(self):
+        self.known, self.many = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def before(self, h: np.ndarray) -> np.ndarray:
+        values, which, many = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        first = np.cumsum(many) - many
+        nth = np.empty(len(h), np.int64)
+        nth[order] = np.arange(len(h)) - first[which[order]]
+        at = find(self.known, values)
+        nth += np.where(at >= 0, self.many[at] if len(self.many) else 0, 0)[which]
+        self.many[at[at >= 0]] += many[at >= 0]
+        known = np.concatenate([self.known, values[at < 0]])
+        order = np.argsort(known)
+        self.known, self.many = known[order], np.concatenate([self.many, many[at < 0]])[order]
+        return nth
+
+
 def cut(path: str, length: int, with_ids: bool):
     def f(batches):
-        tokenizer, seen = UnitTokenizer.of(path), 0
+        tokenizer, seen, task = UnitTokenizer.of(path), Seen(), TaskContext.get()
+        task = U64(task.partitionId() if task else 0)
         for batch in batches:
             row = 0
             for texts in text_groups(batch.column("text")):
@@ -65,9 +97,9 @@ def cut(path: str, length: int, with_ids: bool):
                 lo = ((first[at] + start) * 4).tolist()
                 parts = [whole[a : a + 4 * n] for a, n in zip(lo, many.tolist(), strict=True)]
                 crc = np.array([zlib.crc32(p) for p in parts], np.int64)
-                # equal rows share no group: the place in the input is part of the hash
-                salt = mix(np.arange(seen, seen + len(at)).astype(U64) + (crc.astype(U64) << U64(32)))
-                seen += len(at)
+                ids_of = batch.column("doc_id").fill_null(0).to_numpy().view(U64)[at + row]
+                own = mix(mix(ids_of + U64(1)) ^ crc.astype(U64) ^ (piece.astype(U64) << U64(32)))
+                salt = mix(own ^ mix(seen.before(own).astype(U64) + (task << U64(40))))
                 out = {"doc_id": batch.column("doc_id").take(pa.array(at + row)), "piece": piece.astype(np.int32), "start": start, "length": many, "ids_crc32": crc, "salt": (salt >> U64(1)).astype(np.int64)}
                 row += len(texts)
                 yield pa.record_batch(out | ({"ids": pa.array([bytes(p) for p in parts], pa.binary())} if with_ids else {}))
@@ -103,12 +135,43 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
     return bin_of, offset
 
 
+def pack_group(lengths: np.ndarray, capacity: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each piece; the pieces are taken in the order that passes ask for."""
+    rng = np.random.default_rng(seed)
+    bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    bins, least = None, -(-int(lengths.sum()) // capacity)
+    for number in range(PASSES + 1):
+        if bins is None:
+            mine = np.arange(len(lengths))
+        else:  # what is open, and as many full bins by chance
+            full = np.bincount(bin_of, lengths, bins) == capacity
+            some = ~full
+            some[rng.permutation(np.flatnonzero(full))[: int((~full).sum())]] = True
+            mine = np.flatnonzero(some[bin_of])
+        large = lengths[mine] >= max(1, PARTS[number % len(PARTS)] * capacity)
+        order = np.concatenate([mine[large][np.argsort(-lengths[mine[large]], kind="stable")], rng.permutation(mine[~large])])
+        found, at = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), capacity))
+        many = int(found.max(initial=-1)) + 1
+        if bins is None:
+            names = np.arange(many)
+        else:
+            names = np.unique(bin_of[mine])
+            if many > len(names):
+                continue
+        bin_of[order], offset[order] = names[found], at
+        bin_of = np.unique(bin_of, return_inverse=True)[1]
+        bins = int(bin_of.max(initial=-1)) + 1
+        if bins <= least:
+            break
+    return bin_of, offset
+
+
 def _pack(capacity: int, with_ids: bool):
     def f(key, table):
         table = table.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bin_of, offset = sum_of_squares(table["length"].to_pylist(), capacity)
+        bin_of, offset = pack_group(table["length"].to_numpy(), capacity)
         out = {c: table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        out["sequence_id"] = pa.array(np.array(bin_of, np.int64) + (np.int64(key[0].as_py()) << 32))
+        out["sequence_id"] = pa.array(bin_of + (np.int64(key[0].as_py()) << 32))
         out["offset"] = pa.array(offset, pa.int64())
         return pa.table(out | ({"ids": table["ids"]} if with_ids else {}))
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from gristmill.llm.packing import pack, sum_of_squares
+from gristmill.llm.packing import Seen, pack, pack_group, sum_of_squares
 from gristmill.llm.tokens import UnitTokenizer
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +70,30 @@ def test_pack_round_trip(docs, corpus):
     assert len(by_seq) <= -(-total // 128) * 1.05 + 3
 
 
+def test_groups_are_packed_close_to_the_least():
+    rng = np.random.default_rng(5)
+    for n, capacity in ((2000, 2048), (300, 512), (1, 10)):
+        lengths = np.concatenate([np.minimum(rng.lognormal(5, 1.2, n).astype(np.int64) + 1, capacity), np.full(n // 5, capacity)])
+        bin_of, offset = pack_group(lengths, capacity)
+        bins = int(bin_of.max()) + 1
+        assert sorted(set(bin_of.tolist())) == list(range(bins)) and bins <= -(-lengths.sum() // capacity) * 1.001 + 2
+        for b in range(bins):
+            own = np.flatnonzero(bin_of == b)
+            own = own[np.argsort(offset[own])]
+            assert (offset[own] == np.cumsum(lengths[own]) - lengths[own]).all() and lengths[own].sum() <= capacity
+
+
+def test_equal_pieces_are_told_apart_in_any_order():
+    h = np.array([5, 3, 5, 5, 9, 3], np.uint64)
+    for order in (np.arange(6), np.array([5, 4, 3, 2, 1, 0])):
+        for size in (1, 2, 6):
+            seen, out = Seen(), []
+            for lo in range(0, 6, size):
+                part = h[order][lo : lo + size]
+                out += list(zip(part.tolist(), seen.before(part).tolist(), strict=True))
+            assert sorted(out) == [(3, 0), (3, 1), (5, 0), (5, 1), (5, 2), (9, 0)]
+
+
 def test_odd_rows(spark, empty):
     assert pack(empty, PATH).count() == 0
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string").withColumn("group", F.lit("x"))
