@@ -3,16 +3,18 @@
 Items are partitioned by their number of distinct shingles. An item's signature is the least
 hashes of its shingles, as many as its size class may miss and one more: a document that holds
 the asked share of an item then holds at least one hash of its signature, so the search loses
-nothing. Documents of any length probe the signatures with the hashes of all their shingles,
-and what is found is verified by exact containment of the shingles themselves. Column
-expressions only: no Python runs on the executors.
+nothing. Documents of any length probe the signatures with the hashes of all their shingles.
+What is found is verified by exact containment: the shingles of the documents found, as texts,
+are matched with those of the items, and matches are counted. Column expressions only: no
+Python runs on the executors. Texts stay where they are: only matches are shuffled.
 
-The signatures are broadcast where their number, which is counted, is below BROADCAST_ROWS;
-beyond it both sides are shuffled by hash.
+Signatures, item shingles and found documents are broadcast where their number, which is counted,
+is at most BROADCAST_ROWS; beyond it hashes are shuffled, and all documents are verified.
 
 Defined cases: null and blank texts have no shingles and match nothing; a text of fewer words
-than a shingle has is one shingle. Repeated documents or items each count. A null id is
-kept as one. Columns other than the ids and texts are not read. Empty tables give no rows.
+than a shingle has is one shingle, and very long texts are read whole. Equal documents (id and
+text) count as one, and so do equal items. A null id is kept as one. Columns other than the ids
+and texts, whatever their names, are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Signature hashes that may be broadcast (16 bytes each, and an item's id).
+from .blocks import checkpointed
+
+#: Rows that may be broadcast: signature hashes, item shingles, found documents.
 BROADCAST_ROWS = 200_000
 
 
@@ -55,37 +59,42 @@ def signatures(items: DataFrame, k: int, percent: int) -> DataFrame:
     return own.select("item_id", "item_text", "n", F.slice("h", F.lit(1), F.least(F.col("n"), may_miss + 1)).alias("sig"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, item_id, n_shared and n_item of each item of whose shingles a document has at least `percent` in a hundred."""
     return _contained(docs, items, k, percent).drop("doc")
 
 
 def _contained(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
     # rows are told apart by their texts, as ids may be null or occur twice
-    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), text.alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.col("item_id").cast("long"), text).alias("item"), text.alias("text")).distinct()
     sig = signatures(items.select(F.struct("item_id", "item").alias("item_id"), "text"), k, percent).select("item_id.item_id", "item_id.item", "item_text", "n", "sig")
-    keys = sig.select("item", F.explode("sig").alias("h")).distinct()
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    probes = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.explode(shingle_hashes(F.col("text"), k)).alias("h"))
-    found = probes.join(keys, "h").select("doc_id", "doc", "item").distinct()
-    # exact containment of what was found; a text is compared with the items found in it, whatever its length
-    by_text = docs.withColumn("doc", F.xxhash64("text"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.doc") == F.col("f.doc"))
-    pairs = found.alias("f").join(sig.alias("s"), F.col("f.item") == F.col("s.item")).select("f.doc_id", "f.doc", "s.item_id", "s.item_text", "s.n")
-    pairs = pairs.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("item_id", "item_text", "n")).alias("items"))
-    both = by_text.alias("d").join(pairs.alias("f"), same).select("d.doc_id", "d.doc", shingle_texts(F.col("d.text"), k).alias("own"), "f.items")
-    exact = both.select("doc_id", "doc", F.explode(F.transform("items", lambda s: F.struct(s["item_id"].alias("item_id"), F.size(F.array_intersect(F.col("own"), shingle_texts(s["item_text"], k))).cast("long").alias("n_shared"), s["n"].cast("long").alias("n_item")))).alias("x"))
-    return exact.select("doc_id", "doc", "x.item_id", "x.n_shared", "x.n_item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+    keys = small(sig.select("item", F.explode("sig").alias("h")).distinct())
+    probes = docs.select("doc", F.explode(shingle_hashes(F.col("text"), k)).alias("h"))
+    found = checkpointed(probes.join(keys, "h").select("doc", "item").distinct())
+    # exact containment of what was found
+    asked = found.select("doc").distinct()
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    suspects = docs.join(F.broadcast(asked), "doc", "left_semi") if few else docs
+    held = small(sig.select("item", F.explode(shingle_texts(F.col("item_text"), k)).alias("s")))
+    hits = suspects.select("doc_id", "doc", F.explode(shingle_texts(F.col("text"), k)).alias("s")).join(held, "s")
+    shared = hits.groupBy("doc_id", "doc", "item", F.xxhash64("s").alias("h")).agg(F.lit(1).alias("one")).groupBy("doc_id", "doc", "item").agg(F.count(F.lit(1)).alias("n_shared"))
+    exact = shared.join(found, ["doc", "item"]).join(small(sig.select("item", "item_id", F.col("n").cast("long").alias("n_item"))), "item")
+    return exact.select("doc_id", "doc", "item_id", "n_shared", "n_item").where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Rows that share an id, or have none, are judged by their own texts."""
-    leaks = _contained(docs, items, k, percent).select(F.col("doc_id").alias("leaked_id"), F.col("doc").alias("leaked_text")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("leaked_text"))
-    return docs.join(leaks, same, "left_anti")
+    leaks = small(checkpointed(_contained(docs, items, k, percent).select("doc").distinct()))
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("doc"))
+    return rows.join(leaks, "doc", "left_anti").select("row.*")
 
 
 ORACLE = r"""

@@ -55,6 +55,24 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     assert sorted(r.text or "" for r in decontaminate.clean_documents(docs, items).collect()) == ["", "also clean", "clean"]
 
 
+def test_extra_columns_of_any_name(spark):
+    leak = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, leak, "x"), (2, "clean", "y"), (3, "w " * 50_000 + leak, "z")], "doc_id long, text string, leaked_id string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("leaked_text", "row", "doc", "a.b")})
+    items = spark.createDataFrame([(1, leak, 5)], "item_id long, text string, doc_id int")
+    kept = decontaminate.clean_documents(docs, items)
+    assert kept.columns == docs.columns and [r.leaked_id for r in kept.collect()] == ["y"]
+
+
+def test_no_text_is_shuffled(spark, docs, corpus):
+    items = spark.createDataFrame([(1, " ".join(corpus[3][1].split()[:20]))], "item_id long, text string")
+    found = decontaminate.contained_items(docs, items)
+    # no exchange of the documents' side carries their texts; items may be dealt by theirs
+    for part in plan(found).split("Exchange ")[1:]:
+        below = part.split("\n")[1]
+        assert not re.search(r"Project \[doc_id#\d+L, .*text#", below)
+
+
 def test_contained_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(docs, none).count() == 0
