@@ -4,10 +4,14 @@ Two variable-order Markov models, one of accepted and one of rejected URLs, give
 each byte after the longest context seen; shorter contexts are blended in by Witten-Bell
 smoothing, down to a uniform one. A URL is judged by the difference of the two log-likelihoods
 divided by its length, against a threshold calibrated on URLs that the models were not fitted
-on. Accepted and rejected URLs to learn from are those that a rule decides.
+on. Accepted and rejected URLs to learn from are those that a rule decides: models are fitted on
+a bounded sample of four fifths of them, and the threshold comes from a histogram over all rows
+of the last fifth, however many there are.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and fits no rule; a
-null one is scored as an empty text, whose difference is 0. Repeated rows are judged alike.
+null one is scored as an empty text, whose difference is 0. Repeated rows are judged alike, and a
+difference that equals the threshold is allowed. A URL of any length is scored whole; those of
+more than MAX_LENGTH characters are no samples.
 Without URLs of both kinds to learn from, the method allows everything. Other columns are not
 read; an empty table gives an empty result.
 """
@@ -24,8 +28,10 @@ from .words import U64, slices
 
 #: Bytes of the longest context.
 ORDER = 6
-#: URLs of each kind to learn from, at most; one in CALIBRATION of them is kept for the threshold.
-MAX_URLS, CALIBRATION = 20_000, 5
+#: Distinct URLs of each kind to learn from, at most, and their length; one in CALIBRATION of all is kept for the threshold.
+MAX_URLS, MAX_LENGTH, CALIBRATION = 20_000, 4096, 5
+#: The histogram of differences: its width on either side of 0, and its classes.
+WIDTH, CLASSES = 16.0, 8192
 #: Rules of the production filter: verdict, then host and path as one string.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,36 +96,64 @@ class UrlModel:
     def __init__(self, accepted: pa.Array, rejected: pa.Array):
         self.usable = len(accepted) >= 2 and len(rejected) >= 2
         self.threshold = -np.inf
-        if not self.usable:
+        if self.usable:
+            self.good, self.bad = MarkovModel(accepted), MarkovModel(rejected)
+
+    def places(self, urls: pa.Array) -> np.ndarray:
+        """Class of each URL's difference in the histogram."""
+        return np.clip(((self.difference(urls) + WIDTH) / (2 * WIDTH) * CLASSES).astype(np.int64), 0, CLASSES - 1)
+
+    def calibrate(self, good: np.ndarray, bad: np.ndarray) -> None:
+        """Sets the threshold that decides most URLs of both kinds rightly, by numbers of them in each class."""
+        if not good.sum() or not bad.sum():
             return
-        held = [np.arange(len(x)) % CALIBRATION == CALIBRATION - 1 if len(x) >= CALIBRATION else np.ones(len(x), bool) for x in (accepted, rejected)]
-        fit = [x.filter(pa.array(~h if not h.all() else h)) for x, h in zip((accepted, rejected), held, strict=True)]
-        self.good, self.bad = MarkovModel(fit[0]), MarkovModel(fit[1])
-        good, bad = (np.sort(self.difference(x.filter(pa.array(h)))) for x, h in zip((accepted, rejected), held, strict=True))
-        cuts = np.unique(np.concatenate([good, bad]))
-        cuts = np.concatenate([[cuts[0] - 1e-9], (cuts[1:] + cuts[:-1]) / 2])
-        right = (1 - np.searchsorted(good, cuts) / len(good)) + np.searchsorted(bad, cuts) / len(bad)
-        self.threshold = float(cuts[np.argmax(right)])
+        below = lambda n: np.concatenate([[0], np.cumsum(n)]) / n.sum()
+        right = (1 - below(good)) + below(bad)
+        best = np.flatnonzero(right == right.max())
+        self.threshold = float((best[0] + best[-1]) / 2 / CLASSES * 2 * WIDTH - WIDTH)  # in the middle of a gap
 
     def difference(self, urls: pa.Array) -> np.ndarray:
         """Log-likelihood as an accepted URL less that as a rejected one, for each byte."""
         out = []
         for _, data, offsets in slices(urls):
             start = np.repeat(offsets[:-1], np.diff(offsets))
-            d = np.concatenate([[0], np.cumsum(self.good.per_byte(data, start) - self.bad.per_byte(data, start))])
-            out.append((d[offsets[1:]] - d[offsets[:-1]]) / np.maximum(np.diff(offsets), 1))
+            length = np.diff(offsets)
+            # each URL summed by itself, so that equal ones have equal sums wherever they stand
+            d = np.append(self.good.per_byte(data, start) - self.bad.per_byte(data, start), 0.0)
+            out.append(np.where(length > 0, np.add.reduceat(d, offsets[:-1]), 0.0) / np.maximum(length, 1))
         return np.concatenate(out) if out else np.zeros(0)
 
 
 def fit_urls(judged: DataFrame) -> UrlModel:
     """judged: url, verdict of the rules (null where none fits)."""
+    # equal URLs share a fold; a table with none in the last one is calibrated on what it has
+    decided = judged.where(F.col("verdict").isin("allow", "block") & F.col("url").isNotNull()).withColumn("held", F.pmod(F.xxhash64("url", F.lit(CALIBRATION)), F.lit(CALIBRATION)) == 0)
+    there = {(r.verdict, r.held) for r in decided.groupBy("verdict", "held").count().collect()}
+    every = not {("allow", True), ("block", True), ("allow", False), ("block", False)} <= there
     kinds = []
     for kind in ("allow", "block"):
         # most rows share few texts, so equal ones are merged before the least hashes are taken
-        own = judged.where((F.col("verdict") == kind) & (F.length("url") <= 4096)).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+        own = decided.where((F.col("verdict") == kind) & (F.length("url") <= MAX_LENGTH) & (F.lit(every) | ~F.col("held"))).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
         got = own.orderBy(F.xxhash64("url"), "url").limit(MAX_URLS).select("url").toArrow()["url"].combine_chunks()
         kinds.append(got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks))
-    return UrlModel(*kinds)
+    model = UrlModel(*kinds)
+    if not model.usable:
+        return model
+
+    def histogram(batches):
+        many = np.zeros(2 * CLASSES, np.int64)
+        for b in batches:
+            good = b.column("good").to_numpy(zero_copy_only=False)
+            many += np.bincount(model.places(b.column("url")) + CLASSES * good, minlength=2 * CLASSES)
+        some = np.flatnonzero(many)
+        yield pa.record_batch({"place": some, "n": many[some]})
+
+    many = np.zeros(2 * CLASSES, np.int64)
+    held = decided.where(F.lit(every) | F.col("held")).select("url", (F.col("verdict") == "allow").alias("good"))
+    for row in held.mapInArrow(histogram, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        many[row.place] = row.n
+    model.calibrate(many[CLASSES:], many[:CLASSES])
+    return model
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
