@@ -8,7 +8,9 @@ held-out fold.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Ties go to the
 first language in alphabetical order. Repeated rows are judged alike. Without a labelled
-training document everything is `und`. lang, source and doc_id are no inputs of a prediction.
+training document everything is `und`. A text of any length is judged whole; very long ones are no
+samples (samples.MAX_CHARS). lang, source and doc_id are no inputs of a prediction, and other
+columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,13 +3,16 @@
 Trees split on random features at random places; a document whose statistics are unlike the
 accepted ones is soon alone, so its mean path is short. The forest is grown on a bounded sample
 of labelled good rows, with splits anywhere in the range of all labelled rows, so that what lies
-outside of the accepted range is cut off early; the threshold on the score is calibrated on
-both kinds of labelled rows.
-Statistics are taken over whole texts by vectorised kernels, a batch at a time, without a shuffle.
+outside of the accepted range is cut off early; the threshold on the score is calibrated on a
+histogram over all labelled rows of both kinds, however many there are.
+Statistics are taken once over whole texts by vectorised kernels, a batch at a time; only they
+are matched with labels, never the texts.
 
 Defined cases: a null or blank text has no words, all its counts are 0, and it fails the base
-rule. Repeated rows are judged alike. Without labelled rows no document is called anomalous.
-Other columns are not read; an empty table gives an empty result.
+rule. A text of any length is read whole. Repeated rows are judged alike, and a score that equals
+the threshold is anomalous. Without labelled rows of both kinds no document is called anomalous;
+of several labels of one id the lowest counts. Other columns, whatever their names, are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import labelled
+from .blocks import checkpointed
 from .words import U64, BYTE_BASE, BYTE_INV, Words, mix, runs, slices, spans_hash, sums
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_upper", "n_digits", "n_marks", "n_chars")
-#: Labelled rows of each class, at most.
+#: Labelled good rows that the forest is grown on, at most: those of the least hashes.
 MAX_LABELLED = 3000
+#: Classes of scores in the histogram that the threshold is read from.
+CLASSES = 4096
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -62,9 +67,18 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros((0, len(COUNTS + EXTRA)), np.int64)
 
 
+#: Each feature as (statistic, what it is divided by).
+FEATURES = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeated": ("n_repeat_words", "n_words"), "upper": ("n_upper", "n_chars"), "digits": ("n_digits", "n_chars"), "marks": ("n_marks", "n_words")}
+
+
 def features(s: np.ndarray) -> np.ndarray:
-    words, chars, lines = np.maximum(s[:, 0], 1), np.maximum(s[:, 9], 1), np.maximum(s[:, 5], 1)
-    return np.stack([s[:, 1] / words, s[:, 2] / words, s[:, 3] / lines, s[:, 4] / words, s[:, 6] / chars, s[:, 7] / chars, s[:, 8] / words], 1)
+    column = {c: s[:, i] for i, c in enumerate(COUNTS + EXTRA)}
+    return np.stack([column[a] / np.maximum(column[b], 1) for a, b in FEATURES.values()], 1)
+
+
+def feature_columns() -> dict:
+    """The same features of a table of statistics."""
+    return {c: F.col(a) / F.greatest(F.col(b), F.lit(1)) for c, (a, b) in FEATURES.items()}
 
 
 def mean_path(n: np.ndarray) -> np.ndarray:
@@ -118,50 +132,77 @@ class IsolationForest:
         return 2.0 ** (-total / (len(self.nodes) * self.norm))
 
 
-def calibrated(score: np.ndarray, good: np.ndarray, false_alarms: float) -> float:
-    """The threshold of the best balanced accuracy among those that reject at most this share of good rows."""
-    if not len(score) or good.all() or not good.any():
+def calibrated(good: np.ndarray, bad: np.ndarray, false_alarms: float) -> float:
+    """The threshold of the best balanced accuracy among those that reject at most this share of good rows.
+
+    good, bad: number of rows of each kind by class of score. 2.0, which no score reaches, without rows of both kinds.
+    """
+    if not good.sum() or not bad.sum():
         return 2.0
-    cuts = np.unique(score)
-    cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1e-9]])
-    bad_hit = 1 - np.searchsorted(np.sort(score[~good]), cuts) / (~good).sum()
-    good_hit = 1 - np.searchsorted(np.sort(score[good]), cuts) / good.sum()
-    allowed = good_hit <= false_alarms
-    return float(cuts[allowed][np.argmax((bad_hit - good_hit)[allowed])]) if allowed.any() else 2.0
-
-
-def _stats_batches(batches):
-    for b in batches:
-        s = statistics(b.column("text"))
-        yield pa.record_batch({"label": b.column("label"), **{c: s[:, i] for i, c in enumerate(COUNTS + EXTRA)}})
-
-
-def fit_forest(docs: DataFrame, labels: DataFrame, false_alarms: float = 0.01) -> tuple[IsolationForest | None, float]:
-    rows = labelled(docs, labels, "quality", MAX_LABELLED).select("label", "text")
-    got = rows.mapInArrow(_stats_batches, "label int, " + ", ".join(f"{c} long" for c in COUNTS + EXTRA)).toArrow()
-    s = np.stack([got[c].to_numpy() for c in COUNTS + EXTRA], 1) if got.num_rows else np.zeros((0, len(COUNTS + EXTRA)), np.int64)
-    good = got["label"].to_numpy() == 1
-    enough = s[:, 0] >= 50
-    s, good = s[enough], good[enough]
-    order = np.lexsort([*s.T, good])  # rows come in any order; the forest must not depend on it
-    s, good = s[order], good[order]
-    if good.sum() < 2:
+    above = lambda n: np.append(np.cumsum(n[::-1])[::-1], 0) / n.sum()
+    good_hit, bad_hit = above(good), above(bad)
+    allowed = np.flatnonzero(good_hit <= false_alarms)
+    gain = (bad_hit - good_hit)[allowed]
+    best = allowed[gain == gain.max()]
+    return float((best[0] + best[-1]) / 2 / CLASSES)  # in the middle of a gap between the kinds
+
+
+FIELDS = COUNTS + EXTRA
+_SCHEMA = ", ".join(f"{c} long" for c in FIELDS)
+
+
+def _table(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy() for c in FIELDS], 1)
+
+
+def statistics_of(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of every row."""
+
+    def f(batches):
+        for b in batches:
+            s = statistics(b.column("text"))
+            yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: s[:, i] for i, c in enumerate(FIELDS)}})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(f, "doc_id long, " + _SCHEMA)
+
+
+def fit_forest(stats: DataFrame, labels: DataFrame, false_alarms: float = 0.01) -> tuple[IsolationForest | None, float]:
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    rows = checkpointed(stats.where("n_words >= 50").join(own.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id"))
+    low_high = [f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in FEATURES]
+    ends = rows.select(*(e.alias(c) for c, e in feature_columns().items())).agg(*low_high).first()
+    sample = rows.where("label = 1").orderBy(F.xxhash64("doc_id", *FIELDS), "doc_id").limit(MAX_LABELLED).toArrow()
+    if sample.num_rows < 2:
         return None, 2.0
-    x = features(s)
-    forest = IsolationForest().fit(x[good], x.min(0), x.max(0))
-    return forest, calibrated(forest.score(x), good, false_alarms)
+    s = np.stack([sample[c].to_numpy() for c in FIELDS], 1)
+    s = s[np.lexsort(s.T)]  # rows come in any order; the forest must not depend on it
+    forest = IsolationForest().fit(features(s), np.array([ends[f"low_{c}"] for c in FEATURES]), np.array([ends[f"high_{c}"] for c in FEATURES]))
+
+    def histogram(batches):
+        many = np.zeros(2 * CLASSES, np.int64)
+        for b in batches:
+            at = np.minimum((forest.score(features(_table(b))) * CLASSES).astype(np.int64), CLASSES - 1)
+            many += np.bincount(b.column("label").to_numpy() * CLASSES + at, minlength=2 * CLASSES)
+        some = np.flatnonzero(many)
+        yield pa.record_batch({"place": some, "n": many[some]})
+
+    many = np.zeros(2 * CLASSES, np.int64)
+    for row in rows.mapInArrow(histogram, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        many[row.place] = row.n
+    return forest, calibrated(many[CLASSES:], many[:CLASSES], false_alarms)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, false_alarms: float = 0.01) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and the anomaly score of every document."""
-    forest, threshold = fit_forest(docs, labels, false_alarms)
+    stats = checkpointed(statistics_of(docs))
+    forest, threshold = fit_forest(stats, labels, false_alarms)
 
     def judge(batches):
         for b in batches:
-            s = statistics(b.column("text"))
+            s = _table(b)
             failed = (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
             score = forest.score(features(s)) if forest and len(s) else np.zeros(len(s))
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{c: s[:, i] for i, c in enumerate(COUNTS)}, "base_failed": failed, "kept": ~failed & (score < threshold), "anomaly": score})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")
+    return stats.mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")

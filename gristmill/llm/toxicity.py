@@ -3,12 +3,15 @@
 A word is itself and its character n-grams, each with an embedding; a document is the mean of
 its words' means. Embeddings and softmax weights are trained together, so a misspelling that
 was never seen still has most of its n-grams' vectors. The labels come from a bounded sample of
-the training fold; how common a word is, is counted over all documents. As the softmax is linear in the mean, a trained model is scored by the one
-number that each embedding adds to the logit, which gives the same results.
+the training fold; how common a word is, is counted over all documents. As the softmax is linear
+in the mean, a trained model is scored by the one number that each embedding adds to the logit,
+which gives the same results.
 
 Defined cases: a null text, or one without letters, has the score of an empty bag (the bias).
-Repeated rows score alike. With labels of one class only, every score is that class's share.
-Labels, lang, source and doc_id are no inputs of a score; an empty table gives an empty result.
+A text of any length is scored whole; very long ones are no samples (samples.MAX_CHARS). Repeated
+rows score alike, and a score of exactly one half is predicted toxic. With labels of one class
+only, every score is that class's share. Labels, lang, source and doc_id are no inputs of a score,
+and other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -289,8 +292,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below one half."""
+    """The rows of docs, all columns, whose text scores below one half, or has no letter. Without labels of both classes all stay."""
     model = fit_toxicity(docs, labels, folds, held)
+    if not model.places.any():
+        return docs
     # a column of its own beside the rows: no join, and other columns never leave the JVM
     score = F.arrow_udf(lambda text: pa.array(model.score(text)), "double")
-    return docs.where(score(F.col("text").cast("string")) < 0.5)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.where((score(text) < 0.5) | ~text.rlike(r"\p{L}"))

@@ -1,7 +1,9 @@
 """Decontamination and secret scans: brute force, no Python on the executors, odd rows."""
 
+import os
 import re
 
+import pytest
 from conftest_llm import words
 from gristmill.llm import decontaminate, secrets
 from pyspark.sql import functions as F
@@ -112,3 +114,36 @@ def test_forest_on_fresh_findings(spark):
     got = {r.doc_id: r.is_secret for r in secrets.scan(rows.select("doc_id", "text")).where("is_secret").collect()}
     right = sum(bool(got.get(i)) == bool(y) for i, (_, _, _, y) in enumerate(own))
     assert len(trees) == secrets.TREES and right >= 0.93 * len(own)
+
+
+def test_votes_equal_the_trees(spark):
+    trees, own = secrets.train(spark, secrets.labelled_findings()), secrets.labelled_findings(seed=7, n=60)
+
+    def walk(tree, x):
+        while not isinstance(tree, float):
+            f, cut, low, high = tree
+            tree = low if x[secrets.FEATURES[f]] < cut else high
+        return tree
+
+    rows = spark.createDataFrame([(i, f"{b} {w}") for i, (b, w, _, _) in enumerate(own)], "doc_id long, text string")
+    described = secrets.candidates(rows).withColumns(secrets.features(F.col("token"), F.col("word"), F.col("before"))).collect()
+    want = sorted((r.doc_id, r.position, r.token, round(sum(round(walk(t, r), 6) for t in trees) / len(trees), 6)) for r in described)
+    got = sorted((r.doc_id, r.position, r.token, round(r.score, 6)) for r in secrets.scan(rows).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_scan_of_repeated_rows_and_long_runs(spark):
+    key = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    docs = spark.createDataFrame([(1, key), (1, key), (2, "A" * 200_000), (3, "x " * 50_000 + key)], "doc_id long, text string")
+    found = [(r.doc_id, r.position) for r in secrets.scan(docs).where("is_secret").collect()]
+    assert sorted(found) == [(1, 2), (1, 2), (3, 50_002)]
+
+
+def test_planted_secrets_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = {(r.doc_id, m) for r in docs.collect() for m in re.findall(r'token = "(\w+)"', r.text or "")}
+    found = {(r.doc_id, r.token) for r in secrets.scan(docs).where("is_secret").collect()}
+    assert planted <= found and len(found - planted) <= len(planted)
