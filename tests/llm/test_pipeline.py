@@ -4,12 +4,14 @@ import os
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_native import shingles
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
 
+@needs_tables
 def test_stages(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
     columns = docs.columns
@@ -29,6 +31,45 @@ def test_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) and 'token = "' not in r.text.replace('token = "[SECRET]"', "") for r in seen["secret_scan"])
 
 
+@needs_tables
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    words = lambda p, n=40: " ".join(f"{p}{i}" for i in range(n))
+    bad, leak = "utterly vile slur ", words("leak", 12)
+    rows = [(i, f"{bad if i % 4 == 0 else ''}{words(chr(97 + i % 26) + str(i))}") for i in range(80)]
+    rows += [(None, None), (None, ""), (None, words("solo")), (None, words("solo")), (7, words("other")), (7, rows[7][1]), (90, rows[9][1] + " end"), (91, "x " * 60_000 + leak), (92, "y " * 60_000), (93, f'{words("z")} token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("kept", "row", "doc", "node", "leaked_id", "kept_doc_id", "score", "label", "w")})
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)] + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        if name != "best_fit_packing":
+            assert now.columns == docs.columns
+            now.write.parquet(f"{tmp_path}/out-{name}")
+            now = spark.read.parquet(f"{tmp_path}/out-{name}")
+        out[name] = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in now.collect()) if "text" in now.columns else now.collect()
+    clean = [(d, t) for d, t in rows if not (t or "").startswith(bad)]
+    assert out["toxicity"] == sorted((-1 if d is None else d, t or "") for d, t in clean)
+    # of the copies one stays: without an id, with a repeated one, and near ones
+    left = out["jaccard_join"]
+    assert len(left) == len(clean) - 3 and sum(t == words("solo") for _, t in left) == 1 and sum(t == "" for _, t in left) == 2
+    assert sum(d == 7 for d, _ in left) == 2 and sum(d in (9, 90) for d, _ in left) == 1
+    assert out["decontamination"] == [x for x in left if x[0] != 91]
+    assert [t for d, t in out["secret_scan"] if d == 93] == [words("z") + ' token = "[SECRET]"'] and len(out["secret_scan"]) == len(left) - 1
+    packed = out["best_fit_packing"]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in packed if r.piece == 0) == [d for d, _ in out["secret_scan"]]
+    assert sorted((r.doc_id or -1, r.piece, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id or -1, r.piece, r.length) for r in packed)
+
+
+def test_empty_table(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
