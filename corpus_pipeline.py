@@ -2,8 +2,10 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents that hold a
 benchmark item go, secrets are masked, and what is left is packed into sequences. All stages
-but the last return the columns of documents. Stages that drop rows keep those they cannot
-judge (null or empty texts).
+but the last return the columns of documents, whatever their names. Stages that drop rows keep
+those they cannot judge (null or empty texts). Rows without a doc_id, or with a repeated one, are
+judged by their own texts; of rows equal in doc_id and text one stays. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +57,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again.
+
+    A stage's input is deleted when its output is written; that of the last one, which the result reads, stays.
+    """
     scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{number}-{name}")
             docs = spark.read.parquet(f"{folder}/{number}-{name}")
+            if before:
+                _delete(spark, before)
+            before = f"{folder}/{number}-{name}"
     return docs
