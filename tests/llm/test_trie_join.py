@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 from conftest_llm import lower_ascii, words
-from gristmill.llm import trie_join
+from gristmill.llm import components, trie_join
 from gristmill.llm.components import connected_components
 from gristmill.llm.trie_join import jaccard_components, link_groups, one_of_each
 from pyspark.sql import functions as F
@@ -64,10 +64,13 @@ def test_trie_equals_all_pairs():
         assert ((label[:, None] == label) == (want[:, None] == want)).all()
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+def test_components(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (60, 50), (60, 51), (51, 59)]
+    want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {i: 50 for i in (50, 51, 59, 60)}
+    for few in (components.FEW_EDGES, 0):  # in one task, and by stars
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        assert {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()} == want
+    monkeypatch.setattr(components, "FEW_EDGES", 10)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
