@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .letters import find
-from .words import U64, WORD_BASE, WORD_INV, Words, gather, mix, slices, spans_hash, sliding
+from .words import GATHERED, U64, WORD_BASE, WORD_INV, Words, gather, mix, slices, spans_hash, sliding
 
 #: Words in an anchor; a window of w words has w - SEED + 1 of them.
 SEED = 10
@@ -99,10 +99,17 @@ def _answer_anchors(key, table):
 def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
     """Whether the bytes of each span are those of the other one."""
     same = end - start == other_end - other
-    own, at = gather(data, start[same], end[same])
-    theirs, _ = gather(data, other[same], other_end[same])
-    differ = np.concatenate([[0], np.cumsum(own != theirs)])
-    same[same] = differ[at[1:]] == differ[at[:-1]]
+    which = np.flatnonzero(same)
+    total = np.concatenate([[0], np.cumsum((end - start)[which])])
+    lo = 0
+    while lo < len(which):  # so many bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + GATHERED, "right")) - 1)
+        i = which[lo:hi]
+        own, at = gather(data, start[i], end[i])
+        theirs, _ = gather(data, other[i], other_end[i])
+        differ = np.concatenate([[0], np.cumsum(own != theirs)])
+        same[i] = differ[at[1:]] == differ[at[:-1]]
+        lo = hi
     return same
 
 
@@ -239,7 +246,7 @@ def _parse(window: int):
         tie, pos, length = (np.concatenate([e[i] for e in each]) for i in (1, 2, 3))
         edges = np.concatenate([[0], np.cumsum([len(e[0]) for e in each])])
         data = np.frombuffer(b"".join(memoryview(b)[8 + 20 * len(e[0]) :] for b, e in zip(bodies, each, strict=True)), np.uint8)
-        w = Words(data, np.concatenate([[0], np.cumsum(length, dtype=np.int64)]))
+        w = Words.sliced(data, np.concatenate([[0], np.cumsum(length, dtype=np.int64)]))
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((tie, doc))] = np.arange(len(doc))  # stable: then by block, and in its order
         p, start, many, source, word = factors(w, window, rank)

@@ -114,6 +114,23 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)), "left")
         self.count = np.diff(self.first)
 
+    @classmethod
+    def sliced(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The same of many documents at once, hashed in slices of bounded size."""
+        n, lo, parts = len(offsets) - 1, 0, []
+        while lo < n:
+            hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1), n)
+            w = cls(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            parts.append((w.start + offsets[lo], w.end + offsets[lo], w.doc + lo, w.hash))
+            lo = hi
+        out = cls.__new__(cls)
+        out.data, out.offsets = data, offsets
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
+        out.start, out.end, out.doc, out.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
+        out.first = np.searchsorted(out.doc, np.arange(n + 1), "left")
+        out.count = np.diff(out.first)
+        return out
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start (word number) and hash of every run of k words within a document."""
         n = len(self.hash)
@@ -131,13 +148,24 @@ class Words:
         return np.concatenate([self.doc[at], short]), np.concatenate([h, whole])
 
 
+#: Elements that a gathering looks at together.
+GATHERED = 1 << 18
+
+
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the spans one after the other, and their offsets."""
-    length = end - start
-    offsets = np.concatenate([[0], np.cumsum(length)])
-    if not len(start):
-        return np.zeros(0, data.dtype), offsets
-    return data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)], offsets
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    out = np.empty(offsets[-1], data.dtype)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + GATHERED, "right")) - 1)
+        if hi == lo + 1:
+            out[offsets[lo] : offsets[hi]] = data[start[lo] : end[lo]]
+        else:
+            shift = np.repeat(start[lo:hi] - offsets[lo:hi], end[lo:hi] - start[lo:hi])
+            out[offsets[lo] : offsets[hi]] = data[np.arange(offsets[lo], offsets[hi]) + shift]
+        lo = hi
+    return out, offsets
 
 
 def distinct_per_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
