@@ -38,7 +38,7 @@ SEED = 10
 #: Windows of a passage, at most (texts that repeat a word for long have long runs of one anchor).
 LONGEST = 32
 #: Occurrences from which on an anchor is dealt out by windows.
-HOT = 20_000
+HOT = 5_000
 #: A null doc_id.
 NONE = -(2**63)
 
@@ -76,7 +76,7 @@ def _ask_anchors(window: int, buckets: int):
         if not seen:
             return B.asks([])
         h, n = np.unique(np.concatenate(seen), return_counts=True)
-        return B.asks([(key[0].as_py(), b, B.pack(h[i], np.minimum(n[i], 255).astype(np.uint8))) for b, i in B.split(h, buckets)])
+        return B.asks([(key[0].as_py(), b, B.pack(h[i], np.minimum(n[i], 255).astype(np.uint8))) for b, i in B.split(mix(h), buckets)])
 
     return f
 
@@ -154,7 +154,7 @@ class Passages:
             norm[begin[1:] - 1] = 32
             body, span = gather(norm, begin[first], begin[last] - 1)
             content = mix(spans_hash(w.hash, first, last, WORD_BASE, WORD_INV) ^ mix(anchor[head]))
-            key = np.where(alone[head], print_[head], anchor[head])
+            key = mix(np.where(alone[head], print_[head], anchor[head]))  # the least hashes have few high bits to deal by
             parts.append((w.doc[first] + lo, first - w.first[w.doc[first]], many, key, content, span[:-1] + base, span[1:] + base))
             bodies.append(body)
             base += len(body)
