@@ -20,7 +20,9 @@ def session() -> SparkSession:
 
 def ingest(args: argparse.Namespace) -> int:
     try:
-        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size, Settings.read().embedder())
+        # a run that embeds fails at once without a key
+        embedder = None if args.dry_run or args.skip_embeddings else Settings.read().embedder()
+        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size, embedder, args.mode, args.native, args.lines)
     except Exception:
         logging.getLogger(__name__).exception("the run failed")
         return 1
@@ -79,6 +81,9 @@ def main(argv: list[str] | None = None) -> int:
     own.add_argument("--skip-embeddings", action="store_true")
     own.add_argument("--no-history", action="store_true")
     own.add_argument("--batch-size", type=int, default=100)
+    own.add_argument("--mode", choices=("permissive", "strict"), default="permissive", help="take odd shapes as absent, or fail")
+    own.add_argument("--lines", action="store_true", help="the input is JSON lines, read in parallel")
+    own.add_argument("--native", action="store_true", help="write folders of JSON lines in parallel")
     own.set_defaults(run=ingest)
     own = sub.add_parser("validate")
     own.add_argument("--path", required=True)

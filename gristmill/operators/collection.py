@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
@@ -26,3 +26,9 @@ def internal_documents(raw: DataFrame) -> DataFrame:
         F.lit("").alias("text"),
         doc.alias("original"),
     )
+
+
+def sketched_points(records: DataFrame, vector: Column) -> DataFrame:
+    """pos, id, vector, payload of records of internal_documents, the original left out."""
+    fields = ("external_id", "title", "url", "published_at", "categories", "thumbnail_url", "text")
+    return records.select("pos", F.col("external_id").alias("id"), vector.alias("vector"), F.struct(*fields).alias("payload"))

@@ -59,10 +59,14 @@ def rejects(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str = "metadata.external_id", order: str = "pos") -> DataFrame:
-    """The first row of each key in input order; rows without a key all stay. One shuffle, cut down before it."""
-    own = Window.partitionBy(F.col(key)).orderBy(F.col(order))
-    first = rows.where(F.col(key).isNotNull()).withColumn("first_of_key", F.row_number().over(own)).where("first_of_key = 1").drop("first_of_key")
-    return first.unionAll(rows.where(F.col(key).isNull()))
+    """The first row of each key in input order; rows without a key all stay. One pass and one shuffle, cut down before it.
+
+    Rows without a key are dealt by their order, so that they do not meet in one task.
+    """
+    alone = F.when(F.col(key).isNull(), F.col(order))
+    own = Window.partitionBy(F.col(key), alone).orderBy(F.col(order))
+    nth = "__nth_of_key"
+    return rows.withColumn(nth, F.row_number().over(own)).where(F.col(key).isNull() | (F.col(nth) == 1)).drop(nth)
 
 
 def counters(rows: DataFrame) -> DataFrame:
@@ -81,10 +85,10 @@ def points(docs: DataFrame, vector: Column) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The newest version of every key; both sides have the same columns."""
     own = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return old.unionByName(new).withColumn("newest", F.row_number().over(own)).where("newest = 1").drop("newest")
+    return old.unionByName(new).withColumn("__newest", F.row_number().over(own)).where("__newest = 1").drop("__newest")
 
 
 def expired(runs: DataFrame, order: str, keep_last: int = 10, by: list[str] | None = None) -> DataFrame:
     """Runs beyond the newest keep_last (of each group, if any)."""
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return runs.withColumn("age", F.row_number().over(own.orderBy(F.col(order).desc()))).where(F.col("age") > keep_last).drop("age")
+    return runs.withColumn("__age", F.row_number().over(own.orderBy(F.col(order).desc()))).where(F.col("__age") > keep_last).drop("__age")

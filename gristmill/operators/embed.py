@@ -39,8 +39,8 @@ class Settings:
         return cls(env.get("OPENAI_API_KEY") or None, env.get("USE_FAKE_EMBEDDINGS") == "1", int(env.get("MAX_EMBEDDING_CHARS", MAX_CHARS)))
 
     def embedder(self) -> Embedder:
-        """The provider where a key is set and fakes are not asked for."""
-        return FakeEmbedder() if self.fake or not self.api_key else OpenAIEmbedder(self.api_key)
+        """Fakes where they are asked for, else the provider, which needs a key."""
+        return FakeEmbedder() if self.fake else OpenAIEmbedder(self.api_key)
 
 
 class OpenAIEmbedder:
@@ -48,7 +48,7 @@ class OpenAIEmbedder:
 
     def __init__(self, api_key: str | None, model: str = MODEL):
         if not api_key:
-            raise ValueError("OPENAI_API_KEY is not set")
+            raise ValueError("OPENAI_API_KEY is not set; USE_FAKE_EMBEDDINGS=1 asks for zero vectors instead")
         self.api_key, self.model, self._client = api_key, model, None
 
     def __getstate__(self):
@@ -122,6 +122,15 @@ def attach_vectors(docs: DataFrame, embedder: Embedder | None = None, batch: int
     return docs.withColumn("vector", column(truncate_at_word(F.col("text"), max_chars)))
 
 
+def truncation(docs: DataFrame, max_chars: int = MAX_CHARS, text: str = "text") -> DataFrame:
+    """One row: how many texts are cut before they are embedded, and their characters before and after."""
+    whole = F.length(text)
+    cut = F.length(truncate_at_word(F.col(text), max_chars))
+    over = whole > max_chars
+    total = lambda c: F.coalesce(F.sum(F.when(over, c)), F.lit(0)).cast("long")
+    return docs.agg(F.count_if(over).alias("n_truncated"), total(whole).alias("chars_before"), total(cut).alias("chars_after"))
+
+
 def dimensions(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """One row: how many vectors there are and how many different lengths."""
     return vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.count_distinct(F.size(column)).alias("n_dims"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..operators.embed import BATCH, Embedder, attach_vectors, checked
 from ..sources import sinks
-from ..sources.documents import head, read_documents
+from ..sources.documents import head, head_of_lines, read_documents, read_lines
 
 log = logging.getLogger(__name__)
 
@@ -22,15 +22,15 @@ def prepare(raw: DataFrame, mode: str = "permissive") -> DataFrame:
     return D.keep_first(D.accepted(D.transform(raw, mode)))
 
 
-def run_pipeline(spark: SparkSession, input_path: str, output_dir: str, limit: int | None = None, dry_run: bool = False, skip_embeddings: bool = False, keep_history: bool = True, batch_size: int = BATCH, embedder: Embedder | None = None, mode: str = "permissive", native: bool = False) -> tuple[int, int, dict[str, str]]:
-    """(total read, processed, paths written). native writes folders of JSON lines instead of single files."""
+def run_pipeline(spark: SparkSession, input_path: str, output_dir: str, limit: int | None = None, dry_run: bool = False, skip_embeddings: bool = False, keep_history: bool = True, batch_size: int = BATCH, embedder: Embedder | None = None, mode: str = "permissive", native: bool = False, lines: bool = False) -> tuple[int, int, dict[str, str]]:
+    """(total read, processed, paths written). lines reads JSON lines, split over tasks; native writes folders of them instead of single files."""
     began, stamp, out = time.time(), sinks.run_stamp(), Path(output_dir)
     if not native:
         out.mkdir(parents=True, exist_ok=True)
-    raw = read_documents(spark, input_path)
+    raw = read_lines(spark, input_path) if lines else read_documents(spark, input_path)
     total = raw.count()
     log.info("loaded %d raw documents", total)
-    rows = D.transform(head(raw, limit), mode).persist()
+    rows = D.transform((head_of_lines if lines else head)(raw, limit), mode).persist()
     try:
         counts = D.counters(rows).first()
         log.info("kept %d, skipped %d, duplicates %d", counts.kept, counts.skipped, counts.duplicates)
@@ -51,8 +51,12 @@ def run_pipeline(spark: SparkSession, input_path: str, output_dir: str, limit: i
                 write("points", sinks.POINTS, D.points(checked(pointed), F.col("vector")))
             finally:
                 pointed.unpersist()
-        if keep_history and not native:
-            sinks.save_metadata(out, stamp, keep_history, {"timestamp": stamp, "input_file": input_path, "total_raw": total, "processed": counts.kept, "skipped": counts.skipped, "duplicates_removed": counts.duplicates, "embeddings_generated": not skip_embeddings, "outputs": paths, "duration_seconds": time.time() - began})
+        if keep_history:
+            facts = {"timestamp": stamp, "input_file": input_path, "total_raw": total, "processed": counts.kept, "skipped": counts.skipped, "duplicates_removed": counts.duplicates, "embeddings_generated": not skip_embeddings, "outputs": paths, "duration_seconds": time.time() - began}
+            if native:
+                sinks.write_facts(spark, f"{output_dir}/{sinks.METADATA}_{stamp}", facts)
+            else:
+                sinks.save_metadata(out, stamp, keep_history, facts)
         return total, counts.kept, paths
     finally:
         rows.unpersist()

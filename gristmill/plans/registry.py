@@ -6,6 +6,8 @@ a table: page markup, conversation turns, injected blanks and faults.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from ..operators import embed as E
 from ..operators import metadata as M
 from ..operators import ordered
 from ..operators import validate as V
+from ..sources import sinks
+from ..sources.documents import read_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -356,3 +360,51 @@ def cosine_topk(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return nearest(vectors.where("vec_id % 100 = 0"), vectors, 5).withColumn("cosine", F.round("cosine", 6))
 
+
+@query("SELECT count(*) FILTER (WHERE length(text) > 400)::BIGINT AS n_truncated, coalesce(sum(length(text)) FILTER (WHERE length(text) > 400), 0)::BIGINT AS chars_before, coalesce(sum(CASE WHEN strpos(reverse(text[:400]), ' ') > 0 AND 400 - strpos(reverse(text[:400]), ' ') > 320 THEN 400 - strpos(reverse(text[:400]), ' ') ELSE 400 END) FILTER (WHERE length(text) > 400), 0)::BIGINT AS chars_after FROM documents")
+def truncation_statistics(spark, sf):
+    return E.truncation(table(spark, sf, "documents"), 400)
+
+
+_GOOD = '{"text": "t", "title": "a", "url": "u", "external_id": "e"}'
+#: id, vector and payload of a point, and the errors and warnings it must have: one case for each rule.
+_CASES = (
+    ('"x"', "[1, 2.5]", _GOOD, [], []),
+    ("null", "[1, 2]", _GOOD, ["missing 'id'"], []),
+    ("1.5", "[1, 2]", _GOOD, ["'id' should be str or int, got float"], []),
+    ("1", "null", _GOOD, ["missing 'vector'"], []),
+    ("1", '"v"', _GOOD, ["'vector' should be a list, got str"], []),
+    ("1", "[1]", _GOOD, ["vector length 1 != expected_dim 2"], []),
+    ("1", '[1, "a"]', _GOOD, ["vector[1] is not a finite number (got 'a')"], []),
+    ("1", "[1, 2]", "null", ["missing 'payload'"], []),
+    ("1", "[1, 2]", "[1]", ["'payload' should be an object, got list"], []),
+    ("1", "[1, 2]", '{"title": "a", "url": "u", "external_id": "e"}', ["payload missing required 'text' field"], []),
+    ("1", "[1, 2]", '{"text": 5, "title": "a", "url": "u", "external_id": "e"}', ["payload.text should be a string, got int"], []),
+    ("1", "[1, 2]", '{"text": " ", "title": "a", "url": "u", "external_id": "e"}', [], ["payload.text is empty/whitespace"]),
+    ("1", "[1, 2]", '{"text": "t", "metadata": "m"}', ["payload.metadata exists but is not a dict (got str)", "could not determine metadata dict"], []),
+    ("1", "[1, 2]", '{"text": "t", "metadata": {"url": "u", "external_id": "e"}}', [], ["metadata missing expected field 'title'"]),
+    ("1", "[1, 2]", '{"text": "t", "title": "a", "url": 5, "external_id": "e"}', [], ["metadata.url is not a string (got int)"]),
+)
+
+
+def _case(column: int) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    said = lambda c: " || ';' || ".join(f"'[idx=' || vec_id || '] ' || {quoted(m)}" for m in c[column]) or "''"
+    return "CASE vec_id % 15 " + " ".join(f"WHEN {i} THEN {said(c)}" for i, c in enumerate(_CASES)) + " END"
+
+
+@query(f"SELECT vec_id AS idx, {_case(3)} AS errors, {_case(4)} AS warnings FROM embeddings")
+def validate_each_rule(spark, sf):
+    place = (F.col("vec_id") % len(_CASES) + 1).cast("int")
+    part = lambda i: F.parse_json(F.element_at(F.array(*(F.lit(c[i]) for c in _CASES)), place))
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), part(0).alias("id"), part(1).alias("vector"), part(2).alias("payload"))
+    return V.validate(points, 2).select("idx", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
+
+
+@query("SELECT doc_id, text, n_chars FROM documents WHERE text IS NOT NULL")
+def json_lines_round_trip(spark, sf):
+    """The native sink and the scan of JSON lines, through the shared folder."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', tempfile.gettempdir())}/gristmill-lines-{uuid.uuid4()}"
+    sinks.write_lines(table(spark, sf, "documents").select("doc_id", "text", "n_chars").where("text IS NOT NULL"), folder)
+    doc = F.col("doc")
+    return read_lines(spark, folder).select(F.try_variant_get(doc, "$.doc_id", "long").alias("doc_id"), C.to_str(C.child(doc, "text")).alias("text"), F.try_variant_get(doc, "$.n_chars", "long").alias("n_chars"))

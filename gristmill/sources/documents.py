@@ -25,11 +25,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     A single array cannot be split; large corpora should come as JSON lines, see read_lines.
     """
     _keep_last_key(spark)
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     value = F.parse_json("value")
     scalar = F.raise_error(F.lit("the top level of the input is neither a list nor an object"))
-    value_ok = files.select(value.alias("v")).select(F.when(C.is_array(F.col("v")) | C.is_object(F.col("v")), chosen_list(F.col("v"))).otherwise(scalar.cast("array<variant>")).alias("docs"))
-    return value_ok.select(F.posexplode("docs").alias("pos", "doc")).select(F.col("pos").cast("long").alias("pos"), "doc")
+    value_ok = files.select("file", value.alias("v")).select("file", F.when(C.is_array(F.col("v")) | C.is_object(F.col("v")), chosen_list(F.col("v"))).otherwise(scalar.cast("array<variant>")).alias("docs"))
+    each = value_ok.select("file", F.posexplode("docs").alias("pos", "doc"))
+    if len(spark.read.text(path).inputFiles()) > 1:  # positions go on from file to file; the driver sees one number of each
+        sizes = sorted((r.file, r.n) for r in value_ok.select("file", F.coalesce(F.size("docs"), F.lit(0)).alias("n")).collect())
+        before, starts = 0, []
+        for file, n in sizes:
+            starts.append((file, before))
+            before += n
+        each = each.join(F.broadcast(spark.createDataFrame(starts, "file string, before long")), "file").withColumn("pos", F.col("pos") + F.col("before"))
+    return each.select(F.col("pos").cast("long").alias("pos"), "doc")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

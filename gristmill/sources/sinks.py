@@ -7,7 +7,7 @@ import logging
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -58,6 +58,14 @@ def save_metadata(folder: Path, stamp: str, keep_history: bool, facts: dict) ->
         log.warning("run metadata could not be saved", exc_info=True)
 
 
+def write_facts(spark: SparkSession, folder: str, facts: dict) -> None:
+    """The same facts as a folder of one JSON line, on any file system that Spark writes to; best effort."""
+    try:
+        spark.createDataFrame([(json.dumps(facts, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+    except Exception:
+        log.warning("run metadata could not be saved", exc_info=True)
+
+
 def clean_up(folder: str | Path, keep_last: int = 10) -> list[Path]:
     """Deletes the files of runs beyond the newest keep_last of each kind; returns what it deleted."""
     gone: list[Path] = []

@@ -71,7 +71,9 @@ def test_nearest(spark):
 
 
 def test_settings():
-    assert isinstance(Settings.read({}).embedder(), FakeEmbedder) and Settings.read({}).max_chars == 8000
+    with pytest.raises(ValueError, match="OPENAI_API_KEY"):
+        Settings.read({}).embedder()
+    assert isinstance(Settings.read({"USE_FAKE_EMBEDDINGS": "1"}).embedder(), FakeEmbedder) and Settings.read({}).max_chars == 8000
     assert isinstance(Settings.read({"OPENAI_API_KEY": "k"}).embedder(), OpenAIEmbedder)
     assert isinstance(Settings.read({"OPENAI_API_KEY": "k", "USE_FAKE_EMBEDDINGS": "1"}).embedder(), FakeEmbedder)
     assert Settings.read({"MAX_EMBEDDING_CHARS": "5"}).max_chars == 5

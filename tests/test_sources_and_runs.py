@@ -135,3 +135,21 @@ def test_point_files(spark, tmp_path):
     for name, text in (("one", json.dumps(GOOD)), ("bad", json.dumps(GOOD) + "\n{nope\n"), ("list", json.dumps(GOOD) + "\n[1]\n"), ("empty", "")):
         with pytest.raises(ValueError):
             read_points(spark, put(tmp_path / f"{name}.json", text)).count()
+
+
+def test_positions_go_on_over_files(spark, tmp_path):
+    for name, ids in (("b.json", [3, 4]), ("a.json", [1, 2]), ("c.json", [])):
+        (tmp_path / name).write_text(json.dumps([{"_id": i} for i in ids]))
+    rows = read_documents(spark, str(tmp_path))
+    got = sorted((r.pos, r.id) for r in rows.selectExpr("pos", "variant_get(doc, '$._id', 'int') AS id").collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert head(rows, 3).count() == 3
+
+
+def test_lines_and_native_run(spark, tmp_path):
+    docs = [{"_id": str(i % 5), "title": "t", "url": "https://a.example/x", "content_elements": [{"type": "text", "content": f"text {i}"}]} for i in range(8)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, docs)))
+    total, kept, paths = run_pipeline(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), limit=7, native=True, lines=True, skip_embeddings=True)
+    assert (total, kept) == (8, 5) and spark.read.json(paths["transformed"]).count() == 5
+    facts = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("run_metadata")]
+    assert json.loads(spark.read.text(str(facts[0])).first().value)["processed"] == 5
