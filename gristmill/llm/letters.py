@@ -8,7 +8,7 @@ import pyarrow as pa
 from .words import U64, gather, mix, runs, spans_hash
 
 #: Code points of text that are looked at together; a longer text makes a slice of its own.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 CHAR_BASE = U64(0xC2B2AE3D27D4EB4F)
 CHAR_INV = U64(pow(int(CHAR_BASE), -1, 1 << 64))
 _alpha: list[np.ndarray] = []

@@ -39,7 +39,7 @@ GROUP = 20_000
 #: Orders that passes take in turn: pieces of at least this part of the capacity go by size; and passes over what is open.
 PARTS, PASSES = (1 / 8, 1 / 16, 0.0, 1 / 4), 24
 #: Characters of text that are tokenized together; a longer text is taken alone.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 END = 0
 
 

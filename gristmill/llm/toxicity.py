@@ -38,7 +38,7 @@ PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
 #: Characters of training texts that are multiplied out together, and entries that a product reads together.
 TRAINING_CHARS, ENTRIES = 1 << 17, 1 << 19
 #: Counts of words that a task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Share of all running words from which on a word counts for less than half.
 RARE = 1e-3
 
@@ -235,10 +235,12 @@ class Model:
         if not len(texts) or label.min() == label.max():
             return cls.constant(float(label.mean()) if len(texts) else 0.0)
         column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+        del texts
         n = len(column)
         weights = weights or Weights.count(column)
         # each place at the same scale, so that one penalty suits all of them
         x, used, scale = Bags.build(column, weights, max(LEAST_DOCS, n // 1000))
+        del column  # the texts are not needed for the descent
         if not len(used):
             return cls.constant(float(label.mean()))
         target = np.stack([1 - label, label], 1).astype(np.float32)
@@ -275,7 +277,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     got = labelled(docs, labels, "toxic", MAX_LABELLED, folds, held).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long"), folds) != held))
     share = known.agg(F.avg("toxic")).first()[0]
-    return Model.fit(got["text"], got["label"].to_numpy().astype(np.float32), share, Weights.over(docs))
+    weights = Weights.over(docs)
+    label, texts = got["label"].to_numpy().astype(np.float32), [got["text"]]
+    del got
+    return Model.fit(texts.pop(), label, share, weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

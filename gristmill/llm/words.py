@@ -14,7 +14,7 @@ U64 = np.uint64
 #: Odd multipliers of the two rolling hashes (bytes in a word, words in a window).
 BYTE_BASE, WORD_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Bytes of text that a kernel looks at together; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
