@@ -14,12 +14,13 @@ overlap that the sizes ask for, or when all of its documents are connected to th
 
 So that a set does not travel to all of its prefix shingles, shingles are gathered first: of those
 with the same documents one is enough, none is needed whose documents all come from one earlier
-shingle, and those whose largest component is the same one are joined together. A gathering
-beyond a size is dealt into chunks. It comes in rounds: first each chunk is joined by itself,
-which connects most of a large group of near copies; shingles whose documents are all connected
-by then are done, and at last only pairs of different components are of interest: the documents
-outside of the largest component (the strays) are joined with every chunk. No link between
-different texts is lost, and pairs within a component are never listed.
+shingle, and those whose largest component is the same one are joined together. A gathering of
+one chunk is joined at once and done. A larger one is dealt into chunks and comes in rounds: first
+each chunk is joined by itself, which connects most of a large group of near copies; shingles
+whose documents are all connected by then are done, and at last, when a round no longer halves the
+components, only pairs of different ones are of interest: the documents outside of the largest
+component (the strays) are joined with every chunk. Only shingles of gatherings that are not done are listed again. No link between different
+texts is lost, and pairs within a component are never listed.
 
 Links are exact on 64-bit hashes of shingles (and of the rows that stand for classes). Defined cases: null and blank texts have empty sets and
 link with nothing; a text of fewer words than a shingle has is one shingle, and a text of any
@@ -30,6 +31,8 @@ are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,8 +45,6 @@ from .words import U64, WORD_BASE, WORD_INV, Words, distinct_per_doc, mix, slice
 
 #: Sets and shingle hashes of a chunk, about.
 CHUNK_SETS, CHUNK_HASHES = 500, 1_000_000
-#: Rounds in which chunks are joined by themselves, at most.
-ROUNDS = 3
 #: A null doc_id.
 NULL_ID = -(2**63)
 _SECOND = U64(0xE7037ED1A0B428DB)
@@ -368,31 +369,38 @@ def _open_shingles(keyed: DataFrame) -> DataFrame:
     return found.select("m.key", "sets")
 
 
-def _gathered(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets by main component (main, node, c, n, room, guest), each once; and of each main one: sets, chunks and stray_chunks."""
-    found = B.checkpointed(B.join_by_hot_key(keyed.select("key", "node", "c", "n", "room", "guest"), B.checkpointed(_open_shingles(keyed)), ["key"], "sets"))
-    main = found.groupBy("key", "c").agg(F.count(F.lit(1)).alias("own"), F.max("sets").alias("sets")).groupBy("key").agg(F.max(F.struct("own", "c")).alias("m"), F.max("sets").alias("sets"))
-    members = B.join_by_hot_key(found.drop("sets"), B.checkpointed(main.select("key", F.col("m.c").alias("main"), "sets")), ["key"], "sets")
-    members = B.checkpointed(members.groupBy("main", "node").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.max("room").alias("room"), F.min("guest").alias("guest")))
+def _listed(keyed: DataFrame) -> DataFrame:
+    """The meeting points of open shingles: key, node, c, n, room, guest and sets (of the key)."""
+    open_ = B.checkpointed(_open_shingles(keyed))
+    return B.checkpointed(B.join_by_hot_key(keyed.select("key", "node", "c", "n", "room", "guest"), open_, ["key"], "sets"))
+
+
+def _gathered(listed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Meeting points of keys that are still open, with main (the largest component of the key); sets by main, each once;
+    and of each main one: sets, chunks, stray_chunks and settles (whether this round is the last for it)."""
+    shares = listed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("own"), F.max("sets").alias("sets"))
+    main = shares.groupBy("key").agg(F.max(F.struct("own", "c")).alias("m"), F.max("sets").alias("sets"), F.count(F.lit(1)).alias("components"))
+    main = B.checkpointed(main.where("components > 1").select("key", F.col("m.c").alias("main"), "sets"))
+    tied = B.checkpointed(B.join_by_hot_key(listed.drop("sets"), main, ["key"], "sets"))
+    members = B.checkpointed(tied.groupBy("main", "node").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.max("room").alias("room"), F.min("guest").alias("guest")))
     sizes = members.groupBy("main").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes"), F.count_if(F.col("c") != F.col("main")).alias("strays"))
     chunks = F.ceil(F.greatest(F.col("sets") / F.lit(float(CHUNK_SETS)), F.col("hashes") / F.lit(float(CHUNK_HASHES)))).cast("int")
-    return members, B.checkpointed(sizes.select("main", "sets", chunks.alias("chunks"), F.ceil(chunks * F.col("strays") / F.col("sets")).cast("int").alias("stray_chunks")))
+    sizes = sizes.select("main", "sets", chunks.alias("chunks"), F.ceil(chunks * F.col("strays") / F.col("sets")).cast("int").alias("stray_chunks"))
+    return tied, members, B.checkpointed(sizes.withColumn("settles", F.lit(last) | (F.col("stray_chunks") <= 1)))
 
 
-def _meet(survivors: DataFrame, members: DataFrame, sizes: DataFrame, number: int, last: bool, percent: int) -> DataFrame:
-    """Links among what is gathered; last: all chunks beside all strays, else each chunk of the large ones by itself."""
+def _meet(survivors: DataFrame, members: DataFrame, sizes: DataFrame, number: int, percent: int) -> DataFrame:
+    """Links among what is gathered; where it settles all chunks beside all strays, else each chunk by itself."""
     members = B.join_by_hot_key(members, sizes, ["main"], "sets")
     place = F.xxhash64("node", "main", F.lit(number))
     members = members.withColumn("stray", (F.col("c") != F.col("main")).cast("int")).withColumn("mine", F.pmod(place, "chunks").cast("int"))
-    if last:
-        # every chunk once beside every chunk of strays; a set that is in both roles is sent once
-        members = members.withColumn("asks", F.pmod(place, "stray_chunks").cast("int"))
-        both = "array_distinct(concat(transform(sequence(0, chunks - 1), q -> struct(q as q, asks as t, 1 as stray)), transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, int(t = asks) as stray))))"
-        alone = "transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, 0 as stray))"
-        sent = members.select("main", "node", "c", "n", "room", "guest", F.inline(F.when(F.col("stray") == 1, F.expr(both)).otherwise(F.expr(alone))))
-    else:
-        sent = members.where("chunks > 1").select("main", "node", "c", "n", "room", "guest", F.col("mine").alias("q"), F.lit(0).alias("t"), F.lit(1).alias("stray"))
-    sent = B.checkpointed(sent)
+    # every chunk once beside every chunk of strays; a set that is in both roles is sent once
+    members = members.withColumn("asks", F.pmod(place, F.greatest("stray_chunks", F.lit(1))).cast("int"))
+    both = "array_distinct(concat(transform(sequence(0, chunks - 1), q -> struct(q as q, asks as t, 1 as stray)), transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, int(t = asks) as stray))))"
+    alone = "transform(sequence(0, stray_chunks - 1), t -> struct(mine as q, t as t, 0 as stray))"
+    itself = "array(struct(mine as q, 0 as t, 1 as stray))"
+    roles = F.when(~F.col("settles"), F.expr(itself)).when(F.col("stray") == 1, F.expr(both)).otherwise(F.expr(alone))
+    sent = B.checkpointed(members.select("main", "node", "c", "n", "room", "guest", F.inline(roles)))
     small = sent.limit(B.BROADCAST_ROWS + 1).count() <= B.BROADCAST_ROWS
     sent = survivors.select("node", "body").join(F.broadcast(sent) if small else sent, "node")
     return sent.groupBy("main", "q", "t").applyInArrow(_join(percent), LINKS)
@@ -400,19 +408,23 @@ def _meet(survivors: DataFrame, members: DataFrame, sizes: DataFrame, number: in
 
 def _components(survivors: DataFrame, percent: int) -> DataFrame:
     """id (a node) and component of every linked survivor."""
-    components = None
-    for number in range(ROUNDS + 1):
-        named = survivors.select("node", "n", "key", "before", "guest", "room")
-        if components is None:
-            named = named.withColumn("c", F.col("node"))
-        else:
-            named = named.join(components.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-        members, sizes = _gathered(named.select("node", "c", "n", F.inline(F.arrays_zip("key", "before", "guest", "room"))))
-        last = number == ROUNDS or not sizes.where("stray_chunks > 1").limit(1).count()
-        links = _meet(survivors, members, sizes, number, last, percent)
+    points = survivors.select("node", F.col("node").alias("c"), "n", F.inline(F.arrays_zip("key", "before", "guest", "room")))
+    listed, components, last = _listed(points), None, False
+    for number in itertools.count():
+        tied, members, sizes = _gathered(listed, last)
+        links = _meet(survivors, members, sizes, number, percent)
         components = connected_components(links if components is None else components.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(links))
-        if last:
+        large = sizes.where("NOT settles").select("main", F.col("sets").alias("members"))
+        if not large.limit(1).count():
             break
+        # settled gatherings are not listed again; of the others what is connected by now has a new name
+        components = B.checkpointed(components)
+        named = B.join_by_hot_key(tied, large, ["main"], "members").drop("main", "members").withColumnRenamed("c", "before")
+        named = named.join(components.select(F.col("id").alias("node"), "component"), "node", "left")
+        listed = B.checkpointed(named.withColumn("c", F.coalesce("component", "node")).drop("component"))
+        # another round of chunks pays only while one leaves less than half as many components
+        before, now = listed.agg(F.count_distinct("before"), F.count_distinct("c")).first()
+        listed, last = listed.drop("before"), 2 * now > before
     return components
 
 
