@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, secrets
 from .language import language_id
 from .lattice_lm import lm_scores
+from .oracles import ORACLES as ORACLES
 from .packing import pack
 from .quality import quality_filter
 from .relative_lz import substring_dedup
@@ -63,6 +64,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op8_jaccard_join, op9_decontamination, op10_secret_scan)}
-
-#: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
