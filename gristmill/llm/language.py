@@ -27,6 +27,31 @@ from .samples import MAX_CHARS, fold
 MAX_LABELLED, STEPS = 4000, 16
 #: Characters of the longest n-gram.
 LONGEST = 5
+#: Counts that wait, at least, before they are added up.
+PENDING = 1 << 17
+
+
+class Tally:
+    """Counts by key of many slices, which never holds much more than its distinct keys."""
+
+    def __init__(self):
+        self.keys, self.many = np.zeros(0, np.uint64), np.zeros(0)
+        self.waiting, self.size = [], 0
+
+    def add(self, keys: np.ndarray, many: np.ndarray) -> None:
+        self.waiting.append((keys, many))
+        self.size += len(keys)
+        if self.size > max(PENDING, len(self.keys)):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+            many = np.concatenate([self.many, *(m for _, m in self.waiting)])
+            self.waiting, self.size = [], 0
+            self.keys, at = np.unique(keys, return_inverse=True)
+            self.many = np.bincount(at, many, len(self.keys))
+        return self.keys, self.many
 
 
 class Model:
@@ -35,20 +60,23 @@ class Model:
         self.langs, self.tables = langs, tables
 
     @classmethod
-    def fit(cls, texts: list[str], lang: list[str]) -> Model:
+    def fit(cls, texts: list[str] | pa.ChunkedArray, lang: list[str]) -> Model:
+        """The order of the rows does not matter: counts are whole numbers."""
         langs = sorted(set(lang))
-        number = {x: i for i, x in enumerate(langs)}
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         found: list[list] = [[] for _ in range(LONGEST + 1)]
         for k, name in enumerate(langs):
-            mine = pa.array([t for t, own in zip(texts, lang, strict=True) if number[own] == k])
-            for _, part in text_slices(mine):
+            tallies = [Tally() for _ in range(LONGEST + 1)]
+            for _, part in text_slices(texts.filter(pa.array([x == name for x in lang]))):
                 w = LetterWords(part)
                 many = np.bincount(w.which, minlength=len(w.hash))
-                found[0].append((w.hash, many, k))
+                tallies[0].add(w.hash, many)
                 for n in range(1, LONGEST + 1):
                     word, h = w.ngrams(n)
                     keys, at = np.unique(h, return_inverse=True)
-                    found[n].append((keys, np.bincount(at, many[word], len(keys)), k))
+                    tallies[n].add(keys, np.bincount(at, many[word], len(keys)))
+            for n in range(LONGEST + 1):
+                found[n].append((*tallies[n].total(), k))
         tables = []
         for parts in found:
             if not parts:
@@ -58,7 +86,7 @@ class Model:
             counts = np.zeros((len(keys), len(langs)))
             lo = 0
             for h, many, k in parts:
-                np.add.at(counts[:, k], at[lo : lo + len(h)], many)
+                counts[at[lo : lo + len(h)], k] = many
                 lo += len(h)
             total = counts.sum(0)
             score = np.log((counts + 0.5) / (total + 0.5 * (len(keys) + 1)))
@@ -113,8 +141,8 @@ def fit_language(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
     counts = rows.select("lang", "doc_id", "place").distinct().groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"))
     higher = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("place"))) - F.col("n")
     least = counts.withColumn("higher", higher).where(F.col("higher") < MAX_LABELLED).groupBy("lang").agg(F.min("place").alias("least"))
-    got = rows.join(F.broadcast(least), "lang").where("place >= least").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    return Model.fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    got = rows.join(F.broadcast(least), "lang").where("place >= least").select("lang", "text").toArrow()
+    return Model.fit(got["text"], got["lang"].to_pylist())
 
 
 def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

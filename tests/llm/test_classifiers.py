@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import crc_fold, words
-from gristmill.llm import quality, toxicity
+from gristmill.llm import language, quality, toxicity
 from gristmill.llm.language import Model, language_id
 from gristmill.llm.letters import LetterWords
 from pyspark.sql import functions as F
@@ -170,6 +170,20 @@ def test_language_equals_plain_backoff():
         assert b == s.argmax() and math.isclose(p, 1 / np.exp(s - s.max()).sum(), rel_tol=1e-9)
 
 
+def test_tally_adds_up_whatever_waits(monkeypatch):
+    rng = np.random.default_rng(2)
+    for pending in (0, 50, 10**6):
+        monkeypatch.setattr(language, "PENDING", pending)
+        tally, want = language.Tally(), Counter()
+        for _ in range(40):
+            keys = np.unique(rng.integers(0, 300, 60)).astype(np.uint64)
+            many = rng.integers(1, 9, len(keys))
+            tally.add(keys, many)
+            want.update(dict(zip(keys.tolist(), many.tolist(), strict=True)))
+        keys, many = tally.total()
+        assert keys.tolist() == sorted(want) and dict(zip(keys.tolist(), many.tolist(), strict=True)) == want
+
+
 def test_language_ties_repeated_and_long_texts(spark):
     rows = [(0, "same words here", "en"), (1, "same words here", "de"), (3, "same words", None), (3, "same words", None), (4, "same " * 100_000, None)]
     got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"place": F.lit(1), "held_out": F.lit(1)})).collect()
