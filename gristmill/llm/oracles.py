@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, ranked_search
 
 SUBSTRING_DEDUP = r"""
 WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -34,4 +34,4 @@ SELECT doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id)::B
 FROM docs LEFT JOIN sets s USING (doc_id) LEFT JOIN classes USING (h) LEFT JOIN roots USING (c)
 """
 
-ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op8_jaccard_join": JACCARD_JOIN, "op9_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op8_jaccard_join": JACCARD_JOIN, "op9_decontamination": decontaminate.ORACLE, "op12_ranked_search": ranked_search.ORACLE}

@@ -13,6 +13,7 @@ from .lattice_lm import lm_scores
 from .oracles import ORACLES as ORACLES
 from .packing import pack
 from .quality import quality_filter
+from .ranked_search import ranked_search
 from .relative_lz import substring_dedup
 from .toxicity import toxicity
 from .trie_join import jaccard_components
@@ -63,4 +64,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scores, op3_url_filter, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_quality_rules, op8_jaccard_join, op9_decontamination, op10_secret_scan)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_lm_scores,
+        op3_url_filter,
+        op4_best_fit_packing,
+        op5_language_id,
+        op6_toxicity,
+        op7_quality_rules,
+        op8_jaccard_join,
+        op9_decontamination,
+        op10_secret_scan,
+        op12_ranked_search,
+    )
+}
