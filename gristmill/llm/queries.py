@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, secrets
 from .language import language_id
 from .lattice_lm import lm_scores
+from .mixing import mixed
 from .oracles import ORACLES as ORACLES
 from .packing import pack
 from .quality import quality_filter
@@ -68,6 +69,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_secret_scan,
         op12_ranked_search,
+        op13_source_mixing,
     )
 }
