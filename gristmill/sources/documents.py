@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
+from . import arrays
 
 
 def _keep_last_key(spark: SparkSession) -> None:
@@ -22,9 +23,12 @@ def chosen_list(value: Column) -> Column:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON text per file. A missing path and malformed JSON fail the job.
 
-    A single array cannot be split; large corpora should come as JSON lines, see read_lines.
+    Arrays of arrays.LARGE bytes or more are read by all tasks; a wrapping object, and what is
+    smaller, is parsed as a whole, a file in a task.
     """
     _keep_last_key(spark)
+    if sum(arrays.sizes(spark, path).values()) >= arrays.LARGE and (found := arrays.read_array(spark, path)) is not None:
+        return found
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     value = F.parse_json("value")
     scalar = F.raise_error(F.lit("the top level of the input is neither a list nor an object"))
@@ -40,11 +44,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("pos").cast("long").alias("pos"), "doc")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, split over tasks. pos grows within the input order (file, then byte); a bad line fails the job."""
+def read_lines(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
+    """JSON lines, split over tasks. pos grows within the input order (file, then byte).
+
+    A bad line fails the job; if mode is permissive, its doc is null, and broken (file, text) tells of it.
+    """
+    if mode not in ("permissive", "strict"):
+        raise ValueError(f"mode must be permissive or strict, not {mode!r}")
     _keep_last_key(spark)
-    lines = spark.read.text(path).where(C.strip(F.col("value")) != "")
-    return lines.select(F.monotonically_increasing_id().alias("pos"), F.parse_json("value").alias("doc"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(C.strip(F.col("value")) != "")
+    pos = F.monotonically_increasing_id().alias("pos")
+    if mode == "strict":
+        return lines.select(pos, F.parse_json("value").alias("doc"))
+    doc = F.try_parse_json("value")
+    return lines.select(pos, doc.alias("doc"), F.when(doc.isNull(), F.struct("file", F.col("value").alias("text"))).alias("broken"))
 
 
 def head(raw: DataFrame, limit: int | None) -> DataFrame:

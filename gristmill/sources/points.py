@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import strip
+from . import arrays
 
 _OBJECT = "id variant, vector variant, payload variant, broken string"
 _LIST = "array<struct<id:variant,vector:variant,payload:variant>>"
@@ -16,11 +17,23 @@ def _rows(elements: DataFrame) -> DataFrame:
     return elements.select("idx", F.from_json("element", _OBJECT, _MODE).alias("p")).select("idx", "p.id", "p.vector", "p.payload", "p.broken")
 
 
+def from_chunks(chunks: DataFrame) -> DataFrame:
+    """Points of a list that was read in byte ranges."""
+    listed = F.from_json("chunk", _LIST, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"})
+    return arrays.elements(chunks, listed).select(F.col("pos").alias("idx"), "doc.id", "doc.vector", "doc.payload")
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """A file that holds one JSON list, or else one object a line.
 
-    Raises ValueError for another top-level value, a bad line, a line that is no object, or no point at all in lines.
+    Large lists (arrays.LARGE) are read by all tasks. Raises ValueError for another top-level value, a bad
+    line, a line that is no object, or no point at all in lines.
     """
+    if sum(arrays.sizes(spark, path).values()) >= arrays.LARGE:
+        chunks = arrays.read_chunks(spark, path)
+        if chunks is None:  # what is large and no list is lines
+            return read_point_lines(spark, path)
+        return from_chunks(chunks)
     files = spark.read.text(path, wholetext=True)
     whole = files.select(F.from_json("value", _LIST, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("list"), F.trim(strip(F.col("value"))).alias("value"))
     looks = whole.select(F.substring("value", 1, 1).alias("lead"), F.col("list").isNotNull().alias("is_list"), F.length(F.regexp_replace("value", "[^\n]", "")).alias("breaks"), F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).isNotNull().alias("is_object")).collect()
