@@ -16,14 +16,14 @@ def reject_reason(text: Column, external_id: Column, url: Column) -> Column:
     return F.when(F.coalesce(C.strip(text), F.lit("")) == "", F.lit("text")).when(F.coalesce(external_id, F.lit("")) == "", F.lit("external_id")).when(F.coalesce(C.strip(url), F.lit("")) == "", F.lit("url"))
 
 
-def transform(raw: DataFrame, mode: str = "permissive", sites: dict[str, str] | None = None) -> DataFrame:
-    """raw: pos, doc (VARIANT). Returns pos, text, metadata, reject_reason and shape_warnings of every row."""
+def transform(raw: DataFrame, mode: str = "permissive", sites: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """raw: pos, doc (VARIANT). Returns pos, text, metadata, reject_reason and shape_warnings of every row, and the columns in keep as they are."""
     if mode not in ("permissive", "strict"):
         raise ValueError(f"mode must be permissive or strict, not {mode!r}")
     doc = F.col("doc")
     # a generator keeps the optimiser from inlining the parsing of doc into each of its many uses
-    raw = raw.select("pos", F.explode(F.array("doc")).alias("doc"))
-    rows = raw.select("pos", "doc", M.website(doc).alias("website"), M.fragments(doc).alias("fragments"))
+    raw = raw.select("pos", *keep, F.explode(F.array("doc")).alias("doc"))
+    rows = raw.select("pos", *keep, "doc", M.website(doc).alias("website"), M.fragments(doc).alias("fragments"))
     rows = rows.withColumns({"site": M.site_data(doc, F.col("website")), "base": M.base_url(F.col("website"), sites), "published": M.publish_date(doc)})
     problems = M.shape_problems(doc, F.col("site"))
     rows = rows.withColumn("problems", problems)
@@ -42,12 +42,12 @@ def transform(raw: DataFrame, mode: str = "permissive", sites: dict[str, str] |
         "first_publish_date": M.dated(doc, "first_publish_date", published),
         "thumb": M.thumb(doc, base),
     }
-    rows = rows.select("pos", "text", F.struct(*(own[f].alias(f) for f in M.FIELDS)).alias("metadata"), "problems")
+    rows = rows.select("pos", *keep, "text", F.struct(*(own[f].alias(f) for f in M.FIELDS)).alias("metadata"), "problems")
     if mode == "strict":
         message = F.concat(F.lit("unexpected shape at pos "), F.col("pos").cast("string"), F.lit(": "), F.array_join("problems", ", "))
         rows = rows.withColumn("problems", F.when(F.size("problems") > 0, F.raise_error(message).cast("array<string>")).otherwise(F.col("problems")))
     reason = reject_reason(F.col("text"), F.col("metadata.external_id"), F.col("metadata.url"))
-    return rows.select("pos", "text", "metadata", reason.alias("reject_reason"), F.col("problems").alias("shape_warnings"))
+    return rows.select("pos", "text", "metadata", reason.alias("reject_reason"), F.col("problems").alias("shape_warnings"), *keep)
 
 
 def accepted(rows: DataFrame) -> DataFrame:

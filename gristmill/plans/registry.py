@@ -6,8 +6,6 @@ a table: page markup, conversation turns, injected blanks and faults.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +19,6 @@ from ..operators import embed as E
 from ..operators import metadata as M
 from ..operators import ordered
 from ..operators import validate as V
-from ..sources import sinks
-from ..sources.documents import read_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -299,8 +295,8 @@ def fake_embeddings(spark, sf):
 @query("SELECT vec_id, list_bool_and([isfinite(x) FOR x IN embedding]) AND vec_id % 9 <> 0 AS finite FROM embeddings")
 def vector_finite(spark, sf):
     faulty = F.when(F.col("vec_id") % 9 == 0, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return table(spark, sf, "embeddings").select("vec_id", faulty.alias("v")).select("vec_id", finite.alias("finite"))
+    elements = F.to_variant_object(faulty).cast("array<variant>")
+    return table(spark, sf, "embeddings").select("vec_id", F.forall(elements, V.is_finite_number).alias("finite"))
 
 
 @query("SELECT count(*)::BIGINT AS n_vectors, count(DISTINCT len(embedding))::BIGINT AS n_dims FROM embeddings")
@@ -399,12 +395,3 @@ def validate_each_rule(spark, sf):
     part = lambda i: F.parse_json(F.element_at(F.array(*(F.lit(c[i]) for c in _CASES)), place))
     points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), part(0).alias("id"), part(1).alias("vector"), part(2).alias("payload"))
     return V.validate(points, 2).select("idx", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
-
-
-@query("SELECT doc_id, text, n_chars FROM documents WHERE text IS NOT NULL")
-def json_lines_round_trip(spark, sf):
-    """The native sink and the scan of JSON lines, through the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', tempfile.gettempdir())}/gristmill-lines-{uuid.uuid4()}"
-    sinks.write_lines(table(spark, sf, "documents").select("doc_id", "text", "n_chars").where("text IS NOT NULL"), folder)
-    doc = F.col("doc")
-    return read_lines(spark, folder).select(F.try_variant_get(doc, "$.doc_id", "long").alias("doc_id"), C.to_str(C.child(doc, "text")).alias("text"), F.try_variant_get(doc, "$.n_chars", "long").alias("n_chars"))

@@ -7,7 +7,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-from gristmill.plans.registry import ORACLES, QUERIES  # noqa: E402
+from gristmill.plans.runs import ORACLES, QUERIES  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from gristmill import cli
+from gristmill.operators.embed import FakeEmbedder
 from gristmill.operators.validate import report, summary, validate
 from gristmill.plans.ingest import run_pipeline
 from gristmill.sources import sinks
@@ -46,7 +47,7 @@ def test_lines_and_head(spark, tmp_path):
 
 
 def test_run_writes_documents_points_and_metadata(spark, tmp_path):
-    total, n, paths = run_pipeline(spark, put(tmp_path / "in.json", SMALL + [SMALL[0]]), str(tmp_path / "out"))
+    total, n, paths = run_pipeline(spark, put(tmp_path / "in.json", SMALL + [SMALL[0]]), str(tmp_path / "out"), embedder=FakeEmbedder())
     assert (total, n) == (4, 2)
     docs, points = (json.load(open(paths[k])) for k in ("transformed", "points"))
     assert [d["metadata"]["external_id"] for d in docs] == ["1", "2"] and docs[0]["metadata"]["publish_date"] == "2025-07-02T00:00:00Z"
@@ -61,7 +62,7 @@ def test_run_writes_documents_points_and_metadata(spark, tmp_path):
 def test_dry_run_empty_input_and_failure(spark, tmp_path):
     path = put(tmp_path / "in.json", SMALL)
     assert run_pipeline(spark, path, str(tmp_path / "dry"), dry_run=True) == (3, 2, {}) and not list((tmp_path / "dry").iterdir())
-    _, n, paths = run_pipeline(spark, put(tmp_path / "empty.json", []), str(tmp_path / "e"), keep_history=False)
+    _, n, paths = run_pipeline(spark, put(tmp_path / "empty.json", []), str(tmp_path / "e"), keep_history=False, embedder=FakeEmbedder())
     assert n == 0 and json.load(open(paths["transformed"])) == [] and not list((tmp_path / "e").glob("run_metadata*"))
 
     def broken(texts):
@@ -87,15 +88,17 @@ def test_cli_ingest(spark, tmp_path):
     assert e.value.code == 2
 
 
-def test_retention(tmp_path):
+def test_retention(spark, tmp_path):
     import os
 
     for i in range(5):
         p = tmp_path / f"transformed_2025010{i}_000000.json"
         p.write_text("[]")
         os.utime(p, (i, i))
-    gone = sinks.clean_up(tmp_path, 2)
-    assert sorted(p.name for p in gone) == [f"transformed_2025010{i}_000000.json" for i in range(3)]
+    (tmp_path / "transformed_20250109_000000").mkdir()
+    (tmp_path / "transformed.json").write_text("[]")
+    gone = sinks.clean_up(spark, tmp_path, 3)
+    assert sorted(gone) == [f"transformed_2025010{i}_000000.json" for i in range(3)]
 
 
 GOOD = {"id": "a", "vector": [0.5, 1], "payload": {"text": "t", "title": "T", "url": "u", "external_id": "a"}}
@@ -152,4 +155,43 @@ def test_lines_and_native_run(spark, tmp_path):
     total, kept, paths = run_pipeline(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), limit=7, native=True, lines=True, skip_embeddings=True)
     assert (total, kept) == (8, 5) and spark.read.json(paths["transformed"]).count() == 5
     facts = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("run_metadata")]
-    assert json.loads(spark.read.text(str(facts[0])).first().value)["processed"] == 5
+    assert json.loads(facts[0].read_text())["processed"] == 5
+
+
+def test_rejects_and_broken_lines(spark, tmp_path):
+    docs = [json.dumps(d) for d in SMALL]
+    path = put(tmp_path / "in.jsonl", "\n".join([docs[0], "{nope", docs[1], docs[2]]))
+    with pytest.raises(ValueError, match="1 of 4 lines"):
+        run_pipeline(spark, path, str(tmp_path / "a"), lines=True, skip_embeddings=True)
+    assert list((tmp_path / "a").iterdir()) == []
+    total, kept, paths = run_pipeline(spark, path, str(tmp_path / "b"), lines=True, skip_embeddings=True, rejects=True, most_broken=0.5)
+    found = json.load(open(paths["rejected"]))
+    assert (total, kept) == (4, 2) and [r["reject_reason"] for r in found] == ["malformed", "text"]
+    assert found[0]["broken"]["text"] == "{nope" and found[0]["broken"]["file"].endswith("in.jsonl") and found[0]["place"] < found[1]["place"]
+    with pytest.raises(Exception, match="MALFORMED"):
+        run_pipeline(spark, path, str(tmp_path / "c"), lines=True, skip_embeddings=True, mode="strict")
+
+
+def test_embedding_without_a_key_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    monkeypatch.delenv("USE_FAKE_EMBEDDINGS", raising=False)
+    with pytest.raises(ValueError, match="OPENAI_API_KEY"):
+        run_pipeline(spark, put(tmp_path / "in.json", SMALL), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    monkeypatch.setenv("USE_FAKE_EMBEDDINGS", "1")
+    assert run_pipeline(spark, str(tmp_path / "in.json"), str(tmp_path / "out"))[1] == 2
+
+
+def test_input_is_scanned_once(spark, tmp_path):
+    """What the transformation writes is all that later steps read."""
+    path = put(tmp_path / "in.json", SMALL)
+    read = []
+    import gristmill.plans.ingest as I
+
+    original = I.D.transform
+    try:
+        I.D.transform = lambda raw, *a, **b: read.append(raw) or original(raw, *a, **b)
+        run_pipeline(spark, path, str(tmp_path / "out"), skip_embeddings=True, rejects=True)
+    finally:
+        I.D.transform = original
+    assert len(read) == 1 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
