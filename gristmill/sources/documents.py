@@ -44,16 +44,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("pos").cast("long").alias("pos"), "doc")
 
 
+def place(file: Column, start: Column, line: Column) -> Column:
+    """A text that sorts as file, byte range and line do."""
+    return F.concat_ws("|", file, F.lpad(start.cast("string"), 19, "0"), F.lpad(line.cast("string"), 19, "0"))
+
+
 def read_lines(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
-    """JSON lines, split over tasks. pos grows within the input order (file, then byte).
+    """JSON lines, split over tasks. pos is a place (file, byte range, number within it), in whatever order Spark deals out files.
 
     A bad line fails the job; if mode is permissive, its doc is null, and broken (file, text) tells of it.
     """
     if mode not in ("permissive", "strict"):
         raise ValueError(f"mode must be permissive or strict, not {mode!r}")
     _keep_last_key(spark)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(C.strip(F.col("value")) != "")
-    pos = F.monotonically_increasing_id().alias("pos")
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start")).where(C.strip(F.col("value")) != "")
+    pos = place(F.col("file"), F.col("start"), F.monotonically_increasing_id()).alias("pos")
     if mode == "strict":
         return lines.select(pos, F.parse_json("value").alias("doc"))
     doc = F.try_parse_json("value")
@@ -70,7 +76,7 @@ def head(raw: DataFrame, limit: int | None) -> DataFrame:
 
 
 def head_of_lines(raw: DataFrame, limit: int | None) -> DataFrame:
-    """The same for positions with gaps."""
+    """The same for places."""
     if limit is None:
         return raw
     if limit < 0:

@@ -1,15 +1,60 @@
-"""The stream gives each id once, and the same documents as a batch."""
+"""The stream keeps the first of each id, however its input is split, and replays add nothing."""
 
 import json
 
-from gristmill.streaming.ingest import documents, read_stream, start
+import pytest
+from gristmill.plans.ingest import prepare
+from gristmill.sources.documents import read_lines
+from gristmill.streaming.ingest import batch_sink, documents, documents_of, read_stream, start
 
 
-def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    docs = [{"_id": str(i % 3), "url": "u", "content_elements": [{"type": "text", "content": f"<b>t{i}</b>"}]} for i in range(6)]
-    (tmp_path / "in" / "a.jsonl").write_text("\n".join(map(json.dumps, docs)))
-    seen = []
-    query = start(documents(read_stream(spark, str(tmp_path / "in"))), lambda df, n: seen.extend(r.metadata.external_id for r in df.collect()), str(tmp_path / "cp"))
-    query.awaitTermination(120)
-    assert sorted(seen) == ["0", "1", "2"]
+def article(i, text):
+    return {"_id": i, "url": "u", "content_elements": [{"type": "text", "content": f"<b>{text}</b>"}]}
+
+
+def put(folder, name, own):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(a) for a in own) + "\n\n")
+
+
+FILES = {"a.jsonl": [article("1", "a0"), article("2", "a1"), article("1", "a2"), article(None, "no id")], "b.jsonl": [article("2", "b0"), article("3", "b1"), article("3", "  ")], "c.jsonl": [article("4", "c0"), article("1", "c1"), article("3", "c2"), article("4", "c3")]}
+FIRST = {"1": "a0", "2": "a1", "3": "b1", "4": "c0"}
+
+
+def drain(spark, tmp_path, sink=None, files_at_once=None):
+    query = start(documents(read_stream(spark, str(tmp_path / "in"), files_at_once)), sink or batch_sink(str(tmp_path / "out")), str(tmp_path / "cp"))
+    query.awaitTermination(300)
+    assert query.exception() is None
+
+
+def texts(spark, tmp_path):
+    return {r.id: r.text for r in documents_of(spark, str(tmp_path / "out")).collect()}
+
+
+def test_any_split_gives_the_same(spark, tmp_path):
+    for name in ("c.jsonl", "a.jsonl", "b.jsonl"):  # a run, and so a micro-batch, for each file, out of order
+        put(tmp_path / "in", name, FILES[name])
+        drain(spark, tmp_path)
+    assert texts(spark, tmp_path) == FIRST
+    rows = prepare(read_lines(spark, str(tmp_path / "in"))).select("metadata.external_id", "text").collect()
+    assert {r.external_id: r.text for r in rows} == FIRST
+
+
+def test_one_batch_and_a_replay(spark, tmp_path):
+    for name, own in FILES.items():
+        put(tmp_path / "in", name, own)
+    sink, failed = batch_sink(str(tmp_path / "out")), []
+
+    def fails_once(rows, number):
+        sink(rows, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("after the write")
+
+    with pytest.raises(Exception, match="after the write"):
+        drain(spark, tmp_path, fails_once)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    drain(spark, tmp_path, fails_once)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4 and texts(spark, tmp_path) == FIRST
+    drain(spark, tmp_path)  # nothing new
+    assert texts(spark, tmp_path) == FIRST
