@@ -22,7 +22,7 @@ def ingest(args: argparse.Namespace) -> int:
     try:
         # a run that embeds fails at once without a key
         embedder = None if args.dry_run or args.skip_embeddings else Settings.read().embedder()
-        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size, embedder, args.mode, args.native, args.lines, args.rejects, args.most_broken)
+        total, processed, paths = run_pipeline(session(), args.input, args.output_dir, args.limit, args.dry_run, args.skip_embeddings, not args.no_history, args.batch_size, embedder, args.mode, args.native, args.lines, args.rejects, args.most_broken, args.vector_store)
     except Exception:
         logging.getLogger(__name__).exception("the run failed")
         return 1
@@ -86,6 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     own.add_argument("--native", action="store_true", help="write folders of JSON lines in parallel")
     own.add_argument("--rejects", action="store_true", help="write the rejected rows with their reasons")
     own.add_argument("--most-broken", type=float, default=0.0, help="share of lines that may be no JSON in permissive mode")
+    own.add_argument("--vector-store", help="folder that keeps vectors, so that none is asked for twice")
     own.set_defaults(run=ingest)
     own = sub.add_parser("validate")
     own.add_argument("--path", required=True)

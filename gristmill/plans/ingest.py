@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators.embed import BATCH, Embedder, Settings, attach_vectors, checked
+from ..operators.vector_store import VectorStore
 from ..sources import files, sinks
 from ..sources.documents import head, head_of_lines, read_documents, read_lines
 
@@ -62,12 +63,14 @@ def run_pipeline(
     lines: bool = False,
     rejects: bool = False,
     most_broken: float = 0.0,
+    vector_store: str | None = None,
 ) -> tuple[int, int, dict[str, str]]:
     """(total read, processed, paths written).
 
     lines reads JSON lines, split over tasks, of which a share of most_broken may be malformed in
     permissive mode; native writes folders of JSON lines instead of single files; rejects writes the
-    rejected rows with their reasons too. Without an embedder the environment tells which; a run that
+    rejected rows with their reasons too; vector_store is a folder that keeps vectors, so that none is asked
+    for twice, whatever runs again. Without an embedder the environment tells which; a run that
     embeds fails at once if it names none.
     """
     if embedder is None and not dry_run and not skip_embeddings:
@@ -98,7 +101,8 @@ def run_pipeline(
         if rejects:
             write("rejected", sinks.REJECTS, rows.where("reject_reason IS NOT NULL").select("pos", F.col("pos").alias("place"), *(c for c in ("reject_reason", "shape_warnings", "text", "metadata", "broken") if c in rows.columns)))
         if not skip_embeddings:
-            pointed = attach_vectors(docs, embedder, batch_size).persist()
+            pointed = VectorStore(spark, vector_store).attach(docs, embedder, batch=batch_size) if vector_store else attach_vectors(docs, embedder, batch_size)
+            pointed = pointed.persist()
             try:
                 write("points", sinks.POINTS, D.points(checked(pointed), F.col("vector")))
             finally:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..operators import embed as E
 from ..operators import metadata as M
+from ..operators.similarity import nearest
+from ..operators.vector_index import build
 from ..sources import arrays, files, sinks
 from ..sources import points as P
 from ..sources.documents import chosen_list, read_lines
@@ -129,3 +131,15 @@ def run_metadata(spark, sf):
     (name,) = (f.getPath().toString() for f in files.listed(fs, out) if f.getPath().getName().startswith(sinks.METADATA))
     fields = ("total_raw", "processed", "skipped", "duplicates_removed")
     return spark.read.text(name, wholetext=True).select(F.parse_json("value").alias("v")).select(*(F.try_variant_get("v", f"$.{f}", "long").alias(f) for f in fields))
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 100 = 0)::BIGINT AS n_queries, TRUE AS recall_reached FROM embeddings")
+def indexed_topk(spark, sf):
+    """The ten nearest vectors of the stated query set (ids divisible by 100) by the index: whether nine tenths of the true ones are found."""
+    vectors = table(spark, sf, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0")
+    index = build(vectors, f"{files.scratch(spark, 'index')}/cells", "vec_id", "embedding", ("label",))
+    got = index.search(queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), 10).select(F.col("q").alias("vec_id"), "neighbour", F.lit(1).alias("hit"))
+    true = nearest(queries, vectors, 10).select("vec_id", "neighbour")
+    share = F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9
+    return true.join(got, ["vec_id", "neighbour"], "left").agg(F.count_distinct("vec_id").alias("n_queries"), share.alias("recall_reached"))

@@ -195,3 +195,21 @@ def test_input_is_scanned_once(spark, tmp_path):
     finally:
         I.D.transform = original
     assert len(read) == 1 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
+
+
+def test_run_with_stored_vectors(spark, tmp_path):
+    path, log = put(tmp_path / "in.json", SMALL), tmp_path / "log"
+    log.mkdir()
+    folder = str(log)
+
+    def embed(texts):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            f.write("x" * len(texts))
+        return [[float(len(t))] for t in texts]
+
+    for name in ("a", "b"):
+        _, n, paths = run_pipeline(spark, path, str(tmp_path / name), embedder=embed, vector_store=str(tmp_path / "v"))
+        assert n == 2 and [p["vector"] for p in json.load(open(paths["points"]))] == [[5.0], [6.0]]
+    assert sum(len(p.read_text()) for p in log.iterdir()) == 2
