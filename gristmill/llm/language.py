@@ -7,7 +7,8 @@ n-gram counts come from a bounded sample of each language's labelled documents o
 held-out fold.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Ties go to the
-first language in alphabetical order. Repeated rows are judged alike. Without a labelled
+first language in alphabetical order. Repeated rows are judged alike; in training a doc_id counts once for
+each language, by the row whose text has the least hash. Without a labelled
 training document everything is `und`. A text of any length is judged whole; very long ones are no
 samples (samples.MAX_CHARS). lang, source and doc_id are no inputs of a prediction, and other
 columns, whatever their names, are not read; an empty table gives an empty result.
@@ -25,6 +26,8 @@ from .samples import MAX_CHARS, fold
 
 #: Labelled documents of each language to learn from: those of the least hashes, as many as this and up to one in STEPS more.
 MAX_LABELLED, STEPS = 4000, 16
+#: Bytes of their texts, of each language: as many and up to one in STEPS more.
+MAX_BYTES = 48 << 20
 #: Characters of the longest n-gram.
 LONGEST = 5
 #: Counts that wait, at least, before they are added up.
@@ -137,11 +140,15 @@ def usable(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 def fit_language(docs: DataFrame, folds: int = 4, held: int = 2) -> Model:
     rows = usable(docs, folds, held)
-    # a count by place tells where a language has enough documents; then only the texts of a bounded sample move
-    counts = rows.select("lang", "doc_id", "place").distinct().groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"))
-    higher = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("place"))) - F.col("n")
-    least = counts.withColumn("higher", higher).where(F.col("higher") < MAX_LABELLED).groupBy("lang").agg(F.min("place").alias("least"))
-    got = rows.join(F.broadcast(least), "lang").where("place >= least").select("lang", "text").toArrow()
+    # counts and bytes by place tell where a language has enough documents; an id counts once, by the text of the least hash
+    own = rows.groupBy("lang", "doc_id", "place").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"))).alias("t"))
+    counts = own.groupBy("lang", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("t.bytes").alias("bytes"))
+    before = Window.partitionBy("lang").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    least = counts.withColumns({"higher": F.coalesce(F.sum("n").over(before), F.lit(0)), "upto": F.coalesce(F.sum("bytes").over(before), F.lit(0))})
+    least = least.where((F.col("higher") < MAX_LABELLED) & (F.col("upto") < MAX_BYTES)).groupBy("lang").agg(F.min("place").alias("least"))
+    # then only the texts of a bounded sample move, rows of an id reduced to one before they do
+    texts = rows.join(F.broadcast(least), "lang").where("place >= least").groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = texts.select("lang", "t.text").toArrow()
     return Model.fit(got["text"], got["lang"].to_pylist())
 
 

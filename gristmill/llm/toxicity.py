@@ -9,7 +9,8 @@ which gives the same results.
 
 Defined cases: a null text, or one without letters, has the score of an empty bag (the bias).
 A text of any length is scored whole; very long ones are no samples (samples.MAX_CHARS). Repeated
-rows score alike, and a score of exactly one half is predicted toxic. With labels of one class
+rows score alike; in training a doc_id counts once, by the row whose text has the least hash and the lowest of
+its labels, and labels without a document do not count. A score of exactly one half is predicted toxic. With labels of one class
 only, every score is that class's share. Labels, lang, source and doc_id are no inputs of a score,
 and other columns, whatever their names, are not read; an empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import checkpointed
 from .letters import LetterWords, find, text_slices
-from .samples import fold, labelled
+from .samples import fold, known, sample
 from .words import U64
 
 #: Embeddings are kept in so many hashed places.
@@ -32,6 +33,8 @@ DIM = 2
 SIZES = (3, 4, 5)
 #: Labelled rows of each class in training, at most; the bias is set right for the true share of the classes.
 MAX_LABELLED = 2500
+#: Bytes of their texts, at most, of each class.
+MAX_BYTES = 48 << 20
 EPOCHS, RATE = 80, 0.02
 #: Penalties on embeddings, in units of what pure noise would pull; and in how many documents a place must be.
 PENALTY, REFIT, LEAST_DOCS = 0.7, 0.05, 4
@@ -274,9 +277,9 @@ class Model:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Model:
-    got = labelled(docs, labels, "toxic", MAX_LABELLED, folds, held).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id").cast("long"), folds) != held))
-    share = known.agg(F.avg("toxic")).first()[0]
+    rows = checkpointed(known(docs, labels, "toxic", folds, held))
+    got = sample(docs, rows, MAX_LABELLED, MAX_BYTES).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    share = rows.agg(F.avg("label")).first()[0]
     weights = Weights.over(docs)
     label, texts = got["label"].to_numpy().astype(np.float32), [got["text"]]
     del got
