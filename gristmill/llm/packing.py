@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import checkpointed
 from .letters import find
 from .tokens import UnitTokenizer
 from .words import U64, mix
@@ -37,7 +38,7 @@ from .words import U64, mix
 #: Pieces that are packed together.
 GROUP = 20_000
 #: Orders that passes take in turn: pieces of at least this part of the capacity go by size; and passes over what is open.
-PARTS, PASSES = (1 / 8, 1 / 16, 0.0, 1 / 4), 24
+PARTS, PASSES = (0.0, 1 / 8, 1 / 16, 1 / 4), 24
 #: Characters of text that are tokenized together; a longer text is taken alone.
 GROUP_CHARS = 1 << 18
 END = 0
@@ -107,8 +108,11 @@ def cut(path: str, length: int, with_ids: bool):
     return f
 
 
-def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each piece, taken in the order given; every length is at most the capacity."""
+def sum_of_squares(lengths: list[int], capacity: int, sparing: bool = False) -> tuple[list[int], list[int]]:
+    """Bin and offset of each piece, taken in the order given; every length is at most the capacity.
+
+    sparing: a new bin is opened only for a piece that fits no open one.
+    """
     count = np.zeros(capacity + 1, np.int64)
     open_: dict[int, list[int]] = {}
     bins, bin_of, offset = 0, [], []
@@ -120,7 +124,7 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
             cost = np.where(n > 0, 2 * (count[: capacity - s] - n + 1), never)
             cost[0] -= n[0] > 0  # an exact fit closes the bin
             k = int(cost.argmin())
-            if cost[k] <= best:
+            if cost[k] <= best or (sparing and cost[k] < never):
                 gap = s + k
         if gap < capacity:
             b = open_[gap].pop()
@@ -150,7 +154,7 @@ def pack_group(lengths: np.ndarray, capacity: int, seed: int = 17) -> tuple[np.n
             mine = np.flatnonzero(some[bin_of])
         large = lengths[mine] >= max(1, PARTS[number % len(PARTS)] * capacity)
         order = np.concatenate([mine[large][np.argsort(-lengths[mine[large]], kind="stable")], rng.permutation(mine[~large])])
-        found, at = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), capacity))
+        found, at = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), capacity, sparing=number % 8 < 4))
         many = int(found.max(initial=-1)) + 1
         if bins is None:
             names = np.arange(many)
@@ -181,8 +185,8 @@ def _pack(capacity: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece; with_ids adds its ids."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = max(1, -(-own.count() // group))
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, "
-    pieces = own.mapInArrow(cut(tokenizer_path, capacity, with_ids), fields + "salt long" + (", ids binary" if with_ids else ""))
+    pieces = checkpointed(own.mapInArrow(cut(tokenizer_path, capacity, with_ids), fields + "salt long" + (", ids binary" if with_ids else "")))
+    groups = max(1, -(-pieces.count() // group))
     pieces = pieces.withColumn("group", (F.col("salt") % groups).cast("int")).drop("salt")
     return pieces.groupBy("group").applyInArrow(_pack(capacity, with_ids), fields + "sequence_id long, offset long" + (", ids binary" if with_ids else ""))

@@ -51,6 +51,44 @@ def test_sum_of_squares_takes_the_least():
         assert sum(v * v for v in count.values()) == least
 
 
+def test_sparing_opens_a_bin_only_where_none_fits():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 20) for _ in range(300)]
+    bins, offsets = sum_of_squares(lengths, 20, sparing=True)
+    fill, count = defaultdict(int), defaultdict(int)
+    for s, b, o in zip(lengths, bins, offsets, strict=True):
+        assert fill[b] == o and o + s <= 20
+        gaps = [g for g in range(s, 20) if count[g]]
+        squares = lambda c: sum(v * v for v in c.values())
+        least = min((squares({**count, g: count[g] - 1, **({g - s: count[g - s] + 1} if g > s else {})}) for g in gaps), default=None)
+        assert bool(fill[b]) == bool(gaps)
+        if fill[b]:
+            count[20 - fill[b]] -= 1
+        fill[b] += s
+        if fill[b] < 20:
+            count[20 - fill[b]] += 1
+        assert least is None or squares(count) == least
+
+
+def test_as_few_as_sorted_best_fit():
+    """Lengths like those of documents: as few bins as best-fit decreasing needs, or fewer."""
+    rng = np.random.default_rng(9)
+    for n in (300, 1200):
+        lengths = np.minimum(rng.lognormal(6.3, 0.9, n).astype(np.int64) + 1, 2048)
+        gaps: list[int] = []
+        for s in sorted(lengths.tolist(), reverse=True):
+            fit = min((g for g in gaps if g >= s), default=None)
+            gaps.append((gaps.pop(gaps.index(fit)) if fit is not None else 2048) - s)
+        assert int(pack_group(lengths, 2048)[0].max()) + 1 <= len(gaps)
+
+
+def test_groups_follow_the_pieces_of_long_documents(spark):
+    """2,000 documents of some 12 pieces each: a group has about as many pieces as asked for."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('a b c ', 100 + CAST(id AS int) % 300) AS text")
+    rows = pack(docs, PATH, capacity=64, group=3000).selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert sum(r["count"] for r in rows) > 20_000 and max(r["count"] for r in rows) < 4000
+
+
 def test_pack_round_trip(docs, corpus):
     t = Tokenizer.from_file(PATH)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
