@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
+from ..operators import collection
 from ..operators import embed as E
 from ..operators import metadata as M
 from ..operators.similarity import nearest
 from ..operators.vector_index import build
+from ..operators.vector_store import VectorStore
 from ..sources import arrays, files, sinks
 from ..sources import points as P
 from ..sources.documents import chosen_list, read_lines
 from ..sources.store import Store
+from ..streaming import ingest as stream
 from . import ingest
 from .registry import ORACLES as ORACLES
 from .registry import QUERIES as QUERIES
-from .registry import _articles, query, table
+from .registry import _articles, query, table, variant
 
 
 @query("SELECT doc_id, text, n_chars FROM documents WHERE text IS NOT NULL")
@@ -143,3 +146,65 @@ def indexed_topk(spark, sf):
     true = nearest(queries, vectors, 10).select("vec_id", "neighbour")
     share = F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9
     return true.join(got, ["vec_id", "neighbour"], "left").agg(F.count_distinct("vec_id").alias("n_queries"), share.alias("recall_reached"))
+
+
+@query("""
+WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS step FROM orders WHERE o_custkey IS NOT NULL)
+SELECT v::BIGINT AS version, count(DISTINCT o_custkey)::BIGINT AS n_keys, max(o_orderkey)::BIGINT AS last_key
+FROM (SELECT unnest([1, 2, 3]) AS v) JOIN o ON step <= v GROUP BY v""")
+def stored_versions(spark, sf):
+    """What each snapshot of a stored table holds, after three merges that keep the greatest order of a customer."""
+    rows = table(spark, sf, "orders").where("o_custkey IS NOT NULL").select("o_custkey", "o_orderkey", "o_orderstatus")
+    store = Store(spark, files.scratch(spark, "versions")).create(rows.drop("o_orderstatus").schema, "o_custkey", "o_orderkey", 16)
+    status = F.coalesce(F.col("o_orderstatus"), F.lit(""))
+    out = None
+    for part in (status == "F", status == "O", ~status.isin("F", "O")):
+        number = store.merge(rows.where(part))
+        one = store.read(number).agg(F.lit(number).cast("long").alias("version"), F.count(F.lit(1)).alias("n_keys"), F.max("o_orderkey").alias("last_key"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT count(*)::BIGINT AS total_raw, count(DISTINCT doc_id % 400) FILTER (WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0)::BIGINT AS processed, 0::BIGINT AS n_written FROM documents")
+def dry_run(spark, sf):
+    """A run that only counts."""
+    folder = files.scratch(spark, "dry")
+    _articles(spark, sf).select(F.to_json("doc").alias("value")).write.text(f"{folder}/in")
+    total, kept, paths = ingest.run_pipeline(spark, f"{folder}/in", f"{folder}/out", dry_run=True, lines=True)
+    left = files.listed(*files.at(spark, f"{folder}/out"))
+    return spark.createDataFrame([(total, kept, len(left) + len(paths))], "total_raw long, processed long, n_written long")
+
+
+@query("""
+WITH a AS (SELECT doc_id, text, doc_id % 400 AS id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0)
+SELECT 'a' || id AS id, url FROM (SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'https://www.nj.com' ELSE '' END || '/x/' || doc_id AS url, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM a) WHERE n = 1""")
+def stream_keep_first(spark, sf):
+    """The stream over files of articles in the order of their ids, in three micro-batches or so."""
+    folder = files.scratch(spark, "stream")
+    articles = _articles(spark, sf).repartitionByRange(6, "pos").sortWithinPartitions("pos")
+    articles.select(F.to_json("doc").alias("value")).write.text(f"{folder}/in")
+    rows = stream.documents(stream.read_stream(spark, f"{folder}/in", 2))
+    query_ = stream.start(rows, stream.batch_sink(f"{folder}/out"), f"{folder}/checkpoint")
+    query_.awaitTermination()
+    return stream.documents_of(spark, f"{folder}/out").select("id", "metadata.url")
+
+
+@query("""
+SELECT doc_id AS pos, 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS title, CASE WHEN doc_id % 3 = 0 THEN 'c' ELSE 'p' END AS published_at, 8::BIGINT AS dim FROM documents""")
+def sketched_points(spark, sf):
+    """The records and points as first sketched."""
+    k = F.col("doc_id")
+    headlines = F.when(k % 2 == 0, F.struct(F.col("lang").alias("basic")))
+    doc = variant(F.concat(F.lit("d"), k.cast("string")).alias("id"), headlines.alias("headlines"), F.when(k % 2 == 1, F.col("source")).alias("title"), F.lit("u").alias("canonical_url"), F.when(k % 3 != 0, "p").alias("publish_date"), F.lit("c").alias("created_date"))
+    records = collection.internal_documents(table(spark, sf, "documents").select(k.alias("pos"), doc.alias("doc")))
+    points = collection.sketched_points(records, F.array_repeat(F.lit(0.0), 8))
+    return points.select("pos", "id", "payload.title", "payload.published_at", F.size("vector").cast("long").alias("dim"))
+
+
+@query("SELECT doc_id, least(length(text), 300)::DOUBLE AS chars FROM documents WHERE length(text) <= 300")
+def stored_vectors(spark, sf):
+    """Vectors of a store that has seen half of the texts before."""
+    docs = table(spark, sf, "documents").where("length(text) <= 300").select("doc_id", "text", "lang")
+    store = VectorStore(spark, files.scratch(spark, "vectors"), 8)
+    store.attach(docs.where("lang <= 'en'"), _measured, max_chars=300)
+    return store.attach(docs, _measured, max_chars=300).select("doc_id", F.col("vector")[0].cast("double").alias("chars"))

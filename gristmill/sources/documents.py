@@ -23,8 +23,8 @@ def chosen_list(value: Column) -> Column:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON text per file. A missing path and malformed JSON fail the job.
 
-    Arrays of arrays.LARGE bytes or more are read by all tasks; a wrapping object, and what is
-    smaller, is parsed as a whole, a file in a task.
+    Lists of arrays.LARGE bytes or more, wrapped or not, are read by all tasks; what is smaller is
+    parsed as a whole, a file in a task.
     """
     _keep_last_key(spark)
     if sum(arrays.sizes(spark, path).values()) >= arrays.LARGE and (found := arrays.read_array(spark, path)) is not None:

@@ -66,7 +66,7 @@ def test_small_cases(spark, tmp_path, text):
     assert read(spark, tmp_path / "x.json") == list(enumerate(json.loads(text)))
 
 
-@pytest.mark.parametrize("text", ['[{"a":1} {"b":2}]', '[{"a":1},]', '[{"a":1}', '[{"a":1}]]', '[{"a":1},,{"b":2}]', '[{"a":"}]', '[{"a":1}}', '[,{"a":1}]', '[{"a":1}];', '[{"a" 1}]', "[", '[{"a":1}] x'])
+@pytest.mark.parametrize("text", ['[{"a":1} {"b":2}]', '[{"a":1},]', '[{"a":1}', '[{"a":1}]]', '[{"a":1},,{"b":2}]', '[{"a":"}]', '[{"a":1}}', '[,{"a":1}]', '[{"a":1}];', '[{"a" 1}]', "[", '[{"a":1}] x', '{"documents": [{"a":1} {"b":2}]}', '{"documents": [{"a":1}], }', '{"documents": [{"a":1}]'])
 def test_malformed_arrays_fail(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)
     with pytest.raises(Exception, match="MALFORMED"):
@@ -84,10 +84,28 @@ def test_several_files_and_documents(spark, tmp_path, small_ranges, monkeypatch)
     assert whole == split and len(split) == 60
 
 
-def test_wrapper_is_read_whole(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("seed", range(3))
+def test_wrapped_lists_across_cuts(spark, tmp_path, small_ranges, seed):
+    rng = random.Random(100 + seed)
+    data = [{"id": value(rng), "s": value(rng)} if rng.random() < 0.8 else value(rng) for _ in range(25)]
+    other = [value(rng) for _ in range(12)]
+    outer = [{"meta": {"a": {"b": 1}, "documents": [{}]}, "documents": data, "results": other, "n": 5}, {"results": other, "documents": None, "x": "}]", "results": data}, {"documents": [], "z": [{}, {}], "results": data}][seed]
+    if seed == 1:
+        text = '{"results": %s, "documents": null, "x": "}]", "results": %s}' % (json.dumps(other), json.dumps(data))  # noqa: UP031
+    else:
+        text = json.dumps(outer, ensure_ascii=False, indent=[None, 1, 2][seed])
+    (tmp_path / "x.json").write_text(text, encoding="utf-8")
+    assert read(spark, tmp_path / "x.json") == list(enumerate(data))
+
+
+def test_wrappers_without_a_list(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(arrays, "LARGE", 1)
-    (tmp_path / "x.json").write_text('{"documents": [{"a": 1}, {"a": 2}]}')
-    assert read_documents(spark, str(tmp_path / "x.json")).count() == 2
+    for text, n in (('{"documents": [{"a": 1}, {"a": 2}]}', 2), ('{"documents": {"a": 1}, "results": [1]}', 0), ('{"documents": [ ], "results": [7, {}]}', 2), ("{}", 0), ('{"documents": [\n]}', 0), ('{"documents": 5, "results": [1]}', 0)):
+        (tmp_path / "x.json").write_text(text)
+        assert read_documents(spark, str(tmp_path / "x.json")).count() == n, text
+    monkeypatch.setattr(arrays, "OUTSIDE", 10)
+    (tmp_path / "x.json").write_text('{"documents": [{"a": 1}], "long": "%s"}' % ("x" * 99))  # noqa: UP031
+    assert arrays.read_chunks(spark, str(tmp_path / "x.json")) is None and read_documents(spark, str(tmp_path / "x.json")).count() == 1
 
 
 def test_points_in_ranges(spark, tmp_path, small_ranges, monkeypatch):
