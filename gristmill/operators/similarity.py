@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .embed import cosine
+from ..functions.coerce import let
+from .embed import dot
 
 #: Queries that one pass may broadcast; more are taken in blocks.
 BLOCK = 2000
 
 
+def unit(v: Column) -> Column:
+    return let(v, lambda x: let(F.sqrt(dot(x, x)), lambda n: F.transform(x, lambda p: p.cast("double") / n)))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, neighbour and cosine of the k nearest other vectors of each query; ties go to the lesser id.
 
-    Every vector is scored against every query, a bounded block of queries at a time beside the
-    vectors; the rank is cut down to k on each task before the shuffle.
+    Every vector is brought to unit length once, and scored against every query, a bounded block of queries at a
+    time beside the vectors; the rank is cut down to k on each task before the shuffle.
     """
-    asked = queries.select(F.col(key).alias("q"), F.col(column).alias("qv"))
+    asked = queries.select(F.col(key).alias("q"), unit(F.col(column)).alias("qv"))
+    # a generator keeps the optimiser from computing the unit vector again for each pair
+    own = vectors.select(F.col(key).alias("neighbour"), F.explode(F.array(unit(F.col(column)))).alias("own"))
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
     out = None
     for b in range(blocks):
         packed = asked.where(F.col("block") == b).agg(F.collect_list(F.struct("q", "qv")).alias("asked"))
-        scored = vectors.select(F.col(key).alias("neighbour"), F.col(column).alias("own")).join(F.broadcast(packed)).select("neighbour", "own", F.explode("asked").alias("a"))
-        scored = scored.select(F.col("a.q").alias(key), "neighbour", cosine(F.col("a.qv"), F.col("own")).alias("cosine")).where(F.col(key) != F.col("neighbour"))
+        scored = own.join(F.broadcast(packed)).select("neighbour", "own", F.explode("asked").alias("a"))
+        scored = scored.select(F.col("a.q").alias(key), "neighbour", dot(F.col("a.qv"), F.col("own")).alias("cosine")).where(F.col(key) != F.col("neighbour"))
         rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("cosine", 9).desc(), "neighbour"))
         best = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
         out = best if out is None else out.unionAll(best)
