@@ -73,3 +73,64 @@ def test_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_run(rows, toxic, items, secret):
+    """What the pipeline leaves of rows (doc_id, text), as (doc_id, piece, start, length, crc32): every stage by its plainest form."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(d, t) for d, t in rows if not toxic(t)]
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    rows = [(d, t) for d, t in rows if find(d) == d]
+    rows = [(d, t) for d, t in rows if not any(100 * len(sets[d] & shingles(i)) >= 75 * len(shingles(i)) for i in items)]
+    tokenizer, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), set()
+    for d, t in rows:
+        ids = np.array([*tokenizer.encode(t.replace(secret, "[SECRET]"), add_special_tokens=False).ids, 0], "<u4")
+        out |= {(d, k, 2048 * k, len(ids[2048 * k : 2048 * k + 2048]), zlib.crc32(ids[2048 * k : 2048 * k + 2048].tobytes())) for k in range(-(-len(ids) // 2048))}
+    return out
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "un", "sa"]) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    bad, secret = "utterly vile slur", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, text(rng.randint(20, 120))) for i in range(120)]
+    rows += [(200 + i, f"{bad} {text(30)} {bad}") for i in range(60)]
+    rows += [(300 + i, rows[i][1]) for i in range(10)]
+    for i in range(15):  # near copies, and near copies of those
+        near = rows[20 + i % 5][1].split()
+        near[i % len(near)] = word() + "x"
+        rows.append((400 + i, " ".join(near)))
+    items = [text(25) for _ in range(4)]
+    rows += [(500 + i, f"{text(300)} {items[i % 4]} {text(5000 if i == 0 else 50)}") for i in range(8)]
+    rows += [(600 + i, f'{text(40)} token = "{secret}" {text(10)}') for i in range(3)]
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(bad in t)) for d, t in rows if d < 260], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = plain_run(rows, lambda t: bad in t, items, secret)
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    at: dict = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 2048 and len(at) <= -(-sum(r.length for r in got) // 2048) + 1
