@@ -69,3 +69,48 @@ def test_odd_rows(spark, empty):
     rows = [(2, None), (2, None), (None, "a"), (4, " ")]
     got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()
     assert len(got) == 4 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
+def segmentations(text, names, log_p, byte):
+    """(probability, pieces) of every way to cut a text; a character that no piece is costs its bytes."""
+    if not text:
+        yield 1.0, []
+    for e in range(1, len(text) + 1):
+        part = text[:e]
+        if part in names:
+            own, used = math.exp(log_p[names[part]]), [names[part]]
+        elif e == 1:
+            own, used = math.exp(byte * len(part.encode())), []
+        else:
+            continue
+        for p, rest in segmentations(text[e:], names, log_p, byte):
+            yield own * p, used + rest
+
+
+def test_score_equals_enumerated_segmentations(spark, vocabulary):
+    """Every step of the final score in its plainest form: re-estimation, the word's own edge, and the sum over words."""
+    from gristmill.llm import lattice_lm as L
+
+    pieces, names = vocabulary
+    texts = ["The on, off the", "ring rings on\nthe rung", "zq the", "off-on é", "", None, "unseen thing on", "rung rings"] * 2
+    rows = list(enumerate(texts))
+    tokens = {d: words(lower_ascii(t or "")) for d, t in rows}
+    train = [d for d in tokens if crc_fold(d, 7) != 2]
+    c = Counter(w for d in train for w in [*tokens[d], b"\n"])
+    n, v, end = sum(c.values()), len(c), c[b"\n"]
+    p = pieces.prior
+    for _ in range(L.ROUNDS):
+        seen = L.PRIOR * pieces.prior
+        for w in c:
+            if w != b"\n":
+                ways = list(segmentations(chr(WORD_MARK) + w.decode(), names, np.log(p), pieces.byte))
+                total = sum(x for x, _ in ways)
+                for x, used in ways:
+                    for i in used:
+                        seen[i] += x / total
+        p = seen / seen.sum() * (1 - 0.001)
+    marginal = lambda w: sum(x for x, _ in segmentations(chr(WORD_MARK) + w.decode(), names, np.log(p), pieces.byte))
+    want = {d: sum(math.log10(c[w] / (n + v) + v / (n + v) * marginal(w)) for w in own) + math.log10(end / (n + v)) for d, own in tokens.items()}
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()
+    assert len(got) == len(rows) and {crc_fold(d, 7) == 2 for d in tokens} == {True, False}
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got)
