@@ -127,7 +127,8 @@ class Store:
         fs, folder = files.at(self.spark, f"{self.root}/data/{write}")
         committed = False
         try:
-            newest.withColumn(BUCKET, self._bucket(of, key)).repartition(max(1, len(touched)), BUCKET).write.partitionBy(BUCKET).parquet(folder.toString())
+            # rows go together by bucket; what is too large for a task is split, what is small joined, as the session's advisory size says
+            newest.withColumn(BUCKET, self._bucket(of, key)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder.toString())
             there = {f.getPath().getName().removeprefix(f"{BUCKET}=") for f in files.listed(fs, folder) if f.isDirectory()}
             folders = {b: p for b, p in of.folders.items() if b not in touched} | {b: f"{write}/{BUCKET}={b}" for b in touched if b in there}
             after = replace(of, number=of.number + 1, folders=folders)

@@ -107,3 +107,16 @@ def test_refusals(spark, tmp_path):
     with pytest.raises(ValueError, match="without id"):
         store.merge(frame(spark, [(None, 1, "x")]))
     assert store.read().count() == 0 and store.read().columns == SCHEMA.names
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t")).create(SCHEMA, "id", "seen", 1)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        store.merge(spark.range(0, 6000, 1, 8).selectExpr("CAST(id AS STRING) AS id", "id AS seen", "sha2(CAST(id AS STRING), 512) AS text"))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert len(store.read().inputFiles()) > 1 and store.read().count() == 6000
