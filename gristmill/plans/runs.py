@@ -63,15 +63,20 @@ def point_lines_round_trip(spark, sf):
 SELECT doc_id AS key, 'kept' AS outcome, text FROM documents WHERE text IS NOT NULL
 UNION ALL SELECT page_id, 'malformed', '{' || url FROM pages WHERE url IS NOT NULL""")
 def quarantined_lines(spark, sf):
-    """Lines of which some are no JSON: those go aside, with their text; the others are read."""
+    """Lines of which some are no JSON: those go aside, with their text; the others are read.
+
+    A line tells its text only, so pages of the same address are told apart by number: all of them, if as many
+    lines of this text went aside as were written; both sides are counted before they meet.
+    """
     folder = f"{files.scratch(spark, 'broken')}/lines"
     good = table(spark, sf, "documents").where("text IS NOT NULL").select(F.to_json(F.struct("doc_id", "text")).alias("value"))
     bad = table(spark, sf, "pages").where("url IS NOT NULL").select(F.concat(F.lit("{"), "url").alias("value"), "page_id")
     good.unionAll(bad.select("value")).write.text(folder)
     rows, doc = read_lines(spark, folder, "permissive"), F.col("doc")
     kept = rows.where("broken IS NULL").select(F.try_variant_get(doc, "$.doc_id", "long").alias("key"), F.lit("kept").alias("outcome"), C.to_str(C.child(doc, "text")).alias("text"))
-    aside = rows.where("broken IS NOT NULL").select(F.col("broken.text").alias("text"))
-    return kept.unionByName(aside.join(bad, aside.text == bad.value).select(F.col("page_id").alias("key"), F.lit("malformed").alias("outcome"), "text"))
+    aside = rows.where("broken IS NOT NULL").groupBy(F.col("broken.text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    whole = aside.join(bad.groupBy(F.col("value").alias("text")).agg(F.count(F.lit(1)).alias("n")), ["text", "n"])
+    return kept.unionByName(bad.join(whole, bad.value == whole.text).select(F.col("page_id").alias("key"), F.lit("malformed").alias("outcome"), "text"))
 
 
 @query("""
