@@ -17,6 +17,8 @@ and other columns, whatever their names, are not read; an empty table gives an e
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,15 +124,29 @@ def bags(w: LetterWords, weights: Weights):
     return (doc, own, share), (length, place), np.bincount(at, minlength=PLACES), np.bincount(at, weight**2, PLACES)
 
 
+def give_back() -> None:
+    """What arrays have freed goes back to the system now, where the C library can, so that it does not add to what the driver's JVM has."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where each begins."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    return ordered[first], first
+
+
 class Sparse:
     """A sparse matrix that is read by row and by column; the entries are sorted by row. Without weights each entry is 1."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, rows: int, cols: int, weight: np.ndarray | None = None):
         self.col, self.rows, self.cols, self.weight = col, rows, cols, weight
-        self.row_at = np.unique(row, return_index=True)
+        self.row_at = starts(row)
         order = np.argsort(col, kind="stable")
         self.by_row, self.by_weight = row[order], None if weight is None else weight[order]
-        self.col_at = np.unique(col[order], return_index=True)
+        del order
+        self.col_at = starts(np.sort(col))
 
     @staticmethod
     def sums(values: np.ndarray, at: np.ndarray, weight: np.ndarray | None, n: int, filled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -161,9 +177,11 @@ class Bags:
 
     def only(self, places: np.ndarray) -> Bags:
         w = self.words
-        keep = np.isin(w.col, places)
-        row = np.repeat(w.row_at[0], np.diff(np.append(w.row_at[1], len(w.col))))[keep]
-        return Bags(self.docs, Sparse(row.astype(np.int32), np.searchsorted(places, w.col[keep]).astype(np.int32), w.rows, len(places)), self.scale[places, 0])
+        keep = np.zeros(w.cols, bool)
+        keep[places] = True
+        keep = keep[w.col]
+        row = np.repeat(w.row_at[0].astype(np.int32), np.diff(np.append(w.row_at[1], len(w.col))))[keep]
+        return Bags(self.docs, Sparse(row, np.searchsorted(places, w.col[keep]).astype(np.int32), w.rows, len(places)), self.scale[places, 0])
 
     def means(self, e: np.ndarray) -> np.ndarray:
         return self.docs.times(self.words.times(e / self.scale))
@@ -193,14 +211,22 @@ class Bags:
         number = np.argsort(seen).astype(np.int32)
         own = [number[np.searchsorted(known, h)][o] for _, h, o, _ in parts]
         doc, share = ([p[k] for p in parts] for k in (0, 3))
-        del parts
+        del parts, known, number
         doc, own, share = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((doc, np.int32), (own, np.int32), (share, np.float32)))
-        keep = many[place] >= least
+        keep = (many >= least)[place]
         word = np.repeat(np.arange(len(seen), dtype=np.int32), length)[keep]
         to = np.zeros(PLACES, np.int32)
         to[used] = np.arange(len(used))
         place = to[place[keep]]
-        return cls(Sparse(doc, own, n, len(seen), share), Sparse(word, place, len(seen), len(used)), scale), used, scale
+        del keep
+        give_back()
+        own_docs = Sparse(doc, own, n, len(seen), share)
+        del doc, own, share
+        give_back()
+        built = cls(own_docs, Sparse(word, place, len(seen), len(used)), scale)
+        del word, place
+        give_back()
+        return built, used, scale
 
 
 def descend(x: Bags, target: np.ndarray, e: np.ndarray, v: np.ndarray, b: np.ndarray, penalty: float):
@@ -258,6 +284,8 @@ class Model:
         if len(live):
             e, v, b = descend(x.only(live), target, e[live], v, b, REFIT * noise)
             out[used[live]] = e @ (v[:, 1] - v[:, 0]) / scale[live]
+        del x
+        give_back()
         bias = float(b[1] - b[0])
         if share is not None and 0 < share < 1:
             bias += float(np.log(share / (1 - share)) - np.log(label.mean() / (1 - label.mean())))
