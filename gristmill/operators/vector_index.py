@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import SCORES, best
+
 #: Vectors that centres are fitted on, most cells, rounds of k-means.
 SAMPLE, CELLS, ROUNDS = 20_000, 4_096, 12
 #: Vectors of a slice, queries of a block, and queries that the number of probes is measured on.
 SLICE, QUERIES, TUNING = 8_192, 4_096, 200
+#: Rows of a batch of vectors with their cells.
+OUT = 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -38,28 +42,32 @@ def centres(vectors: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """Unit centres of n cells by spherical k-means; empty cells take the vectors that fit worst."""
     rng = np.random.default_rng(seed)
     own = vectors[rng.permutation(len(vectors))[:n]]
+    step = max(1, SCORES // max(1, n))
     for _ in range(ROUNDS):
-        fit = vectors @ own.T
-        cell = fit.argmax(axis=1)
+        cell, fit = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        for lo in range(0, len(vectors), step):
+            part = vectors[lo : lo + step] @ own.T
+            cell[lo : lo + step], fit[lo : lo + step] = part.argmax(axis=1), part.max(axis=1)
         sums = np.zeros_like(own)
         np.add.at(sums, cell, vectors)
         empty = np.flatnonzero(np.bincount(cell, minlength=n) == 0)
-        sums[empty] = vectors[np.argsort(fit.max(axis=1), kind="stable")[: len(empty)]]
+        sums[empty] = vectors[np.argsort(fit, kind="stable")[: len(empty)]]
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         own = np.divide(sums, length, out=own.copy(), where=length > 0)
     return own
 
 
 def _assigning(own: np.ndarray, probes: int):
-    """Rows with the cells nearest to their vector (column v), nearest first, and the rank of each."""
+    """Rows with the cells nearest to their vector (column v), nearest first, and the rank of each; so many at a time as make OUT rows."""
+    step = max(1, min(SCORES // max(1, len(own)), OUT // probes))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
                 fit = _matrix(batch.column("v")) @ own.T if own.size else np.zeros((batch.num_rows, 1))
-                order = np.argsort(-fit, axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1]))
-                rows = batch.take(at)
+                order = fit.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-fit, axis=1, kind="stable")[:, :probes]
+                rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1])))
                 cells, ranks = pa.array(order.ravel(), pa.int32()), pa.array(np.tile(np.arange(order.shape[1]), batch.num_rows), pa.int32())
                 yield pa.RecordBatch.from_arrays([*rows.columns, cells, ranks], names=[*rows.schema.names, "cell", "cell_rank"])
 
@@ -74,14 +82,10 @@ def _scoring(k: int):
         if not len(asked) or not len(held):
             return pa.table({n: pa.array([], t) for n, t in names.items()})
         q, keys = asked.column("q").to_numpy(), held.column("key").to_numpy()
-        cosine = np.round(_matrix(asked.column("v").combine_chunks()) @ _matrix(held.column("v").combine_chunks()).T, 12)
-        cosine[q[:, None] == keys[None, :]] = -np.inf  # not itself
-        order = np.lexsort((np.broadcast_to(keys, cosine.shape), -cosine), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(q)), order.shape[1])
-        best = cosine[row, order.ravel()]
-        real = best > -np.inf
-        out = {"q": q[row], "neighbour": keys[order.ravel()], "cosine": best, "cell_rank": asked.column("cell_rank").to_numpy()[row]}
-        return pa.table({n: pa.array(x[real], names[n]) for n, x in out.items()})
+        found = best(q, _matrix(asked.column("v").combine_chunks()), keys, _matrix(held.column("v").combine_chunks()), k, 12)
+        row, at, _, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = {"q": q[row], "neighbour": keys[at], "cosine": cosine, "cell_rank": asked.column("cell_rank").to_numpy()[row]}
+        return pa.table({n: pa.array(x, names[n]) for n, x in out.items()})
 
     return score
 

@@ -1,6 +1,7 @@
 """The index against plain numpy: recall on clustered and on shapeless vectors, filters, slices and blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from gristmill.operators import vector_index as V
 from pyspark.sql import functions as F
@@ -67,3 +68,17 @@ def test_odd_vectors_and_empty_tables(spark, tmp_path):
     assert found(index.search(queries, 1, probes=9))[1] == [4]
     assert index.search(queries.limit(0), 3).count() == 0
     assert V.build(rows.limit(0), str(tmp_path / "j"), "id", "e").search(queries, 3).count() == 0
+
+
+def test_cells_and_scores_are_computed_in_bounded_parts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(500, 8))
+    vectors[100:160] = vectors[100]  # ties
+    monkeypatch.setattr(V, "OUT", 64)
+    monkeypatch.setattr(V, "SCORES", 999)
+    assign = V._assigning(V.centres(V._matrix(pa.array(vectors.tolist())), 20), 20)
+    out = list(assign(iter([pa.record_batch({"v": pa.array(vectors.tolist())})])))
+    assert max(b.num_rows for b in out) <= 64 and sum(b.num_rows for b in out) == 500 * 20
+    q = V._matrix(pa.array(vectors[90:110].tolist()))
+    row, at, _, cosine = (np.concatenate(x) for x in zip(*V.best(np.arange(90, 110), q, np.arange(500), V._matrix(pa.array(vectors.tolist())), 7, 12), strict=True))
+    assert {90 + i: list(at[row == i]) for i in range(20)} == truth(vectors.astype(np.float64), range(90, 110), 7)
