@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from gristmill.plans.ingest import prepare
 from gristmill.sources.documents import read_lines
@@ -58,3 +59,15 @@ def test_one_batch_and_a_replay(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4 and texts(spark, tmp_path) == FIRST
     drain(spark, tmp_path)  # nothing new
     assert texts(spark, tmp_path) == FIRST
+
+
+def test_batches_of_python_workers_are_bounded_in_bytes(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", [article(str(i), "x" * 400_000) for i in range(60)])
+    got = []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": [b.num_rows], "size": [b.nbytes]})
+
+    drain(spark, tmp_path, lambda rows, number: got.extend(map(tuple, rows.select("id", "text").repartition(1).mapInArrow(sizes, "n long, size long").collect())))
+    assert sum(n for n, _ in got) == 60 and max(size for _, size in got) < 6 << 20
