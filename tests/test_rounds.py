@@ -32,3 +32,10 @@ def test_html_unescape_decodes_what_its_sql_does(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got, want = against_sql(spark, "html_unescape", tmp_path)
     assert got == want and len(got) == len(ODD_PAGES)
+
+
+def test_clean_fragment_cleans_what_its_sql_does(spark, tmp_path):
+    marked = ["\xa0<b>a  b</b> &quot", "[a &quot;b&quot;](/u)  &lt;i&gt; 　", "<p>&quot</p>", "<>&amp;<\n>"]
+    spark.createDataFrame(list(enumerate(ODD_PAGES + marked)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got, want = against_sql(spark, "clean_fragment", tmp_path)
+    assert got == want and len(got) == len(ODD_PAGES + marked)
