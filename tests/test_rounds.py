@@ -39,3 +39,17 @@ def test_clean_fragment_cleans_what_its_sql_does(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ODD_PAGES + marked)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got, want = against_sql(spark, "clean_fragment", tmp_path)
     assert got == want and len(got) == len(ODD_PAGES + marked)
+
+
+def odd_documents(spark, folder):
+    """Documents of which some have no text, in every way in which a text may be none; keys that meet modulo 400."""
+    texts = [None, "", " \n ", "***\n---", "<br>", "&nbsp;", "Some  text.", "end"]
+    keys = list(range(1, 60)) + list(range(401, 460)) + [4400, 4413]
+    spark.createDataFrame([(k, texts[i % len(texts)]) for i, k in enumerate(keys)], "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+
+
+def test_reject_reasons_of_documents_without_text(spark, tmp_path):
+    odd_documents(spark, tmp_path)
+    for name in ("reject_reasons", "dedupe_after_filter"):
+        got, want = against_sql(spark, name, tmp_path)
+        assert got == want and got
