@@ -53,3 +53,9 @@ def test_reject_reasons_of_documents_without_text(spark, tmp_path):
     for name in ("reject_reasons", "dedupe_after_filter"):
         got, want = against_sql(spark, name, tmp_path)
         assert got == want and got
+
+
+def test_run_counters_of_documents_without_text(spark, tmp_path):
+    odd_documents(spark, tmp_path)
+    got, want = against_sql(spark, "run_counters", tmp_path)
+    assert got == want and got[0][3] > 0
