@@ -59,3 +59,10 @@ def test_run_counters_of_documents_without_text(spark, tmp_path):
     odd_documents(spark, tmp_path)
     got, want = against_sql(spark, "run_counters", tmp_path)
     assert got == want and got[0][3] > 0
+
+
+def test_run_metadata_of_documents_without_text(spark, tmp_path):
+    odd_documents(spark, tmp_path)
+    for name in ("run_metadata", "dry_run", "stream_keep_first"):
+        got, want = against_sql(spark, name, tmp_path)
+        assert got == want and got
